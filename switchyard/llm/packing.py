@@ -24,9 +24,13 @@ packed each on their own; an empty table packs to nothing.
 
 from __future__ import annotations
 
+import json
+import re
+import unicodedata
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,12 @@ from switchyard.llm import _common as C
 CAPACITY = 2048
 
 
+#: Letters, then marks that can't combine with them.
+MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
+
+
 class WordIds:
-    """word -> its token ids as little-endian unsigned 32-bit bytes; at most 2 x ``cap`` words held."""
+    """word -> its token ids as little-endian unsigned 32-bit bytes; about 2 x ``cap`` words held."""
 
     def __init__(self, tokenizer, cap: int = 250_000):
         self.tok, self.cap = tokenizer, cap
@@ -50,10 +58,15 @@ class WordIds:
         vocab = tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        # for words already in the tokenizer's normal form: the same model, split at spaces only
+        spec = json.loads(tokenizer.to_str())
+        spec["normalizer"], steps = None, spec["pre_tokenizer"]["pretokenizers"]
+        spec["pre_tokenizer"]["pretokenizers"] = [{"type": "WhitespaceSplit"}, *[x for x in steps if x["type"] == "ByteLevel"]]
+        self.plain = type(tokenizer).from_str(json.dumps(spec))
 
-    def _encode(self, words: list[str]) -> list[bytes]:
+    def _letters(self, words: list[str], tok) -> list[bytes]:
         """Words of letters only: one call, split at the ids that end a word."""
-        ids = np.array(self.tok.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(tok.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
         at = np.nonzero(self.ends[ids])[0] + 1
         if len(at) == len(words):
             raw, cut = ids.tobytes(), (4 * at).tolist()
@@ -63,44 +76,78 @@ class WordIds:
     def _each(self, words: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tok.encode_batch(words, add_special_tokens=False)]
 
-    def _known(self, word: str) -> bool:
-        if word in self.young:
-            return True
-        found = self.old.get(word)
-        if found is not None:
-            self.young[word] = found
-        return found is not None
+    def _missing(self, words: set[str]) -> set[str]:
+        missing = words.difference(self.young)
+        if self.old:
+            kept = {w: self.old[w] for w in missing if w in self.old}
+            self.young.update(kept)
+            missing.difference_update(kept)
+        return missing
 
     def load(self, words: set[str]) -> None:
         """Make every word of ``words`` available in ``young``."""
         if len(self.young) > self.cap:
             self.old, self.young = self.young, {"": b""}
-        missing = [w for w in words if not self._known(w)]
-        cores, marked, other = {}, [], []
-        for w in missing:
-            core, mark = (w[:-1], w[-1]) if w[-1] in ".,!?" else (w, "")
-            if not core.isalpha():
-                other.append(w)
+        normal, odd, other, marked = set(), set(), set(), []
+        for w in self._missing(words):
+            m = MARKED.fullmatch(w)
+            if m is None or "'" in w or not m[1].isalpha():
+                other.add(w)
                 continue
-            low = core.lower() if core.isascii() else core
-            if not self._known(low):
-                cores[low] = None
-            if mark and not self._known(mark):
-                other.append(mark)
-            if w != low:
-                marked.append((w, low, mark))
-        fresh = list(cores)
-        for lo in range(0, len(fresh), 2000):
-            self.young.update(zip(fresh[lo : lo + 2000], self._encode(fresh[lo : lo + 2000]), strict=True))
-        if other:
-            self.young.update(zip(other, self._each(other), strict=True))
-        for w, low, mark in marked:
-            self.young[w] = self.young[low] + (self.young[mark] if mark else b"")
-
-    def ids(self, text: str) -> bytes:
-        words = text.replace("\n", " ").split(" ")
-        self.load(set(words))
-        return b"".join(map(self.young.__getitem__, words))
+            core, marks = m.groups()
+            if core.isascii():
+                core = core.lower()
+                normal.add(core)
+            elif core.islower() and unicodedata.is_normalized("NFC", core):
+                normal.add(core)
+            else:
+                odd.add(core)
+            if marks:
+                other.add(marks)
+            if core != w:
+                marked.append((w, core, marks))
+        for group, tok in ((normal, self.plain), (odd, self.tok)):
+            fresh = list(self._missing(group))
+            for lo in range(0, len(fresh), 2000):
+                self.young.update(zip(fresh[lo : lo + 2000], self._letters(fresh[lo : lo + 2000], tok), strict=True))
+        fresh = list(self._missing(other))
+        if fresh:
+            self.young.update(zip(fresh, self._each(fresh), strict=True))
+        for w, core, marks in marked:
+            self.young[w] = self.young[core] + (self.young[marks] if marks else b"")
+
+    @staticmethod
+    def _lowered(text: str) -> str:
+        """The tokenizer's own lower case, where it can be had for the whole text at once.
+
+        Not with special tokens (case counts), capital sigma (its lower case
+        depends on place here, not in the tokenizer) or text not composed.
+        """
+        if "<|" in text or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
+            return text
+        return text.lower()
+
+    def ids(self, texts: list[str]) -> Iterator[bytes]:
+        """Token ids of each text."""
+        split = [self._lowered(text).replace("\n", " ").split(" ") for text in texts]
+        get = self.young.get
+        found = [list(map(get, words)) for words in split]
+        short = [None in values for values in found]
+        if any(short):
+            self.load({w for words, values, s in zip(split, found, short, strict=True) if s for w, v in zip(words, values, strict=True) if v is None})
+            get = self.young.__getitem__
+            for k, s in enumerate(short):
+                if s:
+                    found[k] = [get(w) if v is None else v for w, v in zip(split[k], found[k], strict=True)]
+        return map(b"".join, found)
+
+
+@lru_cache(maxsize=1)
+def worker_words(source: str) -> WordIds:
+    """One tokenizer and word cache for each Python worker; it outlives a task, as its entries depend on nothing else."""
+    from tokenizers import Tokenizer
+
+    return WordIds(Tokenizer.from_str(source))
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -119,15 +166,13 @@ def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        words = WordIds(Tokenizer.from_str(source.value))
+        words = worker_words(source.value)
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
-        for batch in batches:
+        for batch in (b.slice(lo, 128) for b in batches for lo in range(0, b.num_rows, 128)):
             rows = {k: [] for k in ("row", "piece", "start", "length", "ids_crc32", "rank")}
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                raw = words.ids(text or "") + b"\0\0\0\0"
+            for k, raw in enumerate(words.ids([t or "" for t in batch.column(1).to_pylist()])):
+                raw += b"\0\0\0\0"
                 n = len(raw) // 4
                 for p, at in enumerate(range(0, n, capacity)):
                     length = min(capacity, n - at)
