@@ -25,6 +25,7 @@ packed each on their own; an empty table packs to nothing.
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 import zlib
@@ -51,7 +52,7 @@ MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 class WordIds:
     """word -> its token ids as little-endian unsigned 32-bit bytes; about 2 x ``cap`` words held."""
 
-    def __init__(self, tokenizer, cap: int = 250_000):
+    def __init__(self, tokenizer, cap: int = 500_000):
         self.tok, self.cap = tokenizer, cap
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -66,7 +67,7 @@ class WordIds:
 
     def _letters(self, words: list[str], tok) -> list[bytes]:
         """Words of letters only: one call, split at the ids that end a word."""
-        ids = np.array(tok.encode(" ".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         at = np.nonzero(self.ends[ids])[0] + 1
         if len(at) == len(words):
             raw, cut = ids.tobytes(), (4 * at).tolist()
@@ -90,11 +91,16 @@ class WordIds:
             self.old, self.young = self.young, {"": b""}
         normal, odd, other, marked = set(), set(), set(), []
         for w in self._missing(words):
-            m = MARKED.fullmatch(w)
-            if m is None or "'" in w or not m[1].isalpha():
-                other.add(w)
-                continue
-            core, marks = m.groups()
+            if w.isalpha():
+                core, marks = w, ""
+            elif w[-1] in ".,!?" and w[:-1].isalpha():
+                core, marks = w[:-1], w[-1]
+            else:
+                m = MARKED.fullmatch(w)
+                if m is None or "'" in w or not m[1].isalpha():
+                    other.add(w)
+                    continue
+                core, marks = m.groups()
             if core.isascii():
                 core = core.lower()
                 normal.add(core)
@@ -104,7 +110,7 @@ class WordIds:
                 odd.add(core)
             if marks:
                 other.add(marks)
-            if core != w:
+            if core is not w:
                 marked.append((w, core, marks))
         for group, tok in ((normal, self.plain), (odd, self.tok)):
             fresh = list(self._missing(group))
@@ -145,6 +151,7 @@ class WordIds:
 @lru_cache(maxsize=1)
 def worker_words(source: str) -> WordIds:
     """One tokenizer and word cache for each Python worker; it outlives a task, as its entries depend on nothing else."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
     from tokenizers import Tokenizer
 
     return WordIds(Tokenizer.from_str(source))
