@@ -52,7 +52,7 @@ MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 class WordIds:
     """word -> its token ids as little-endian unsigned 32-bit bytes; about 2 x ``cap`` words held."""
 
-    def __init__(self, tokenizer, cap: int = 500_000):
+    def __init__(self, tokenizer, cap: int = 800_000):
         self.tok, self.cap = tokenizer, cap
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -138,13 +138,20 @@ class WordIds:
         split = [self._lowered(text).replace("\n", " ").split(" ") for text in texts]
         get = self.young.get
         found = [list(map(get, words)) for words in split]
-        short = [None in values for values in found]
-        if any(short):
-            self.load({w for words, values, s in zip(split, found, short, strict=True) if s for w, v in zip(words, values, strict=True) if v is None})
-            get = self.young.__getitem__
-            for k, s in enumerate(short):
-                if s:
-                    found[k] = [get(w) if v is None else v for w, v in zip(split[k], found[k], strict=True)]
+        gaps = []
+        for values in found:
+            at, i, index = [], -1, values.index
+            try:
+                while True:
+                    i = index(None, i + 1)
+                    at.append(i)
+            except ValueError:
+                gaps.append(at)
+        if any(gaps):
+            self.load({words[i] for words, at in zip(split, gaps, strict=True) for i in at})
+            for words, values, at in zip(split, found, gaps, strict=True):
+                for i in at:
+                    values[i] = self.young[words[i]]
         return map(b"".join, found)
 
 
