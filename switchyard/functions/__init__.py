@@ -1,0 +1,63 @@
+"""Column expressions shared by the models; all run inside whole-stage codegen."""
+
+from __future__ import annotations
+
+from datetime import UTC, datetime
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+__all__ = ["as_of_column", "interval_bucket", "micro", "quarantine_reason", "rounded", "share", "surrogate_key", "utc_naive"]
+
+
+def as_of_column(as_of: datetime | None = None) -> Column:
+    """The instant a run believes in; only where none is given, now."""
+    if as_of is None:
+        return F.current_timestamp()
+    if as_of.tzinfo is None:
+        as_of = as_of.replace(tzinfo=UTC)
+    return F.timestamp_micros(F.lit(int(as_of.timestamp() * 1_000_000)))
+
+
+def quarantine_reason(as_of: Column) -> Column:
+    """Why a delivery is unreadable, first reason first; null for admissible rows."""
+    return (
+        F.when(F.col("event_id").isNull(), "missing_event_id")
+        .when(F.col("billable_seconds") < 0, "negative_billable_seconds")
+        .when(F.col("occurred_at") > as_of, "occurred_in_the_future")
+    )
+
+
+def utc_naive(instant: str) -> Column:
+    """UTC wall clock of a timestamp column, whatever the session's time zone."""
+    return F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(unix_micros({instant}) / 1000000.0BD as decimal(18, 6)))")
+
+
+def interval_bucket(ts: Column, minutes: int = 15) -> Column:
+    """Start of the ``minutes``-wide bucket of a naive timestamp; null stays null.
+
+    Only widths that divide a day are accepted: for others, engines count
+    buckets from different origins and disagree.
+    """
+    if minutes < 1 or 1440 % minutes:
+        raise ValueError(f"a bucket of {minutes} minutes does not divide a day")
+    past = F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(F.hour(ts) * 60 + F.minute(ts), F.lit(minutes)), F.extract(F.lit("second"), ts))
+    return ts - past
+
+
+def surrogate_key(natural: str | Column) -> Column:
+    return F.md5((F.col(natural) if isinstance(natural, str) else natural).cast("binary"))
+
+
+def share(part: Column, whole: Column) -> Column:
+    """part / whole as double; null where whole is 0."""
+    return part.cast("double") / F.nullif(whole.cast("double"), F.lit(0.0))
+
+
+def micro(rate: str) -> Column:
+    """A rate in whole millionths (rates have six decimals), so that sums are exact."""
+    return F.round(F.col(rate) * 1_000_000).cast("long")
+
+
+def rounded(value: Column, digits: int) -> Column:
+    return F.round(value.cast("decimal(18,6)"), digits).cast("double")
