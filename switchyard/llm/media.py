@@ -20,7 +20,6 @@ samples; repeated rows share one address; an empty table stores nothing.
 from __future__ import annotations
 
 import hashlib
-import io
 import struct
 import tarfile
 import zlib
@@ -28,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,7 +53,7 @@ def encode_png(payload: bytes) -> bytes:
     lines = np.zeros((len(rows), WIDTH + 1), np.uint8)
     lines[:, 1:] = rows
     head = struct.pack(">IIBBBBB", WIDTH, len(rows), 8, 0, 0, 0, 0)
-    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + _chunk(b"IEND", b"")
+    return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 6)) + _chunk(b"IEND", b"")
 
 
 def read_header(first: bytes) -> dict:
@@ -133,38 +133,43 @@ class ShardWriter:
 
 
 def store(docs: DataFrame, root: str, shard_bytes: int = 32_000_000) -> DataFrame:
-    """Writes all payloads; per row: doc_id, n_bytes, digest, shard, offset, length.
+    """Writes all payloads; per row: doc_id, n_bytes, digest (binary SHA-256 of the file), shard, offset, length.
 
     Materialised once, so that later reads never write again.
     """
     filesystem_, path = filesystem(root)
     filesystem_.create_dir(path, recursive=True)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
+    id_type = docs.schema["doc_id"].dataType
 
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shards, waiting = ShardWriter(root, shard_bytes), []
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, ids, waiting = ShardWriter(root, shard_bytes), [], []
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             name = shards.close()
-            out = pd.DataFrame(waiting, columns=["doc_id", "n_bytes", "digest", "offset", "length"])
+            n, digests, offsets, lengths = zip(*waiting, strict=True)
+            columns = [pa.concat_arrays(ids), pa.array(n, pa.int64()), pa.array(digests, pa.binary()), pa.array([name] * len(n)), pa.array(offsets, pa.int64()), pa.array(lengths, pa.int64())]
+            ids.clear()
             waiting.clear()
-            out.insert(3, "shard", name)
-            return out
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
 
-        for b in batches:
-            for doc_id, text in zip(b["doc_id"], b["text"], strict=True):
+        for batch in (b.slice(lo, 128) for b in batches for lo in range(0, b.num_rows, 128)):
+            for k, text in enumerate(batch.column(1).to_pylist()):
                 raw = text.encode("utf-8", "surrogatepass") if text else b""
                 data = encode_png(pad(raw))
-                digest = hashlib.sha256(data).hexdigest()
-                waiting.append((None if pd.isna(doc_id) else doc_id, len(raw), digest, *shards.add(digest, data)))
+                digest = hashlib.sha256(data)
+                ids.append(batch.column(0).slice(k, 1))
+                waiting.append((len(raw), digest.digest(), *shards.add(digest.hexdigest(), data)))
                 if shards.full:
                     yield flush()
         if waiting:
             yield flush()
 
-    rows = C.materialize(docs.select("doc_id", "text").mapInPandas(write, f"doc_id {id_type}, n_bytes long, digest string, shard string, offset long, length long"), "media-rows")
-    address = rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a")).select(F.col("digest").alias("_d"), "a.*")
-    return rows.select("doc_id", "n_bytes", "digest").join(address, F.col("digest") == F.col("_d")).drop("_d")
+    return C.materialize(docs.select("doc_id", "text").mapInArrow(write, f"doc_id {id_type.simpleString()}, n_bytes long, digest binary, shard string, offset long, length long"), "media-rows")
+
+
+def addresses(rows: DataFrame) -> DataFrame:
+    """One address for every content: the least (shard, offset) it was written at."""
+    return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("a")).select("digest", "a.*")
 
 
 class ShardReader:
@@ -182,7 +187,7 @@ class ShardReader:
         return self.file.read_at(length, offset)
 
 
-def metadata(addresses: DataFrame, root: str) -> DataFrame:
+def metadata(contents: DataFrame, root: str) -> DataFrame:
     """Adds width, height, bit_depth and colour_type from header-only range reads."""
     names = ["width", "height", "bit_depth", "colour_type"]
 
@@ -192,12 +197,12 @@ def metadata(addresses: DataFrame, root: str) -> DataFrame:
             found = [read_header(reader.read(s, int(o), HEADER)) for s, o in zip(b["shard"], b["offset"], strict=True)]
             yield pd.concat([b.reset_index(drop=True), pd.DataFrame(found, columns=names).astype("int32")], axis=1)
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in addresses.schema)
-    return addresses.mapInPandas(fill, fields + "".join(f", {n} int" for n in names))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in contents.schema)
+    return contents.mapInPandas(fill, fields + "".join(f", {n} int" for n in names))
 
 
-def read_back(addresses: DataFrame, root: str) -> DataFrame:
-    """Per distinct address: digest and what its stored bytes hold."""
+def read_back(contents: DataFrame, root: str) -> DataFrame:
+    """Per content: its address and what its stored bytes hold, digest checked."""
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = ShardReader(root)
@@ -205,25 +210,24 @@ def read_back(addresses: DataFrame, root: str) -> DataFrame:
             out = []
             for digest, shard, offset, length, width, height in zip(b["digest"], b["shard"], b["offset"], b["length"], b["width"], b["height"], strict=True):
                 data = reader.read(shard, int(offset), int(length))
-                found = hashlib.sha256(data).hexdigest()
-                if found != digest:
-                    raise ValueError(f"{shard}@{offset} holds {found}, not {digest}")
+                if hashlib.sha256(data).digest() != bytes(digest):
+                    raise ValueError(f"{shard}@{offset} does not hold {bytes(digest).hex()}")
                 payload = decode_png(data)
-                samples = np.frombuffer(payload, np.uint8)
-                hist = np.bincount(samples, minlength=256)
-                p = hist[hist > 0] / len(samples)
+                hist = np.bincount(np.frombuffer(payload, np.uint8), minlength=256)
+                p = hist[hist > 0] / len(payload)
                 feature = f"png;{width}x{height};8;sum={int(hist @ np.arange(256))};top={int(hist.argmax())};entropy={-(p * np.log2(p)).sum() + 0.0:.4f}"
-                out.append((digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), found, feature))
-            yield pd.DataFrame(out, columns=["digest", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                out.append((digest, shard, offset, length, len(payload), hashlib.sha256(payload).digest(), zlib.crc32(payload[-64:]), feature))
+            yield pd.DataFrame(out, columns=["digest", "shard", "offset", "length", "payload_bytes", "payload_sha256", "tail_crc32", "feature"])
 
-    return addresses.mapInPandas(fetch, "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return contents.mapInPandas(fetch, "digest binary, shard string, offset long, length long, payload_bytes long, payload_sha256 binary, tail_crc32 long, feature string")
 
 
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = C.new_path(spark, "shards")
-    rows = C.materialize(store(C.table(spark, sf_dir, "documents").select("doc_id", "text"), root), "media")
-    # one row per content, in shard order, so that a task reads few shards from front to back
-    contents = rows.groupBy("digest").agg(F.min("shard").alias("shard"), F.min("offset").alias("offset"), F.min("length").alias("length"))
-    contents = contents.repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
+    rows = store(C.table(spark, sf_dir, "documents").select("doc_id", "text"), root)
+    # in shard order, so that a task reads few shards from front to back
+    contents = addresses(rows).repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
     found = C.materialize(read_back(metadata(contents, root), root), "features")
-    return rows.join(found, "digest").select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "offset", "length")
+    hexed = lambda c: F.lower(F.hex(c))
+    joined = rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
+    return joined.select("doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), hexed("digest").alias("media_sha256"), "feature", "shard", "offset")
