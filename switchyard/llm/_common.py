@@ -67,16 +67,24 @@ def bounded_sample(labelled: DataFrame, per_class: int, total: int) -> tuple[lis
     """At most ``per_class`` rows of each class and ``total`` in all, by hash order of doc_id.
 
     ``labelled`` has doc_id and y.  Returns [(doc_id, y)] and the row count of
-    each class over *all* of ``labelled`` for the classes sampled.  The window
-    is cut to ``per_class`` before its shuffle (window group limit).
+    each class over *all* of ``labelled`` for the classes sampled.  The counts
+    give each class a cut on the hash below which its first ``per_class`` rows
+    lie (six deviations of room), so only about that many are ever ordered,
+    however hot a class is.
     """
-    # one row per id and class, whatever is repeated
+    spark = labelled.sparkSession
+    # one row per id, whatever is repeated
     rows = labelled.where("doc_id is not null and y is not null").dropDuplicates(["doc_id"])
-    order = Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id")
-    picked = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).orderBy("n", "y").limit(total).select("doc_id", "y").collect()
+    counts = {r.y: r["count"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(total).collect()}
+    if not counts:
+        return [], {}
+    room = per_class + 6 * per_class**0.5 + 10
+    cuts = spark.createDataFrame([(y, int(min(1.0, room / n) * 2**62)) for y, n in counts.items()], T.StructType([labelled.schema["y"], T.StructField("cut", T.LongType())]))
+    order = Window.partitionBy("y").orderBy("h", "doc_id")
+    near = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 2)).join(F.broadcast(cuts), "y").where("h <= cut")  # at most `total` classes
+    picked = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).orderBy("n", "y").limit(total).select("doc_id", "y").collect()
     kept = {r.y for r in picked}
-    counts = {r.y: r["count"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(total).collect() if r.y in kept}
-    return [(r.doc_id, r.y) for r in picked], counts
+    return [(r.doc_id, r.y) for r in picked], {y: n for y, n in counts.items() if y in kept}
 
 
 def fetch_texts(docs: DataFrame, ids: list, max_chars: int) -> dict:

@@ -3,7 +3,9 @@
 A text is a bag of words; a word is a bag of hashed character n-grams (with
 boundary marks) plus itself.  Bucket vectors are averaged over the text and feed
 a linear softmax; bucket vectors and softmax are trained jointly by minibatch
-stochastic gradient descent with per-parameter step sizes, in numpy.
+stochastic gradient descent with per-parameter step sizes, in numpy.  A word
+weighs the square root of its count, and ``smooth`` zero vectors join
+every average, so that short or looping texts need more than one odd word.
 
 Because both the average and the softmax input are linear, a trained model folds
 into one logit row per bucket and hence one row per *word*; scoring a text is a
@@ -13,6 +15,7 @@ sum of cached word rows (see :class:`WordRows`), over the whole text.
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -26,6 +29,11 @@ def tokens(text: str | None) -> list[str]:
     return WORD.findall(text.lower()) if text else []
 
 
+def damped(words: Counter) -> np.ndarray:
+    """Square roots of the counts: a word's weight in its text."""
+    return np.sqrt(np.fromiter(words.values(), np.float64, len(words)))
+
+
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _BASE = np.uint64(1_000_003)
 
@@ -77,7 +85,7 @@ class WordRows:
     def __init__(self, make, cap: int = 200_000):
         self.make, self.cap, self.ids, self.table = make, cap, {}, None
 
-    def load(self, words: set[str]) -> None:
+    def load(self, words) -> None:
         missing = [w for w in words if w not in self.ids]
         if not missing:
             return
@@ -93,10 +101,10 @@ class WordRows:
         self.table[at : at + len(rows)] = rows
         self.ids.update(zip(missing, range(at, at + len(rows)), strict=True))
 
-    def pooled(self, words: list[str]) -> np.ndarray:
-        """Sum of the rows of ``words`` (repeats included), in double precision."""
-        get = self.ids.__getitem__
-        return self.table[np.fromiter(map(get, words), np.int32, len(words))].sum(0, dtype=np.float64)
+    def pooled(self, words: Counter) -> np.ndarray:
+        """Damped sum of the rows of counted words, in double precision."""
+        rows = self.table[np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))]
+        return damped(words) @ rows.astype(np.float64)
 
 
 @dataclass
@@ -107,9 +115,10 @@ class SubwordModel:
     sizes: tuple[int, ...] = (3, 4, 5)
     bits: int = 18
     dim: int = 8
-    epochs: int = 12
+    epochs: int = 16
     rate: float = 3.0
     seed: int = 7
+    smooth: float = 100.0
     temperature: float = 1.0
     bias: np.ndarray | None = None
     folded: np.ndarray | None = field(default=None, repr=False)
@@ -119,9 +128,8 @@ class SubwordModel:
         vocab: dict[str, int] = {}
         docs = []
         for text in texts:
-            words = tokens(text)
-            ids = np.fromiter((vocab.setdefault(w, len(vocab)) for w in words), np.int64, len(words))
-            docs.append(np.unique(ids, return_counts=True))
+            words = Counter(tokens(text))
+            docs.append((np.array([vocab.setdefault(w, len(vocab)) for w in words], np.int64), damped(words)))
         known = list(vocab)
         chunks = [ngram_buckets(known[lo : lo + 20_000], self.sizes, self.bits) for lo in range(0, len(known), 20_000)]
         grams = np.concatenate([np.zeros(0, np.int32), *(c[0] for c in chunks)])
@@ -142,12 +150,12 @@ class SubwordModel:
                 pick = order[lo : lo + 32]
                 ids, counts, own = [], [], []
                 for k, d in enumerate(pick):
-                    words, c = docs[d]
+                    words, damp = docs[d]
                     n = per_word[words]
                     first = np.repeat(ends[words] - n - np.concatenate(([0], np.cumsum(n)[:-1])), n)
                     ids.append(grams[first + np.arange(len(first))])
-                    counts.append(np.repeat(c, n).astype(np.float32))
-                    counts[-1] /= max(counts[-1].sum(), 1.0)
+                    counts.append(np.repeat(damp, n).astype(np.float32))
+                    counts[-1] /= counts[-1].sum() + self.smooth
                     own.append(np.full(len(first), k))
                 ids, counts, own = map(np.concatenate, (ids, counts, own))
                 if not len(ids):
@@ -183,10 +191,10 @@ class SubwordModel:
         """Logits of texts; a text without words gets the bias."""
         out = []
         for text in texts:
-            words = tokens(text)
-            cache.load(set(words))
+            words = Counter(tokens(text))
+            cache.load(words.keys())
             total = cache.pooled(words) if words else None
-            out.append(self.bias if total is None else self.bias + total[:-1] / total[-1])
+            out.append(self.bias if total is None else self.bias + total[:-1] / (total[-1] + self.smooth))
         return np.array(out).reshape(len(out), len(self.classes))
 
     def proba(self, z: np.ndarray) -> np.ndarray:
