@@ -33,8 +33,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 2,048 tokens, each with its sequence and place."""
-    return packing.pack(docs)
+    """Pieces of at most 2,048 tokens, each with its sequence and place.
+
+    Python workers still hold what earlier stages left them, so the word cache
+    is smaller than the operator's default.
+    """
+    return packing.pack(docs, cache_words=250_000)
 
 
 STAGES = [

@@ -43,6 +43,7 @@ from pyspark.sql.window import Window
 from switchyard.llm import _common as C
 
 CAPACITY = 2048
+CACHE_WORDS = 800_000
 
 
 #: Letters, then marks that can't combine with them.
@@ -52,7 +53,7 @@ MARKED = re.compile(r"([^\W\d_]+)([!-/:-@\[-`{-~]*)")
 class WordIds:
     """word -> its token ids as little-endian unsigned 32-bit bytes; about 2 x ``cap`` words held."""
 
-    def __init__(self, tokenizer, cap: int = 800_000):
+    def __init__(self, tokenizer, cap: int = CACHE_WORDS):
         self.tok, self.cap = tokenizer, cap
         self.young: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
@@ -156,12 +157,12 @@ class WordIds:
 
 
 @lru_cache(maxsize=1)
-def worker_words(source: str) -> WordIds:
+def worker_words(source: str, cap: int) -> WordIds:
     """One tokenizer and word cache for each Python worker; it outlives a task, as its entries depend on nothing else."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
     from tokenizers import Tokenizer
 
-    return WordIds(Tokenizer.from_str(source))
+    return WordIds(Tokenizer.from_str(source), cap)
 
 
 def tokenizer_json(path: str | None = None) -> str:
@@ -173,14 +174,18 @@ def tokenizer_json(path: str | None = None) -> str:
         return f.read()
 
 
-def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32 and its rank among its partition's pieces of that length."""
+def pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32 and its rank among its partition's pieces of that length.
+
+    ``cache_words`` trades a Python worker's memory (about 0.5 KB a word) for
+    time; results don't depend on it.
+    """
     spark = docs.sparkSession
     source = spark.sparkContext.broadcast(tokenizer_json(path))  # one vocabulary file: fixed size
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = worker_words(source.value)
+        words = worker_words(source.value, cache_words)
         seen = np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in (b.slice(lo, 128) for b in batches for lo in range(0, b.num_rows, 128)):
@@ -291,10 +296,10 @@ def plan(histogram: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, i
     return np.array(sorted(runs), dtype=np.int64).reshape(-1, 5), bins
 
 
-def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
+def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
-    cut = C.materialize(pieces(docs, path, capacity), "pieces")
+    cut = C.materialize(pieces(docs, path, capacity, cache_words), "pieces")
     counts = cut.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = C.materialize(counts.withColumn("before", F.coalesce(before, F.lit(0))), "offsets")
