@@ -107,6 +107,9 @@ class WordIds:
                 normal.add(core)
             elif core.islower() and unicodedata.is_normalized("NFC", core):
                 normal.add(core)
+            elif marks and not core.lower().isalpha():
+                other.add(w)  # a lower case that ends in a mark joins the marks after it
+                continue
             else:
                 odd.add(core)
             if marks:
@@ -128,11 +131,13 @@ class WordIds:
         """The tokenizer's own lower case, where it can be had for the whole text at once.
 
         Not with special tokens (case counts), capital sigma (its lower case
-        depends on place here, not in the tokenizer) or text not composed.
+        depends on place here, not in the tokenizer) or text not composed
+        before (the tokenizer composes first) or after (it would compose again).
         """
         if "<|" in text or "\u03a3" in text or not unicodedata.is_normalized("NFC", text):
             return text
-        return text.lower()
+        low = text.lower()
+        return low if unicodedata.is_normalized("NFC", low) else text
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """Token ids of each text."""
