@@ -58,6 +58,18 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        out.append(name)
+        taken.add(name.lower())
+    return out
+
+
 def fold(doc_id: Column, parts: int, held: int) -> Column:
     """Whether crc32(doc_id as text) mod ``parts`` is ``held``; a null id never is."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == held, F.lit(False))

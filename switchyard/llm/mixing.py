@@ -111,7 +111,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MAX
     order = Window.partitionBy("source", "_bin").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
     upto = F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     split = rows.where("_state < 0").withColumn("_more", (2 * upto + F.col("size") <= F.col("_twice")).cast("int"))
-    return settled.unionByName(split).select("doc_id", "source", "size", "source_size", "target", (F.col("_whole") + F.col("_more")).cast("int").alias("repeats"))
+    return settled.unionByName(split).select("doc_id", "source", "size", "source_size", "target", F.least(F.col("_whole") + F.col("_more"), F.lit(max_epochs)).cast("int").alias("repeats"))
 
 
 def repeat_documents(docs: DataFrame, **options) -> DataFrame:
@@ -120,11 +120,11 @@ def repeat_documents(docs: DataFrame, **options) -> DataFrame:
     A document's row stands for itself by (doc_id, source); rows repeated in
     the input are each repeated.
     """
-    plan = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("repeats").alias("_repeats"))
-    plan = plan.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_repeats")
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (word_count(F.col("text")) == F.col("_z"))
-    out = docs.join(plan, same).where("_repeats > 0")
-    return out.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+    plan = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("repeats").alias("repeats")).where("repeats > 0")
+    d, s, z, n, k = C.unused(docs, "_id", "_source", "_size", "_repeats", "_k")
+    plan = plan.toDF(d, s, z, n)
+    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (word_count(F.col("text")) == F.col(z))
+    return docs.join(plan, same).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,7 +166,7 @@ with sized as (
   from sized s join parts p on s.source is not distinct from p.source
 )
 select {select} from (
-  select doc_id, source, size, source_size, target, (whole + case when mid <= twice then 1 else 0 end)::bigint as repeats,
-         ((whole + case when mid <= twice then 1 else 0 end) * size)::bigint as taken
+  select doc_id, source, size, source_size, target, least(whole + case when mid <= twice then 1 else 0 end, 3)::bigint as repeats,
+         (least(whole + case when mid <= twice then 1 else 0 end, 3) * size)::bigint as taken
   from walked)
 """
