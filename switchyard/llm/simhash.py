@@ -32,6 +32,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from switchyard.llm import _common as C
 from switchyard.llm._graph import connected_components
@@ -118,9 +119,11 @@ def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     one) stays; a row without doc_id can't be told from others and stays.
     """
     members = near_duplicates(docs.where("doc_id is not null"), distance)
-    keep = members.where("doc_id = component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    least, place = C.unused(docs, "_least", "_place")
+    keep = members.where("doc_id = component_id").select(F.col("doc_id").alias(least)).distinct()
+    order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"))
+    kept = docs.join(keep, F.col("doc_id") == F.col(least), "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

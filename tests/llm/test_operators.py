@@ -203,6 +203,13 @@ def test_simhash_documents(docs, empty):
     assert simhash.keep_one(empty).count() == 0
 
 
+def test_simhash_keeps_the_least_of_repeated_ids(spark):
+    data = [(1, "b c d e f", 8), (1, "a b c d e", 9), (2, "x y z v w", 7), (3, "x y z v w", 6), (4, None, 5), (4, "", 4)]
+    got = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string, _least int"))
+    assert got.columns == ["doc_id", "text", "_least"]
+    assert sorted((r[0], r[1], r[2]) for r in got.collect()) == [(1, "a b c d e", 9), (2, "x y z v w", 7), (4, None, 5)]
+
+
 def test_components(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (300, 301), (301, 300)], "a long, b long")
     got = {r.vertex: r.component for r in connected_components(path).collect()}
@@ -301,11 +308,22 @@ def test_mixing(spark, docs, empty):
     assert got[key].sort_values(key).values.tolist().__repr__() == again[key].sort_values(key).values.tolist().__repr__()
     out = mixing.repeat_documents(docs)
     assert out.columns == docs.columns and mixing.repeat_documents(empty).count() == 0
+    clash = docs.selectExpr("doc_id", "text", "source", "1 as _k", "2 as _Id", "'x' as _source", "3 as _size", "4 as _repeats", "5 as _h", "6 as weight", "7 as target")
+    again = mixing.repeat_documents(clash)
+    assert again.columns == clash.columns and again.count() == out.count()
+    assert [tuple(r) for r in again.select(*clash.columns[3:]).distinct().collect()] == [(1, 2, "x", 3, 4, 5, 6, 7)]
     taken = {(r.doc_id, r.size): r.repeats for r in got.itertuples() if r.doc_id == r.doc_id and r.doc_id != 5}
     counts = {r.doc_id: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert all(counts.get(i, 0) == n for (i, _), n in taken.items())
 
 
+def test_no_source_is_taken_more_than_three_times(spark):
+    data = [(i, "small" if i < 4 else "large", "" if i % 4 == 0 else "w " * 50) for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, source string, text string")
+    got = mixing.mix(docs, spark.createDataFrame([("small", 9), ("large", 1)], "source string, weight long")).toPandas()
+    assert (got[got.source == "small"].target == 3 * 150).all() and got.repeats.max() == 3
+
+
 def test_mixing_lands_near_targets(spark):
     rng = random.Random(9)
     data = [(i, f"s{i % 3}", "w " * rng.randint(0, 40)) for i in range(3000)]
