@@ -14,7 +14,15 @@ Before hashing, a document must hold one of the templates' anchors, fragments
 such that every template with none of its anchored shingles is below the
 threshold (checked when templates are built): an exact gate, not a heuristic.
 
-Defined results: null, empty and under-five-word texts match nothing; rows that
+A template under five words is one run of its own length, looked up by its hash
+among the document's runs of that length: exact containment, no windows.
+
+``op5_licenses`` reports ``TEMPLATES``, whose rows its SQL fixes; ``notices``
+reports ``SHORT_FORMS`` and the further licenses as well.  A notice that holds a
+shorter one ("SPDX-License-Identifier: MIT-0" holds that of MIT) reports both.
+
+Defined results: null and empty texts match nothing, nor does a text shorter
+than the template; rows that
 repeat a doc_id are matched on each of their texts and reported once per
 template with the best containment; an empty table gives an empty result.
 """
@@ -52,6 +60,45 @@ TEMPLATES = [
 ]
 ANCHORS = ["licens", "software", "redistribut", "binary", "permitted", "mozilla"]
 
+# Identifiers of the SPDX list, and wording of short forms and of licenses absent above.
+SPDX = "MIT Apache-2.0 GPL-2.0-only GPL-2.0-or-later GPL-3.0-only GPL-3.0-or-later LGPL-2.1-only LGPL-2.1-or-later LGPL-3.0-only LGPL-3.0-or-later AGPL-3.0-only AGPL-3.0-or-later BSD-2-Clause BSD-3-Clause ISC MPL-2.0 CC0-1.0 CC-BY-4.0 CC-BY-SA-4.0 CC-BY-NC-4.0 Unlicense GPL-2.0 GPL-3.0 LGPL-2.1 LGPL-3.0 AGPL-3.0".split()
+SHORT_FORMS = [
+    ("LicenseRef-All-Rights-Reserved", "All rights reserved"),
+    *[(i, f"SPDX-License-Identifier: {i}") for i in SPDX],
+    ("MIT", "MIT License"),
+    ("MIT", "License: MIT"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-2.0", "Apache License, Version 2.0"),
+    ("Apache-2.0", "Apache-2.0"),
+    ("GPL-2.0", "GPLv2"),
+    ("GPL-2.0", "GPL v2"),
+    ("GPL-2.0", "GPL-2.0"),
+    ("GPL-3.0", "GPLv3"),
+    ("GPL-3.0", "GPL v3"),
+    ("GPL-3.0", "GPL-3.0"),
+    ("LGPL-2.1", "LGPLv2.1"),
+    ("LGPL-2.1", "LGPL-2.1"),
+    ("LGPL-3.0", "LGPLv3"),
+    ("LGPL-3.0", "LGPL-3.0"),
+    ("LGPL", "GNU Lesser General Public License"),
+    ("AGPL-3.0", "AGPLv3"),
+    ("AGPL-3.0", "AGPL-3.0"),
+    ("AGPL", "GNU Affero General Public License"),
+    ("BSD-2-Clause", "BSD 2-Clause"),
+    ("BSD-3-Clause", "BSD 3-Clause"),
+    ("ISC", "ISC License"),
+    ("ISC", "License: ISC"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("MPL-2.0", "MPL 2.0"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("CC0-1.0", "CC0"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain"),
+]
+SHORT_ANCHORS = ["rights", "spdx", "gpl", "affero", "lesser", "apache", "bsd", "isc", "mpl", "cc", "unencumbered", "domain", "permission", "copyright", "copies", "purpose", "fee"]
+
 
 def _words(text: str) -> list[str]:
     return re.findall(r"[^\W_]+", text.lower())
@@ -61,16 +108,17 @@ def check_anchors(templates, anchors) -> None:
     """Anchors are within one word. Every match at the threshold must contain an anchor; raises if a template lets one slip."""
     for name, text in templates:
         ws = _words(text)
-        shingles = {" ".join(ws[i : i + WORDS]) for i in range(len(ws) - WORDS + 1)}
-        if not shingles:
-            raise ValueError(f"{name}: a template needs {WORDS} words")
+        if not ws:
+            raise ValueError(f"{name}: a template needs a word")
+        size = min(WORDS, len(ws))
+        shingles = {" ".join(ws[i : i + size]) for i in range(len(ws) - size + 1)}
         bare = sum(not any(a in s for a in anchors) for s in shingles)
         if bare >= THRESHOLD * len(shingles):
             raise ValueError(f"{name}: {bare} of {len(shingles)} shingles hold no anchor")
 
 
-def shingle_hashes(text: Column) -> Column:
-    """Hashes of all five-word shingles in order, as an array.
+def shingle_hashes(text: Column, size: int = WORDS) -> Column:
+    """Hashes of all runs of ``size`` words in order, as an array.
 
     The words are bound as a lambda variable: named inside a lambda, an
     expression would be evaluated again for every element.
@@ -78,9 +126,9 @@ def shingle_hashes(text: Column) -> Column:
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
     def shingles(ws: Column) -> Column:
-        last = F.size(ws) - (WORDS - 1)
+        last = F.size(ws) - (size - 1)
         places = F.when(last > 0, F.sequence(F.lit(1), last)).otherwise(F.array().cast("array<int>"))
-        return F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(ws, i, WORDS), " ")))
+        return F.transform(places, lambda i: F.xxhash64(F.array_join(F.slice(ws, i, size), " ")))
 
     return F.element_at(F.transform(F.array(words), shingles), 1)
 
@@ -100,6 +148,19 @@ def template_table(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     return table.select("template_id", "license", "h", F.array_distinct("h").alias("th"))
 
 
+def short_matches(docs: DataFrame, templates) -> DataFrame:
+    """Matches of the templates under five words in (doc_id, text), in the columns of ``scan``.  Ids are places in ``templates``."""
+    found = None
+    for size in sorted({n for _, t in templates if (n := len(_words(t))) < WORDS}):
+        rows = F.array(*[F.struct(F.lit(i).alias("template_id"), F.lit(name).alias("license"), F.lit(text).alias("t")) for i, (name, text) in enumerate(templates) if len(_words(text)) == size])
+        table = docs.sparkSession.range(1).select(F.inline(rows)).select("template_id", "license", F.element_at(shingle_hashes(F.col("t"), size), 1).alias("x"))
+        runs = docs.select("doc_id", F.posexplode(shingle_hashes(F.col("text"), size)).alias("at", "x"))
+        # as many rows as there are short templates
+        hits = runs.join(F.broadcast(table), "x").groupBy("doc_id", "template_id", "license").agg((F.min("at") + 1).alias("first_word"))
+        found = hits if found is None else found.union(hits)
+    return found.select("doc_id", "template_id", "license", F.lit(1).alias("n_matched"), F.lit(1).alias("n_shingles"), F.lit(1.0).alias("containment"), F.col("first_word").cast("long").alias("first_word"))
+
+
 def scan(docs: DataFrame, templates=TEMPLATES, anchors=ANCHORS) -> DataFrame:
     """Matches of (doc_id, text): doc_id, template_id, license, n_matched, n_shingles, containment, first_word."""
     check_anchors(templates, anchors)
@@ -108,7 +169,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, anchors=ANCHORS) -> DataFrame:
     gate = F.lit(False)
     for a in anchors:
         gate = gate | F.contains(low, F.lit(a))
-    shingled = C.materialize(docs.where(gate).select("doc_id", shingle_hashes(F.col("text")).alias("h")).where("size(h) > 0").distinct(), "license-docs")
+    gated = docs.where(gate)
+    shingled = C.materialize(gated.select("doc_id", shingle_hashes(F.col("text")).alias("h")).where("size(h) > 0").distinct(), "license-docs")
     table = C.materialize(template_table(spark, templates), "license-templates")
     signed = bands(table, ["template_id"]).distinct()  # templates x windows x bands rows
     wanted = signed.select("band", "value").distinct()
@@ -119,7 +181,15 @@ def scan(docs: DataFrame, templates=TEMPLATES, anchors=ANCHORS) -> DataFrame:
     rows = checked.select("doc_id", "template_id", "license", F.size(found).alias("n_matched"), F.size("th").alias("n_shingles"), F.array_min(F.transform(found, lambda x: F.array_position("h", x))).alias("first_word"))
     rows = rows.withColumn("containment", F.col("n_matched") / F.col("n_shingles")).where(F.col("containment") >= THRESHOLD)
     best = F.max_by(F.struct("n_matched", "n_shingles", "containment", "first_word"), F.struct("n_matched", -F.col("first_word")))
-    return rows.groupBy("doc_id", "template_id", "license").agg(best.alias("b")).select("doc_id", "template_id", "license", "b.*")
+    matches = rows.groupBy("doc_id", "template_id", "license").agg(best.alias("b")).select("doc_id", "template_id", "license", "b.*")
+    if all(len(_words(t)) >= WORDS for _, t in templates):
+        return matches
+    return matches.unionByName(short_matches(gated.select("doc_id", "text"), templates))
+
+
+def notices(docs: DataFrame) -> DataFrame:
+    """Matches of all templates, short forms included, in (doc_id, text)."""
+    return scan(docs, TEMPLATES + SHORT_FORMS, ANCHORS + SHORT_ANCHORS)
 
 
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -143,6 +143,15 @@ def test_licenses(spark, docs, empty):
         licenses.check_anchors([("X", "one two three four five six")], ["licens"])
 
 
+def test_short_licenses(spark, docs, empty):
+    texts = ["stone river. All rights\nreserved. cloud", "License: GPLv3", "mit LICENSE", "// SPDX-License-Identifier: AGPL-3.0-or-later", "under the GNU Lesser General Public License", "CC0", "all rights are reserved", None, "Released under the MIT License."]
+    got = licenses.notices(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).toPandas()
+    found = {i: set(g.license) for i, g in got.groupby("doc_id")}
+    assert found == {0: {"LicenseRef-All-Rights-Reserved"}, 1: {"GPL-3.0"}, 2: {"MIT"}, 3: {"AGPL-3.0", "AGPL-3.0-or-later"}, 4: {"LGPL"}, 5: {"CC0-1.0"}, 8: {"MIT"}}
+    assert not got.duplicated(["doc_id", "template_id"]).any() and got.set_index("doc_id").first_word[0] == 3
+    assert licenses.notices(docs).count() == 0 and licenses.notices(empty).count() == 0
+
+
 def _print(text):
     ws = (text or "").encode().lower().split()
     hs = [xxhash.xxh64(b" ".join(ws[i : i + 3]), seed=42).intdigest() for i in range(max(1, len(ws) - 2))] if ws else []
