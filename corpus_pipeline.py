@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from switchyard.llm import _common as C
-from switchyard.llm import mixing, packing, quality, simhash, toxicity
+from switchyard.llm import mixing, near_copies, packing, quality, simhash, toxicity
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,10 +23,15 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each near-duplicate group stays."""
+    """One row of each group of op6, exact copies above all, stays."""
     return simhash.keep_one(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows at five-word Jaccard 0.8 to a lesser one go."""
+    return near_copies.keep_first(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows repeat as often as their source's target asks."""
     return mixing.repeat_documents(docs)
@@ -45,6 +50,7 @@ STAGES = [
     ("toxicity", toxicity_filter),
     ("quality", quality_filter),
     ("simhash_near_dedup", near_dedup),
+    ("near_copies", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from switchyard.llm import _common as C
-from switchyard.llm import embedding_dedup, language, licenses, media, mixing, packing, quality, simhash, token_counts, toxicity
+from switchyard.llm import embedding_dedup, language, licenses, media, mixing, near_copies, packing, quality, simhash, token_counts, toxicity
 from switchyard.llm._graph import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, fp long, rank int, component string"
@@ -219,6 +219,32 @@ def test_simhash_keeps_the_least_of_repeated_ids(spark):
     assert sorted((r[0], r[1], r[2]) for r in got.collect()) == [(1, "a b c d e", 9), (2, "x y z v w", 7), (4, None, 5)]
 
 
+def test_pipeline_drops_near_copies(spark, docs, empty):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(rng.randint(40, 120))] for _ in range(25)]
+    texts = []
+    for k, ws in enumerate(base):
+        for _ in range(150 if k == 0 else 4):
+            copy = list(ws)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(len(copy))] = f"x{rng.randrange(10**6)}"
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    data = [*enumerate(texts), (1000, None), (1001, ""), (1002, "one two"), (1003, "ONE  two")]
+    sets = {i: {tuple(ws[j : j + 5]) for j in range(max(1, len(ws) - 4))} if (ws := (t or "").lower().split()) else set() for i, t in data}
+    close = lambda a, b: sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    kept = sorted(r.doc_id for r in stage(spark, df, "").collect())
+    assert not [(a, b) for a in kept for b in kept if a < b and close(a, b)]
+    assert all(any(close(a, b) for a in range(b)) for b in range(len(texts)) if b not in kept)
+    assert {1000, 1001, 1002} <= set(kept) and 1003 not in kept
+    out = near_copies.keep_first(docs)
+    assert out.columns == docs.columns and None in [r.doc_id for r in out.select("doc_id").collect()] and near_copies.keep_first(empty).count() == 0
+
+
 def test_components(spark):
     path = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (300, 301), (301, 300)], "a long, b long")
     got = {r.vertex: r.component for r in connected_components(path).collect()}
