@@ -10,7 +10,6 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (local tests) a folder of this process is used.
+    Where that is unset, a local session uses a folder of this process; any
+    other raises, as its executors would not see that folder.
     """
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         global _local
         if _local is None:
             _local = tempfile.TemporaryDirectory(prefix="switchyard-")
@@ -76,49 +78,67 @@ def fold(doc_id: Column, parts: int, held: int) -> Column:
 
 
 def bounded_sample(labelled: DataFrame, per_class: int, total: int) -> tuple[list[tuple[int, object]], dict]:
-    """At most ``per_class`` rows of each class and ``total`` in all, by hash order of doc_id.
-
-    ``labelled`` has doc_id and y.  Returns [(doc_id, y)] and the row count of
-    each class over *all* of ``labelled`` for the classes sampled.  The counts
-    give each class a cut on the hash below which its first ``per_class`` rows
-    lie (six deviations of room), so only about that many are ever ordered,
-    however hot a class is.
+    """At most ``per_class`` rows of each class and about ``total`` in all, by hash order of doc_id.
+
+    ``labelled`` has doc_id and y; an id with several labels takes the least.
+    Returns [(doc_id, y)] in hash order and the row count of each class over
+    *all* of ``labelled``.  With more than ``total`` classes the ``total`` largest
+    are taken.  The counts give each class a cut on the hash below which its
+    share of rows lies (six deviations of room); the rows under the cuts, about
+    ``total``, are cut to size on the driver, so nothing is ever ordered or
+    gathered by class on the cluster.
     """
     spark = labelled.sparkSession
-    # one row per id, whatever is repeated
-    rows = labelled.where("doc_id is not null and y is not null").dropDuplicates(["doc_id"])
+    rows = labelled.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.min("y").alias("y"))
     counts = {r.y: r["count"] for r in rows.groupBy("y").count().orderBy(F.desc("count"), "y").limit(total).collect()}
     if not counts:
         return [], {}
-    room = per_class + 6 * per_class**0.5 + 10
+    each = max(1, min(per_class, total // len(counts)))
+    room = each + 6 * each**0.5 + 10
     cuts = spark.createDataFrame([(y, int(min(1.0, room / n) * 2**62)) for y, n in counts.items()], T.StructType([labelled.schema["y"], T.StructField("cut", T.LongType())]))
-    order = Window.partitionBy("y").orderBy("h", "doc_id")
     near = rows.withColumn("h", F.shiftrightunsigned(F.xxhash64("doc_id"), 2)).join(F.broadcast(cuts), "y").where("h <= cut")  # at most `total` classes
-    picked = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class).orderBy("n", "y").limit(total).select("doc_id", "y").collect()
-    kept = {r.y for r in picked}
-    return [(r.doc_id, r.y) for r in picked], {y: n for y, n in counts.items() if y in kept}
+    taken: dict = {}
+    picked = []
+    for r in sorted(near.select("doc_id", "y", "h").collect(), key=lambda r: (r.h, r.doc_id)):
+        taken[r.y] = taken.get(r.y, 0) + 1
+        if taken[r.y] <= each:
+            picked.append((r.doc_id, r.y))
+    return picked, counts
+
 
+def fetch_texts(docs: DataFrame, picked: list[tuple[int, object]], max_chars: int) -> dict:
+    """doc_id -> whole text for the bounded list ``picked`` of (doc_id, class).
 
-def fetch_texts(docs: DataFrame, ids: list, max_chars: int) -> dict:
-    """doc_id -> whole text for the bounded list ``ids``; texts over ``max_chars`` are left out of the fit."""
-    if not ids:
+    Whole texts are taken in hash order until a class has used ``max_chars``
+    characters (its first text always); long texts count, none is left out for
+    its length.  An id with several texts takes the least.
+    """
+    if not picked:
         return {}
     spark = docs.sparkSession
-    wanted = spark.createDataFrame([(i,) for i in ids], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType)]))
+    wanted = spark.createDataFrame([(i, n) for n, (i, _) in enumerate(picked)], T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("n", T.IntegerType())]))
     rows = (
         docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .where(F.length("text") <= max_chars)
         .join(F.broadcast(wanted), "doc_id")  # at most `total` ids of the sample
-        .groupBy("doc_id")
+        .groupBy("doc_id", "n")
         .agg(F.min("text").alias("text"))
+        .orderBy("n")
     )
-    return {r.doc_id: r.text for r in rows.toLocalIterator()}
+    classes, used, out = dict(picked), {}, {}
+    for r in rows.toLocalIterator():
+        y = classes[r.doc_id]
+        if y not in used or used[y] + len(r.text) <= max_chars:
+            used[y] = used.get(y, 0) + len(r.text)
+            out[r.doc_id] = r.text
+        else:
+            used[y] = max_chars + 1
+    return out
 
 
 def training_set(docs: DataFrame, labelled: DataFrame, per_class: int, total: int, max_chars: int):
     """(texts, classes, y, weights): weights undo the class-balanced sampling."""
     picked, counts = bounded_sample(labelled, per_class, total)
-    texts = fetch_texts(docs, [i for i, _ in picked], max_chars)
+    texts = fetch_texts(docs, picked, max_chars)
     picked = [(i, y) for i, y in picked if i in texts]
     classes = sorted({y for _, y in picked})
     y = np.array([classes.index(c) for _, c in picked], dtype=np.int64)
