@@ -5,7 +5,7 @@ boundary marks) plus itself.  Bucket vectors are averaged over the text and feed
 a linear softmax; bucket vectors and softmax are trained jointly by minibatch
 stochastic gradient descent with per-parameter step sizes, in numpy.  A word
 weighs the square root of its count, and ``smooth`` zero vectors join
-every average, so that short or looping texts need more than one odd word.
+every average, so that very short texts need more than one odd word.
 
 Because both the average and the softmax input are linear, a trained model folds
 into one logit row per bucket and hence one row per *word*; scoring a text is a
@@ -109,59 +109,88 @@ class WordRows:
 
 @dataclass
 class SubwordModel:
-    """Averaged subword-bag embeddings into a linear softmax with temperature."""
+    """Averaged subword-bag embeddings into a linear softmax with temperature.
+
+    ``min_docs`` leaves out buckets seen in fewer training texts; ``shrink`` is
+    a group-lasso step after each update: a bucket's whole vector moves that far
+    towards zero, so buckets that carry nothing stay at zero instead of
+    memorising single texts.  Vectors start at zero, hence a bucket never seen
+    adds nothing.  At least ``steps`` minibatches are taken, however few the
+    texts.
+    """
 
     classes: list
-    sizes: tuple[int, ...] = (3, 4, 5)
+    sizes: tuple[int, ...] = (3, 4, 5, 6)
     bits: int = 18
     dim: int = 8
-    epochs: int = 16
+    epochs: int = 10
+    steps: int = 1200
     rate: float = 3.0
     seed: int = 7
-    smooth: float = 100.0
+    smooth: float = 20.0
+    min_docs: int = 3
+    shrink: float = 0.03
     temperature: float = 1.0
     bias: np.ndarray | None = None
     folded: np.ndarray | None = field(default=None, repr=False)
+    #: Buckets with a vector, their vectors and the softmax, as trained (``folded`` is what scoring needs of them).
+    parts: tuple | None = field(default=None, repr=False)
 
-    def fit(self, texts, y: np.ndarray, weights: np.ndarray | None = None) -> SubwordModel:
-        """Train on an iterable of texts; ``weights`` scales each text's loss."""
+    def bags(self, texts) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+        """Per text its distinct buckets and their summed damped counts; and each bucket's number of texts."""
         vocab: dict[str, int] = {}
-        docs = []
+        words = []
         for text in texts:
-            words = Counter(tokens(text))
-            docs.append((np.array([vocab.setdefault(w, len(vocab)) for w in words], np.int64), damped(words)))
+            counts = Counter(tokens(text))
+            words.append((np.array([vocab.setdefault(w, len(vocab)) for w in counts], np.int64), damped(counts)))
         known = list(vocab)
         chunks = [ngram_buckets(known[lo : lo + 20_000], self.sizes, self.bits) for lo in range(0, len(known), 20_000)]
         grams = np.concatenate([np.zeros(0, np.int32), *(c[0] for c in chunks)])
         per_word = np.concatenate([np.zeros(0, np.int64), *(c[1] for c in chunks)])
         ends = np.cumsum(per_word)
+        bags, seen = [], np.zeros(1 << self.bits, np.int64)
+        for ids, damp in words:
+            n = per_word[ids]
+            first = np.repeat(ends[ids] - n - (np.cumsum(n) - n), n)
+            buckets, at = np.unique(grams[first + np.arange(len(first))], return_inverse=True)
+            bags.append((buckets, np.bincount(at, np.repeat(damp, n), len(buckets)).astype(np.float32)))
+            seen[buckets] += 1
+        return bags, seen
+
+    def fit(self, texts, y: np.ndarray, weights: np.ndarray | None = None) -> SubwordModel:
+        """Train on an iterable of texts; ``weights`` scales each text's loss."""
+        bags, seen = self.bags(texts)
+        known = np.flatnonzero(seen >= self.min_docs)
+        place = np.full(1 << self.bits, -1, np.int32)
+        place[known] = np.arange(len(known))
+        docs = []
+        for buckets, counts in bags:  # the average is over all n-grams, those left out included
+            at, share = place[buckets], counts / (counts.sum() + self.smooth)
+            docs.append((at[at >= 0], share[at >= 0]))
+        del bags
         rng = np.random.default_rng(self.seed)
         n_cls = len(self.classes)
-        emb = rng.normal(0, 0.1, (1 << self.bits, self.dim)).astype(np.float32)
+        emb = np.zeros((len(known), self.dim), np.float32)
         soft = rng.normal(0, 0.5, (self.dim, n_cls)).astype(np.float32)
         bias = np.zeros(n_cls, np.float32)
-        g_emb = np.full(1 << self.bits, 1e-8, np.float32)
+        g_emb = np.full(len(known), 1e-8, np.float32)
         g_soft, g_bias = np.full(soft.shape, 1e-6, np.float32), np.full(n_cls, 1e-6, np.float32)
         weights = np.ones(len(docs)) if weights is None else weights
-        order = np.arange(len(docs))
-        for _ in range(self.epochs):
+        order, slot, there = np.arange(len(docs)), np.zeros(len(known), np.int32), np.zeros(len(known), bool)
+        batches = -(-len(docs) // 32)
+        for _ in range(max(self.epochs, -(-self.steps // max(batches, 1)))):
             rng.shuffle(order)
             for lo in range(0, len(order), 32):
                 pick = order[lo : lo + 32]
-                ids, counts, own = [], [], []
-                for k, d in enumerate(pick):
-                    words, damp = docs[d]
-                    n = per_word[words]
-                    first = np.repeat(ends[words] - n - np.concatenate(([0], np.cumsum(n)[:-1])), n)
-                    ids.append(grams[first + np.arange(len(first))])
-                    counts.append(np.repeat(damp, n).astype(np.float32))
-                    counts[-1] /= counts[-1].sum() + self.smooth
-                    own.append(np.full(len(first), k))
-                ids, counts, own = map(np.concatenate, (ids, counts, own))
+                ids = np.concatenate([docs[d][0] for d in pick])
                 if not len(ids):
                     continue
-                uniq, inv = np.unique(ids, return_inverse=True)
-                mat = np.bincount(own * len(uniq) + inv, counts, len(pick) * len(uniq)).reshape(len(pick), len(uniq)).astype(np.float32)
+                there[ids] = True
+                uniq = np.flatnonzero(there)
+                there[uniq] = False
+                slot[uniq] = np.arange(len(uniq))
+                mat = np.zeros((len(pick), len(uniq)), np.float32)
+                mat[np.repeat(np.arange(len(pick)), [len(docs[d][0]) for d in pick]), slot[ids]] = np.concatenate([docs[d][1] for d in pick])
                 sub = emb[uniq]
                 hid = mat @ sub
                 z = hid @ soft + bias
@@ -172,12 +201,17 @@ class SubwordModel:
                 d_emb = mat.T @ (err @ soft.T)
                 d_soft, d_bias = hid.T @ err, err.sum(0)
                 g_emb[uniq] += (d_emb**2).mean(1)
-                emb[uniq] -= self.rate * d_emb / np.sqrt(g_emb[uniq])[:, None]
+                sub -= self.rate * d_emb / np.sqrt(g_emb[uniq])[:, None]
+                if self.shrink:
+                    sub *= np.maximum(0, 1 - self.shrink / np.maximum(np.sqrt((sub**2).sum(1, keepdims=True)), 1e-9))
+                emb[uniq] = sub
                 g_soft += d_soft**2
                 soft -= 0.2 * self.rate * d_soft / np.sqrt(g_soft)
                 g_bias += d_bias**2
                 bias -= 0.2 * self.rate * d_bias / np.sqrt(g_bias)
-        self.bias, self.folded = bias.astype(np.float64), emb @ soft
+        self.bias, self.folded = bias.astype(np.float64), np.zeros((1 << self.bits, n_cls), np.float32)
+        self.folded[known] = emb @ soft
+        self.parts = known, emb, soft
         return self
 
     def rows(self, words: list[str]) -> np.ndarray:

@@ -2,14 +2,17 @@
 
 Bucket vectors of character n-grams and the softmax are trained jointly, so an
 unseen misspelling shares most of its n-gram vectors with the word it bends.
-The fit uses a bounded, class-balanced sample of labelled rows (``per_class``,
-``total``, ``max_chars``), reweighted to the true class shares; a fifth of it
-sets the temperature.  Scoring covers every whole text.
+The fit uses a bounded sample of labelled rows (``per_class``, ``total``
+rows, ``max_chars`` characters a class), reweighted to the true class shares and
+then part of the way back (``balance``).  A model fitted on four fifths sets the
+temperature on the last; the one used is then fitted on all.  Scoring covers every whole text.
 
 Defined results: null and empty texts, and texts without letters, score as the
 model's bias (the clean prior); without labelled rows of both classes every
-score is the share of label 1 (0 if there is none); repeated rows score alike; extra columns
-are never read.
+score is the share of label 1 (0 if there is none); an id with several labels
+counts as toxic if one of them is; repeated rows score alike; an empty table
+gives an empty result; extra columns, whatever their names, are never read and
+``keep_clean`` passes them through.
 """
 
 from __future__ import annotations
@@ -27,8 +30,12 @@ from switchyard.llm.subword import SubwordModel, WordRows
 THRESHOLD = 0.7
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held: int, per_class: int = 5000, total: int = 10_000, max_chars: int = 30_000, **model) -> SubwordModel:
-    """Fit on labelled documents outside the held-out fold."""
+def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held: int, per_class: int = 3000, total: int = 6000, max_chars: int = 15_000_000, balance: float = 0.5, **model) -> SubwordModel:
+    """Fit on labelled documents outside the held-out fold.
+
+    A class's loss is scaled by its share to the power ``-balance``: 0 keeps the
+    true shares, 1 gives both classes the same say.
+    """
     labelled = labels.select("doc_id", F.col(column).cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~C.fold(F.col("doc_id"), parts, held))
     labelled = labelled.groupBy("doc_id").agg(F.max("y").alias("y"))
     labelled = labelled.join(docs.select("doc_id"), "doc_id", "left_semi")
@@ -39,12 +46,15 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held: int,
         flat.bias = np.log(np.array([1 - share, share]) + 1e-9)
         flat.folded = np.zeros((1 << flat.bits, 2), np.float32)
         return flat
-    rng = np.random.default_rng(11)
-    order = rng.permutation(len(texts))
+    weights = weights * (np.bincount(y, weights) / weights.sum())[y] ** -balance
+    weights /= weights.mean()
+    order = np.random.default_rng(11).permutation(len(texts))
     cut = max(1, len(texts) // 5)
     tune, train = order[:cut], order[cut:]
-    fitted = SubwordModel(classes, **model).fit([texts[i] for i in train], y[train], weights[train])
-    return fitted.calibrate(fitted.logits((texts[i] for i in tune), WordRows(fitted.rows, 50_000)), y[tune], weights[tune])
+    trial = SubwordModel(classes, **model).fit([texts[i] for i in train], y[train], weights[train])
+    trial.calibrate(trial.logits((texts[i] for i in tune), WordRows(trial.rows, 50_000)), y[tune], weights[tune])
+    fitted = SubwordModel(classes, **model | {"temperature": trial.temperature})
+    return fitted.fit([texts[i] for i in order], y[order], weights[order])
 
 
 def scorer(spark: SparkSession, model: SubwordModel):
