@@ -4,20 +4,27 @@ Tokens are runs of letters, of digits or of marks.  Each has a sparse ternary
 index vector derived from its hash; its word vector is that plus the
 (normalised) sum of the index vectors seen within two places of it in the
 training sample.  Tokens outside the sample's vocabulary share the vector of
-their shape (case, length).  Pseudo-words stand for a token repeated one to
-four places on, or seen before in the text, so that loops pool to their own
-direction.  A document is the mean of its word vectors plus its log length; a
-two-layer numpy network scores it and a temperature set on a fifth of the
-sample calibrates the probability.
-
-The fit uses a bounded, class-balanced sample (``per_class``, ``total``,
-``max_chars``), reweighted to the true class shares.  Scoring covers every
-whole text.  The pooling is linear, so the first layer is folded into the word
-rows, which are cached per word.
+their shape (case, length).  A pair of equal tokens one to four places apart is
+a token too (``PAIRS``), as is a token seen before in the text; their vectors
+are made in the same way, by hash and context, in the same dimensions, so loops
+pool towards them.  A document is the mean of its tokens' vectors and nothing
+else; a two-layer numpy network scores it.
+
+A temperature set on a fifth of the sample calibrates the probability.  Its
+targets are smoothed by the number of tuning rows, (n + 1) / (n + 2) for a class
+of n, so a separable sample gives a finite temperature.
+
+The fit uses a bounded, class-balanced sample (``per_class``, ``total`` rows,
+``max_chars`` characters a class), reweighted to the true class shares; of its
+words the ``max_vocab`` most frequent seen ``min_count`` times have vectors of
+their own.  Scoring covers every whole text.  The pooling is linear, so the
+first layer is folded into the word rows, which are cached per word.
 
 Defined results: null and empty texts pool to the zero vector; without labelled
-rows of both classes every score is the share of label 1 (0 if none); repeated
-rows score alike; extra columns are never read.
+rows of both classes every score is the share of label 1 (0 if none); an id with
+several labels takes the least; repeated rows score alike; an empty table gives
+an empty result; extra columns, whatever their names, are never read and
+``keep_good`` passes them through.
 """
 
 from __future__ import annotations
@@ -39,6 +46,8 @@ from switchyard.llm.subword import WordRows
 THRESHOLD = 0.7
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 LAGS = (1, 2, 3, 4)
+#: Tokens for equal pairs by distance, and for a token seen anywhere before.
+PAIRS = [*(f"<again {k}>" for k in LAGS), "<seen>"]
 
 
 def shape(token: str) -> str:
@@ -48,14 +57,22 @@ def shape(token: str) -> str:
     return f"<digits {min(len(token), 9)}>" if token.isdigit() else f"<marks {token[0]} {min(len(token), 4)}>"
 
 
-def index_vectors(tokens: list[str], dim: int, nonzero: int = 4) -> np.ndarray:
-    """Sparse ternary vectors, a pure function of each token."""
-    out = np.zeros((len(tokens), dim), np.float32)
+def index_places(tokens: list[str], dim: int, nonzero: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Where each token's index vector is not zero, and its signs there: a pure function of the token."""
+    at, sign = np.zeros((len(tokens), nonzero), np.int64), np.zeros((len(tokens), nonzero), np.float32)
     for k, t in enumerate(tokens):
         h = zlib.crc32(t.encode("utf-8", "surrogatepass"))
         for j in range(nonzero):
             h = zlib.crc32(h.to_bytes(4, "little"), j)
-            out[k, h % dim] += 1.0 if h >> 31 else -1.0
+            at[k, j], sign[k, j] = h % dim, 1.0 if h >> 31 else -1.0
+    return at, sign
+
+
+def index_vectors(tokens: list[str], dim: int) -> np.ndarray:
+    """Sparse ternary vectors (a place drawn twice adds up)."""
+    at, sign = index_places(tokens, dim)
+    out = np.zeros((len(tokens), dim), np.float32)
+    np.add.at(out, (np.arange(len(tokens))[:, None], at), sign)
     return out
 
 
@@ -78,19 +95,38 @@ class QualityModel:
 
     # ---- word vectors
     def index_words(self, texts: list[str]) -> None:
-        counts = Counter()
+        counts, spelled, texts_of = Counter(), {}, []
         for t in texts:
-            counts.update(TOKEN.findall(t))
+            texts_of.append(np.array([spelled.setdefault(w, len(spelled)) for w in TOKEN.findall(t)], np.int64))
+        total = np.bincount(np.concatenate([np.zeros(0, np.int64), *texts_of]), minlength=len(spelled))
+        counts = dict(zip(spelled, total.tolist(), strict=True))
         known = sorted((w for w, n in counts.items() if n >= self.min_count), key=lambda w: (-counts[w], w))[: self.max_vocab]
-        names = known + sorted({shape(w) for w in counts})
+        names = [*PAIRS, *known, *sorted({shape(w) for w in counts})]
         self.vocab = {w: i for i, w in enumerate(names)}
-        index = index_vectors(names, self.dim)
-        context = np.zeros(index.shape)
-        for t in texts:
-            ids = np.array([self.vocab.get(w, -1) if w in self.vocab else self.vocab[shape(w)] for w in TOKEN.findall(t)], np.int64)
+        row_of = np.array([self.vocab.get(w, -1) if w in self.vocab else self.vocab[shape(w)] for w in spelled], np.int64)
+        at, sign = index_places(names, self.dim)
+        context, held, size = np.zeros(len(names) * self.dim), [], 0
+
+        def add() -> None:
+            here, there = map(np.concatenate, zip(*held, strict=True))
+            for j in range(at.shape[1]):
+                context[:] += np.bincount(here * self.dim + at[there, j], sign[there, j], len(context))
+
+        for spelt in texts_of:
+            ids = row_of[spelt] if len(spelt) else spelt
             for k in (1, 2):
-                for a, b in ((ids[:-k], ids[k:]), (ids[k:], ids[:-k])):
-                    np.add.at(context, a, index[b])
+                held += [(ids[:-k], ids[k:]), (ids[k:], ids[:-k])]
+            for j, k in enumerate(LAGS):  # a pair's context is the token it repeats
+                again = ids[k:][spelt[k:] == spelt[:-k]]
+                held.append((np.full(len(again), j), again))
+            size += 4 * len(ids)
+            if size > 4_000_000:
+                add()
+                held, size = [], 0
+        if held:
+            add()
+        context = context.reshape(-1, self.dim)
+        index = index_vectors(names, self.dim)
         norm = np.linalg.norm(context, axis=1, keepdims=True)
         own = np.linalg.norm(index, axis=1, keepdims=True)
         self.vectors = (index + context / np.maximum(norm, 1e-9) * np.maximum(own, 1)).astype(np.float32)
@@ -111,29 +147,20 @@ class QualityModel:
         return out
 
     # ---- documents
-    def pool(self, text: str | None, cache: WordRows, pseudo: np.ndarray) -> np.ndarray:
-        """Mean row over the text's tokens and pseudo-words; the last row of ``pseudo`` is log length."""
+    def pool(self, text: str | None, cache: WordRows, pairs: np.ndarray) -> np.ndarray:
+        """Mean row over the text's tokens, equal pairs (rows ``pairs``) included."""
         words = TOKEN.findall(text) if text else []
         if not words:
-            return np.zeros(pseudo.shape[1])
+            return np.zeros(pairs.shape[1])
         cache.load(set(words))
         ids = np.fromiter(map(cache.ids.__getitem__, words), np.int32, len(words))
-        out = cache.table[ids].sum(0, dtype=np.float64)
         n = len(ids)
-        for j, k in enumerate(LAGS):
-            out += pseudo[j] * np.count_nonzero(ids[k:] == ids[:-k]) if n > k else 0
-        out += pseudo[len(LAGS)] * (n - len(np.unique(ids)))
-        return out / n + pseudo[-1] * np.log1p(n)
-
-    def pseudo_vectors(self) -> np.ndarray:
-        """One extra dimension per pseudo-word and one for log length."""
-        return np.eye(len(LAGS) + 2)
+        again = np.array([*(np.count_nonzero(ids[k:] == ids[:-k]) for k in LAGS), n - len(np.unique(ids))])
+        return (cache.table[ids].sum(0, dtype=np.float64) + again @ pairs) / (n + again.sum())
 
     def document_vectors(self, texts) -> np.ndarray:
-        extra = len(LAGS) + 2
-        wide = WordRows(lambda ws: np.column_stack((self.word_vectors(ws), np.zeros((len(ws), extra), np.float32))), 50_000)
-        pseudo = np.column_stack((np.zeros((extra, self.dim)), self.pseudo_vectors()))
-        return np.array([self.pool(t, wide, pseudo) for t in texts])
+        cache, pairs = WordRows(self.word_vectors, 50_000), self.word_vectors(PAIRS)
+        return np.array([self.pool(t, cache, pairs) for t in texts])
 
     # ---- network
     def fit(self, texts: list[str], y: np.ndarray, weights: np.ndarray) -> QualityModel:
@@ -160,27 +187,31 @@ class QualityModel:
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     p[k] = p[k] - 3e-3 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
-        z = np.maximum(x[tune] @ p[0] + p[1], 0) @ p[2] + p[3]
-        grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
-        losses = [np.average(np.logaddexp(0, np.where(y[tune] == 1, -z, z) / t), weights=weights[tune]) for t in grid]
-        self.temperature = float(grid[int(np.argmin(losses))])
+        self.calibrate(np.maximum(x[tune] @ p[0] + p[1], 0) @ p[2] + p[3], y[tune], weights[tune])
         self.w1, self.b1 = p[0] / dev[:, None], p[1] - (mean / dev) @ p[0]
         self.w2, self.b2 = p[2], float(p[3][0])
         return self
 
+    def calibrate(self, z: np.ndarray, y: np.ndarray, weights: np.ndarray) -> None:
+        """The temperature with the least weighted log loss against smoothed targets."""
+        n1 = int(y.sum())
+        goal = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (len(y) - n1 + 2))
+        grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
+        self.temperature = float(min(grid, key=lambda t: np.average(goal * np.logaddexp(0, -z / t) + (1 - goal) * np.logaddexp(0, z / t), weights=weights)))
+
     def rows(self, words: list[str]) -> np.ndarray:
-        return (self.word_vectors(words) @ self.w1[: self.dim]).astype(np.float32)
+        return (self.word_vectors(words) @ self.w1).astype(np.float32)
 
     def scores(self, texts, cache: WordRows | None) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
-        pseudo = self.w1[self.dim :]
-        h = np.array([self.pool(t, cache, pseudo) for t in texts]).reshape(len(texts), self.hidden) + self.b1
+        pairs = self.word_vectors(PAIRS) @ self.w1
+        h = np.array([self.pool(t, cache, pairs) for t in texts]).reshape(len(texts), self.hidden) + self.b1
         z = np.maximum(h, 0) @ self.w2 + self.b2
         return 1 / (1 + np.exp(-np.clip(z / self.temperature, -500, 500)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_class: int = 4000, total: int = 8000, max_chars: int = 30_000, **model) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_class: int = 4000, total: int = 8000, max_chars: int = 20_000_000, **model) -> QualityModel:
     """Fit on labelled documents outside the held-out fold."""
     labelled = labels.select("doc_id", F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & ~C.fold(F.col("doc_id"), parts, held))
     labelled = labelled.groupBy("doc_id").agg(F.min("y").alias("y")).join(docs.select("doc_id"), "doc_id", "left_semi")
