@@ -1,7 +1,8 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax.
 
 Trained by stochastic gradient descent in numpy on a bounded sample with equal
-room for each language (``per_class``, ``total``, ``max_chars``).  A fifth of
+room for each language (``per_class``, ``total`` rows, ``max_chars`` characters
+a language; with more than ``total`` languages the largest are learned).  A fifth of
 the sample sets the temperature and the rejection level: the lowest
 probability at or above which at least ``precision`` of the tuning rows are
 right.  Rejection is reported in ``accepted``; ``lang_pred`` always names the
@@ -14,6 +15,7 @@ agree; extra columns are never read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.llm import _common as C
-from switchyard.llm.subword import SubwordModel, WordRows, tokens
+from switchyard.llm.subword import SubwordModel, WordRows
+
+LETTER = re.compile(r"[^\W\d_]")  # also numerals such as ² and Ⅷ, which has_letter sorts out
+
+def has_letter(text: str | None) -> bool:
+    """Whether any character is a letter (Unicode L*); digits of any kind and numerals are not."""
+    return bool(text) and any(m.group().isalpha() for m in LETTER.finditer(text))
 
 
 @dataclass
@@ -32,7 +40,7 @@ class LanguageModel:
     reject_below: float = 0.5
 
 
-def fit(docs: DataFrame, parts: int = 4, held: int = 2, per_class: int = 1500, total: int = 6000, max_chars: int = 30_000, precision: float = 0.99, **model) -> LanguageModel:
+def fit(docs: DataFrame, parts: int = 4, held: int = 2, per_class: int = 1500, total: int = 6000, max_chars: int = 8_000_000, precision: float = 0.99, **model) -> LanguageModel:
     labelled = docs.where(F.col("lang").isNotNull() & ~C.fold(F.col("doc_id"), parts, held)).select("doc_id", F.col("lang").alias("y"))
     texts, classes, y, weights = C.training_set(docs, labelled, per_class, total, max_chars)
     if not classes:
@@ -40,7 +48,7 @@ def fit(docs: DataFrame, parts: int = 4, held: int = 2, per_class: int = 1500, t
     order = np.random.default_rng(13).permutation(len(texts))
     cut = len(texts) // 5
     tune, train = order[:cut], order[cut:]
-    args = {"sizes": (1, 2, 3), "bits": 16, "dim": 16, "epochs": 4, "rate": 0.5} | model
+    args = {"sizes": (1, 2, 3), "bits": 16, "dim": 16, "epochs": 4, "steps": 400, "rate": 0.5, "smooth": 100.0, "min_docs": 1, "shrink": 0.0} | model
     fitted = SubwordModel(classes, **args).fit([texts[i] for i in train], y[train], weights[train])
     if not cut:
         return LanguageModel(fitted)
@@ -66,7 +74,7 @@ def detector(spark: SparkSession, fitted: LanguageModel):
                 yield pd.DataFrame({"lang_pred": ["und"] * len(texts), "score": 0.0, "accepted": False})
                 continue
             p = m.proba(m.logits(texts, cache))
-            known = np.array([bool(tokens(t)) for t in texts], dtype=bool)
+            known = np.array([has_letter(t) for t in texts], dtype=bool)
             top = np.where(known, p.max(1), 0.0)
             yield pd.DataFrame({"lang_pred": np.where(known, np.array(m.classes, dtype=object)[p.argmax(1)], "und"), "score": top, "accepted": known & (top >= shared.value.reject_below)})
 
