@@ -86,26 +86,40 @@ def fct_call_attempt(stg: DataFrame) -> DataFrame:
     return stg.select(F.col("event_id").alias("call_attempt_key"), *keys, *[c for c in stg.columns if c not in dropped])
 
 
-def star(fact: DataFrame, carrier: DataFrame, destination: DataFrame, tier: DataFrame) -> DataFrame:
-    """Fact rows that every dimension covers, with natural codes back.
+#: A dimension of up to so many rows (two short codes each: some 10 MB) is broadcast.
+SMALL_DIMENSION = 100_000
+
+
+def looked_up(rows: DataFrame, dim: DataFrame, key: str, code: str, most: int = SMALL_DIMENSION) -> DataFrame:
+    """``rows`` that the dimension covers, with its natural code.
 
-    No hint: the dimensions are small today, and where they are, adaptive
-    execution broadcasts them by measured size.
+    The dimension's size is measured first; a small one is broadcast, so the
+    rows stay where they are.  A larger one is joined by shuffle, whose key then
+    has many values.
     """
-    return (
-        fact.join(carrier.select("carrier_key", "carrier_code"), "carrier_key")
-        .join(destination.select("destination_key", "destination_code"), "destination_key")
-        .join(tier.select("service_tier_key", "service_tier"), "service_tier_key")
-    )
+    narrow = dim.select(key, code)
+    if narrow.limit(most + 1).count() <= most:
+        narrow = F.broadcast(narrow)
+    return rows.join(narrow, key)
+
+
+def star(fact: DataFrame, carrier: DataFrame, destination: DataFrame, tier: DataFrame) -> DataFrame:
+    """Rows that every dimension covers, with natural codes back."""
+    rows = looked_up(fact, carrier, "carrier_key", "carrier_code")
+    rows = looked_up(rows, destination, "destination_key", "destination_code")
+    return looked_up(rows, tier, "service_tier_key", "service_tier")
 
 
 def agg_routing_interval(fact: DataFrame, carrier: DataFrame, destination: DataFrame, tier: DataFrame) -> DataFrame:
-    """The decision mart.  Money is summed in whole second-microeuros and divided once."""
-    rows = star(fact, carrier, destination, tier)
+    """The decision mart.  Money is summed in whole second-microeuros and divided once.
+
+    A key is the hash of its code, so attempts are grouped by the keys before
+    any join: slots, not attempts, meet the dimensions.
+    """
     n, secs = F.count("*"), F.col("billable_seconds")
     eur = F.lit(60_000_000.0)
     sell, buy, priced = micro("sell_rate_eur_per_min"), micro("buy_rate_eur_per_min"), F.col("has_buy_rate")
-    return rows.groupBy(*GRAIN).agg(
+    slots = fact.groupBy("interval_start_utc", "carrier_key", "destination_key", "origin_cc", "service_tier_key").agg(
         n.alias("attempts"),
         F.count_if("is_answered").alias("answered_attempts"),
         F.count_if("is_human_answered").alias("human_answered_attempts"),
@@ -119,6 +133,8 @@ def agg_routing_interval(fact: DataFrame, carrier: DataFrame, destination: DataF
         (F.sum(F.when(priced, secs * (sell - buy))) / eur).alias("margin_eur"),
         share(F.count_if(priced), n).alias("buy_rate_coverage"),
     )
+    measures = [c for c in slots.columns if c not in GRAIN and not c.endswith("_key")]
+    return star(slots, carrier, destination, tier).select(*GRAIN, *measures)
 
 
 def dq_interval_density(mart: DataFrame, thick: int = 30) -> DataFrame:

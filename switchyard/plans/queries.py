@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from switchyard.functions import interval_bucket, micro, quarantine_reason, share, surrogate_key, utc_naive
 from switchyard.operators import checks as K
 from switchyard.operators import models as M
+from switchyard.plans import damage, scratch, source_queries
 from switchyard.plans.orchestrate import freshness
 from switchyard.schemas import GRAIN, REASONS
 from switchyard.sources.bridge import AS_OF, call_events, call_events_sql
@@ -23,6 +23,7 @@ _REASON = f"case when event_id is null then 'missing_event_id' when billable_sec
 _CTES = f"""
 raw as ({{raw}}),
 flagged as (select *, {_REASON} as quarantine_reason from raw),
+quarantine as (select * from flagged where quarantine_reason is not null),
 ranked as (select *, row_number() over (partition by event_id order by _load_id, _row_id) as rn from flagged where quarantine_reason is null),
 stg as (select event_id, occurred_at as occurred_at_utc, time_bucket(interval '15 minutes', occurred_at) as interval_start_utc, carrier_code, destination_code,
   origin_cc, service_tier, disposition, disposition = 'answered' as is_answered, coalesce(human_answered, false) as is_human_answered, billable_seconds,
@@ -71,15 +72,44 @@ def _stg(spark: SparkSession, d: str, degraded: bool = False) -> DataFrame:
     return M.stg_call_events(call_events(spark, d, degraded), AS_OF)
 
 
-def _nodes(spark: SparkSession, d: str, degraded: bool = False) -> dict[str, DataFrame]:
-    raw = call_events(spark, d, degraded)
-    stg = M.stg_call_events(raw, AS_OF)
-    out = {"call_events": raw, "stg_call_events": stg, "stg_call_events_quarantine": M.stg_call_events_quarantine(raw, AS_OF), "fct_call_attempt": M.fct_call_attempt(stg)}
-    for dim in ("dim_carrier", "dim_destination", "dim_service_tier"):
-        out[dim] = getattr(M, dim)(stg)
-    out["agg_routing_interval"] = M.agg_routing_interval(out["fct_call_attempt"], out["dim_carrier"], out["dim_destination"], out["dim_service_tier"])
-    out["dq_interval_density"] = M.dq_interval_density(out["agg_routing_interval"])
-    return out
+class Nodes(dict):
+    """Every node over the bridge, built when asked for.
+
+    What several nodes read (staging, the dimensions, the mart) is written once.
+    ``damaged`` breaks each node after it is built from sound parents.
+    """
+
+    def __init__(self, spark: SparkSession, d: str, degraded: bool = False, damaged: bool = False):
+        super().__init__()
+        self.raw, self.damaged, self.sound = call_events(spark, d, degraded), damaged, {}
+
+    def _built(self, name: str) -> DataFrame:
+        if name not in self.sound:
+            b = self._built
+            if name == "call_events":
+                out = self.raw
+            elif name == "stg_call_events":
+                out = scratch.written(M.stg_call_events(self.raw, AS_OF), name)
+            elif name == "stg_call_events_quarantine":
+                out = M.stg_call_events_quarantine(self.raw, AS_OF)
+            elif name.startswith("dim_"):
+                out = scratch.written(getattr(M, name)(b("stg_call_events")), name)
+            elif name == "fct_call_attempt":
+                out = M.fct_call_attempt(b("stg_call_events"))
+            elif name == "agg_routing_interval":
+                out = scratch.written(M.agg_routing_interval(b("fct_call_attempt"), *map(b, _DIMS)), name)
+            else:
+                out = M.dq_interval_density(b("agg_routing_interval"))
+            self.sound[name] = out
+        return self.sound[name]
+
+    def __missing__(self, name: str) -> DataFrame:
+        out = self._built(name)
+        self[name] = damage.damaged(name, out) if self.damaged else out
+        return self[name]
+
+
+_DIMS = ("dim_carrier", "dim_destination", "dim_service_tier")
 
 
 # ---- raw layer
@@ -134,12 +164,12 @@ def duplicate_rate(spark, d):
     return call_events(spark, d).agg(F.count("*").alias("delivered"), F.count_distinct("event_id").alias("distinct_events"), share(again, F.count("*")).alias("duplicate_share"))
 
 
-@query("incremental_load", "select count(*) as appended, count(distinct event_id) as distinct_events, min(occurred_at) as first_at_utc from raw where occurred_at >= (select max(occurred_at) from raw where _load_id = '1' and occurred_at <= timestamp '2024-02-01')")
+@query("incremental_load", "select count(*) as appended, count(distinct event_id) as distinct_events, min(occurred_at) as first_at_utc from raw where occurred_at >= (select max(occurred_at) from raw where _load_id = '1' and occurred_at <= timestamp '2024-02-01') or occurred_at is null")
 def incremental_load(spark, d):
     """What an append from the mark of load 1 would read again or anew (closed boundary)."""
     raw = call_events(spark, d)
-    mark = raw.where((F.col("_load_id") == "1") & quarantine_reason(F.lit(AS_OF)).isNull() | (F.col("_load_id") == "1") & (F.col("occurred_at") <= F.lit(AS_OF))).agg(F.max("occurred_at").alias("mark"))
-    fresh = raw.join(mark, F.col("occurred_at") >= F.col("mark"))
+    mark = raw.where((F.col("_load_id") == "1") & (F.col("occurred_at") <= F.lit(AS_OF))).agg(F.max("occurred_at").alias("mark"))
+    fresh = raw.join(mark, (F.col("occurred_at") >= F.col("mark")) | F.col("occurred_at").isNull())  # the other side is one row
     return fresh.agg(F.count("*").alias("appended"), F.count_distinct("event_id").alias("distinct_events"), F.min(utc_naive("occurred_at")).alias("first_at_utc"))
 
 
@@ -160,13 +190,13 @@ def fct_call_attempt(spark, d):
 
 @query("star_join", "select call_attempt_key, carrier_code, destination_code, service_tier from star")
 def star_join(spark, d):
-    n = _nodes(spark, d)
+    n = Nodes(spark, d)
     return M.star(n["fct_call_attempt"], n["dim_carrier"], n["dim_destination"], n["dim_service_tier"]).select("call_attempt_key", "carrier_code", "destination_code", "service_tier")
 
 
 @query("agg_routing_interval", "select * from mart")
 def agg_routing_interval(spark, d):
-    return _nodes(spark, d)["agg_routing_interval"]
+    return Nodes(spark, d)["agg_routing_interval"]
 
 
 @query("answer_rates", "select carrier_code, (count(*) filter (where is_answered))::double / count(*) as answer_rate, (count(*) filter (where is_human_answered))::double / count(*) as human_answer_rate from stg group by carrier_code")
@@ -188,18 +218,18 @@ def money_sums(spark, d):
 
 @query("dq_interval_density", "select * from density")
 def dq_interval_density(spark, d):
-    return _nodes(spark, d)["dq_interval_density"]
+    return Nodes(spark, d)["dq_interval_density"]
 
 
 @query("slot_median", "select origin_cc, quantile_cont(attempts, 0.5)::double as median_attempts from mart group by origin_cc")
 def slot_median(spark, d):
-    return _nodes(spark, d)["agg_routing_interval"].groupBy("origin_cc").agg(F.percentile("attempts", F.lit(0.5)).alias("median_attempts"))
+    return Nodes(spark, d)["agg_routing_interval"].groupBy("origin_cc").agg(F.percentile("attempts", F.lit(0.5)).alias("median_attempts"))
 
 
 @query("threshold_share", "select service_tier, count(*) filter (where attempts >= 30) as thick, (count(*) filter (where attempts >= 30))::double / count(*) as thick_share from mart group by service_tier")
 def threshold_share(spark, d):
     thick = F.count_if(F.col("attempts") >= 30)
-    return _nodes(spark, d)["agg_routing_interval"].groupBy("service_tier").agg(thick.alias("thick"), share(thick, F.count("*")).alias("thick_share"))
+    return Nodes(spark, d)["agg_routing_interval"].groupBy("service_tier").agg(thick.alias("thick"), share(thick, F.count("*")).alias("thick_share"))
 
 
 # ---- checks: a summary each, on clean and on degraded rows
@@ -207,7 +237,8 @@ def _summary(selects: dict[str, str]) -> str:
     return " union all ".join(f"select '{n}' as \"check\", count(*) as failures, case when count(*) = 0 then 'PASS' else 'FAIL' end as status from ({s})" for n, s in selects.items())
 
 
-_SQL_NODE = {"stg_call_events": "stg", "stg_call_events_quarantine": "(select * from flagged where quarantine_reason is not null)", "fct_call_attempt": "fct", "agg_routing_interval": "mart", "dq_interval_density": "density", "dim_carrier": "dim_carrier", "dim_destination": "dim_destination", "dim_service_tier": "dim_service_tier"}
+_SQL_NODE = {"stg_call_events": "stg", "stg_call_events_quarantine": "quarantine", "fct_call_attempt": "fct", "agg_routing_interval": "mart", "dq_interval_density": "density", "dim_carrier": "dim_carrier", "dim_destination": "dim_destination", "dim_service_tier": "dim_service_tier"}
+_SQL_NAME = _SQL_NODE
 
 
 def _kind(prefix: str) -> list[K.Check]:
@@ -223,33 +254,15 @@ def _generic(prefix: str, sql_of: Callable[[str, str], str]) -> dict[str, str]:
     return out
 
 
-@query("dq_not_null", _summary(_generic("not_null_", lambda n, c: f"select 1 from {_SQL_NODE[n]} where {c} is null")))
-def dq_not_null(spark, d):
-    return K.report(_kind("not_null_"), _nodes(spark, d))
-
-
-@query("dq_unique", _summary(_generic("unique_", lambda n, c: f"select {c} from {_SQL_NODE[n]} where {c} is not null group by {c} having count(*) > 1")))
-def dq_unique(spark, d):
-    return K.report(_kind("unique_"), _nodes(spark, d))
-
-
 _ACCEPTED = {"service_tier": ("economy", "standard", "premium", "critical"), "disposition": ("answered", "no_answer", "busy", "failed", "congestion"), "quarantine_reason": REASONS, "network_type": ("FIX", "MOB")}
-
-
-@query("dq_accepted_values", _summary(_generic("accepted_values_", lambda n, c: f"select 1 from {_SQL_NODE[n]} where {c} not in {_ACCEPTED[c]}")))
-def dq_accepted_values(spark, d):
-    return K.report(_kind("accepted_values_"), _nodes(spark, d))
-
-
-@query("dq_relationships", _summary(_generic("relationship_", lambda n, c: f"select 1 from fct where {c} is not null and {c} not in (select {c} from dim_{c.removesuffix('_key')})")))
-def dq_relationships(spark, d):
-    return K.report(_kind("relationship_"), _nodes(spark, d))
-
-
 _COVERAGE = "select count(*) as attempts, count(*) filter (where has_buy_rate) as with_buy_rate, (count(*) filter (where has_buy_rate))::double / count(*) as coverage from fct"
-_SINGULAR_SQL = {
+_FAMILIES = {
+    "dq_not_null": _generic("not_null_", lambda n, c: f"select 1 from {_SQL_NODE[n]} where {c} is null"),
+    "dq_unique": _generic("unique_", lambda n, c: f"select {c} from {_SQL_NODE[n]} where {c} is not null group by {c} having count(*) > 1"),
+    "dq_accepted_values": _generic("accepted_values_", lambda n, c: f"select 1 from {_SQL_NODE[n]} where {c} not in {_ACCEPTED[c]}"),
+    "dq_relationships": _generic("relationship_", lambda n, c: f"select 1 from fct where {c} is not null and not exists (select 1 from dim_{c.removesuffix('_key')} p where p.{c} = fct.{c})"),
     "assert_buy_rate_coverage_above_threshold": f"select * from ({_COVERAGE}) where coverage < 0.85",
-    "assert_quarantine_volume_below_threshold": "select * from (select (select count(*) from flagged where quarantine_reason is not null) as q, (select count(*) from raw) as n) where q::double / nullif(n, 0) > 0.01 or q = 0",
+    "assert_quarantine_volume_below_threshold": "select * from (select (select count(*) from quarantine) as q, (select count(*) from raw) as n) where q::double / nullif(n, 0) > 0.01 or q = 0",
     "assert_human_answer_implies_answer": "select 1 from fct where is_human_answered and not is_answered",
     "assert_no_billing_without_answer": "select 1 from fct where not is_answered and billable_seconds > 0",
     "assert_purchase_rate_below_sale": "select 1 from fct where has_buy_rate and buy_rate_eur_per_min >= sell_rate_eur_per_min",
@@ -257,9 +270,16 @@ _SINGULAR_SQL = {
     "assert_routing_interval_grain_is_unique": f"select 1 from mart group by {', '.join(GRAIN)} having count(*) > 1",
     "assert_density_summary_is_one_row": "select count(*) from density having count(*) <> 1",
 }
-for _c in K.SINGULAR:
-    for _bad in (False, True):
-        query(_c.name + ("_degraded" if _bad else ""), _summary({_c.name: _SINGULAR_SQL[_c.name]}), _bad)(lambda spark, d, c=_c, bad=_bad: K.report([c], _nodes(spark, d, bad)))
+for _name, _selects in _FAMILIES.items():
+    _selects = _selects if isinstance(_selects, dict) else {_name: _selects}
+    _checks = [c for c in K.CHECKS if c.name in _selects]
+    query(_name, _summary(_selects))(lambda spark, d, checks=_checks: K.report(checks, Nodes(spark, d)))
+    # every check again where it must fail
+    QUERIES[f"{_name}_damaged"] = lambda spark, d, checks=_checks: K.report(checks, Nodes(spark, d, damaged=True))
+    ORACLE_SQL[f"{_name}_damaged"] = "with " + _CTES.replace("{raw}", call_events_sql()) + damage.sql_ctes(_SQL_NAME) + ", checked as (select 1) " + f"select * from ({_summary(damage.renamed(_selects, _SQL_NAME))})"
+query("assert_buy_rate_coverage_above_threshold_degraded", _summary({"assert_buy_rate_coverage_above_threshold": _FAMILIES["assert_buy_rate_coverage_above_threshold"]}), True)(
+    lambda spark, d: K.report([K.SINGULAR[0]], Nodes(spark, d, degraded=True))
+)
 
 
 @query("gate_buy_rate_coverage", _COVERAGE)
@@ -287,26 +307,10 @@ def event_id_hash(spark, d):
     return ev.select(F.col("event_id").alias("id"), F.substring(F.sha1(F.concat_ws("|", F.col("ts").cast("date").cast("string"), F.col("event_id").cast("string"), "event_type").cast("binary")), 1, 20).alias("hashed"))
 
 
-def _power_shares(spark: SparkSession, n: int) -> DataFrame:
-    """Shares proportional to 1/rank as whole millionths, with the cumulative bounds of each."""
-    ranks = spark.range(1, n + 1).select(F.col("id").alias("rank"), F.floor(F.lit(1e6) / F.col("id")).alias("w"))
-    upto = Window.orderBy("rank")  # a dozen rows
-    return ranks.select("rank", "w", (F.sum("w").over(upto) - F.col("w")).alias("lo"), F.sum("w").over(upto).alias("hi"))
-
-
-@query("zipf_weights", "select * from (select r as rank, w, (sum(w) over (order by r) - w)::bigint as lo, (sum(w) over (order by r))::bigint as hi from (select r, floor(1e6 / r)::bigint as w from range(1, 13) t(r)))")
-def zipf_weights(spark, d):
-    return _power_shares(spark, 12)
-
-
-@query("weighted_pick", "select rank, count(*) as picks from events e join (select r as rank, sum(w) over (order by r) - w as lo, sum(w) over (order by r) as hi from (select r, floor(1e6 / r)::bigint as w from range(1, 13) t(r))) b on (event_id * 2654435761) % 3103209 >= lo and (event_id * 2654435761) % 3103209 < hi group by rank")
-def weighted_pick(spark, d):
-    """Inverse-transform picks as a range join on cumulative bounds (twelve rows on the other side)."""
-    u = spark.read.parquet(f"{d}/events.parquet").select((F.col("event_id") * 2654435761 % 3103209).alias("u"))
-    b = _power_shares(spark, 12)
-    return u.join(b, (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))).groupBy("rank").agg(F.count("*").alias("picks"))
-
-
 @query("route_eligibility", "select distinct carrier_code, destination_code, origin_cc, service_tier, md5(carrier_code) as carrier_key from stg")
 def route_eligibility(spark, d):
     return _stg(spark, d).select("carrier_code", "destination_code", "origin_cc", "service_tier", surrogate_key("carrier_code").alias("carrier_key")).distinct()
+
+
+QUERIES |= source_queries.QUERIES
+ORACLE_SQL |= source_queries.ORACLE_SQL

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from switchyard.operators import models as M
 from switchyard.operators.checks import CHECKS, Check
+from switchyard.operators.checks import report as counted
 
 
 @dataclass(frozen=True)
@@ -55,23 +56,41 @@ class Report:
 
 
 class Warehouse:
-    """Tables as Parquet folders; a rebuild is written beside the old one, then swapped in."""
+    """Tables as numbered Parquet folders; readers take the newest complete one.
+
+    A build is written beside its predecessors, and Spark's success mark, the
+    last file it writes, makes it current: at no moment is there no table, and
+    nothing is renamed.  The predecessor stays for those who still read it; what
+    is older goes.
+    """
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
+        self._path = spark._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def versions(self, name: str, complete: bool = True) -> list[str]:
+        """Folders of a table, oldest first."""
+        home = self._path(f"{self.root}/{name}")
+        if not self._fs.exists(home):
+            return []
+        found = sorted(s.getPath().getName() for s in self._fs.listStatus(home) if s.getPath().getName().startswith("v"))
+        return [v for v in found if not complete or self._fs.exists(self._path(f"{self.root}/{name}/{v}/_SUCCESS"))]
 
     def path(self, name: str) -> str:
-        return f"{self.root}/{name}"
+        """The current folder of a table."""
+        return f"{self.root}/{name}/{self.versions(name)[-1]}"
+
+    def read(self, name: str) -> DataFrame:
+        return self.spark.read.parquet(self.path(name))
 
     def publish(self, name: str, df: DataFrame) -> DataFrame:
-        jvm = self.spark._jvm
-        new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (self.path(f"{name}.__new"), self.path(name)))
-        df.write.mode("overwrite").parquet(self.path(f"{name}.__new"))
-        fs = old.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        fs.delete(old, True)
-        if not fs.rename(new, old):
-            raise OSError(f"could not publish {name}")
-        return self.spark.read.schema(df.schema).parquet(self.path(name))
+        there = self.versions(name, complete=False)
+        new = f"v{int(there[-1][1:]) + 1 if there else 0:08d}"
+        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.root}/{name}/{new}")
+        for old in self.versions(name)[:-2]:
+            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}/{new}")
 
 
 def run(spark: SparkSession, raw: DataFrame, root: str, as_of: datetime | None = None, checks: list[Check] | None = None) -> Report:
@@ -93,11 +112,12 @@ def run(spark: SparkSession, raw: DataFrame, root: str, as_of: datetime | None =
             continue
         frames[node.name] = store.publish(node.name, node.build(*(frames[p] for p in node.on)))
         report.nodes[node.name] = "BUILT"
-        for check in [c for c in waiting if set(c.on) <= set(frames)]:
-            waiting.remove(check)
-            failures = check.failing(*(frames[n] for n in check.on)).count()
-            report.checks[check.name] = ("FAIL" if failures else "PASS", failures)
-            if failures:
+        ready = [c for c in waiting if set(c.on) <= set(frames)]
+        waiting = [c for c in waiting if c not in ready]
+        found = {r.check: (r.status, r.failures) for r in counted(ready, frames).collect()} if ready else {}  # one job, a row per check
+        report.checks |= found
+        for check in ready:
+            if found[check.name][1]:
                 broken |= set(check.on) - {"call_events"}
     for check in waiting:
         report.checks[check.name] = ("SKIPPED", 0)

@@ -65,31 +65,71 @@ def with_day(rows: DataFrame) -> DataFrame:
 
 def read_raw(spark: SparkSession, where: Destination) -> DataFrame:
     if where.kind == "postgres":
-        return spark.read.format("jdbc").options(**postgres_options(), dbtable="raw.call_events").load()
+        return spark.read.format("jdbc").options(**postgres_options(), dbtable=TABLE).load()
     return spark.read.schema(RAW_TABLE).parquet(where.raw)
 
 
+TABLE, INCOMING = "raw.call_events", "raw.call_events_incoming"
+
+
+def jdbc_write(rows: DataFrame, table: str, mode: str) -> None:
+    rows.write.format("jdbc").options(**postgres_options(), dbtable=table).mode(mode).save()
+
+
+def jdbc_execute(spark: SparkSession, statements: list[str]) -> None:
+    """All statements in one transaction, through the driver's own JDBC connection."""
+    o = postgres_options()
+    spark._jvm.java.lang.Class.forName(o["driver"])
+    link = spark._jvm.java.sql.DriverManager.getConnection(o["url"], o["user"], o["password"])
+    try:
+        link.setAutoCommit(False)
+        for sql in statements:
+            link.createStatement().execute(sql)
+        link.commit()
+    finally:
+        link.close()
+
+
 def overwrite_days(rows: DataFrame, where: Destination) -> None:
-    """Each UTC day in ``rows`` replaces that day's partition: any past day can be run again."""
+    """Each UTC day in ``rows`` replaces that day: any past day can be run again.
+
+    Over JDBC the rows land beside the table first; one transaction then takes
+    the days they hold out of it and puts them in.
+    """
+    if where.kind == "postgres":
+        jdbc_write(with_day(rows), INCOMING, "overwrite")
+        columns = ", ".join(f'"{f.name}"' for f in RAW_TABLE.fields)
+        jdbc_execute(
+            rows.sparkSession,
+            [
+                f"create table if not exists {TABLE} (like {INCOMING})",
+                f"delete from {TABLE} t where exists (select 1 from {INCOMING} i where i.day is not distinct from t.day)",
+                f"insert into {TABLE} ({columns}) select {columns} from {INCOMING}",
+                f"drop table {INCOMING}",
+            ],
+        )
+        return
     with_day(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(where.raw)
 
 
-def high_water_mark(spark: SparkSession, where: Destination) -> datetime | None:
-    """Largest mark recorded for this pipeline and destination, in UTC."""
+def high_water_mark(spark: SparkSession, where: Destination) -> int | None:
+    """Largest mark recorded for this pipeline and destination, in microseconds since 1970 UTC."""
     path = spark._jvm.org.apache.hadoop.fs.Path(where.state)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    us = spark.read.schema("mark_us long").parquet(where.state).agg(F.max("mark_us").alias("m")).first().m
-    return None if us is None else us
+    return spark.read.schema("mark_us long").parquet(where.state).agg(F.max("mark_us").alias("m")).first().m
 
 
 def append_new(rows: DataFrame, where: Destination, as_of: datetime | None = None) -> None:
-    """Append rows at or after the mark (closed boundary: at least once), then move it."""
+    """Append rows at or after the mark (closed boundary: at least once), then move it.
+
+    A row without a date can't be placed before or after the mark: it is kept.
+    """
     spark = rows.sparkSession
     mark = high_water_mark(spark, where)
-    fresh = rows if mark is None else rows.where(F.unix_micros("occurred_at") >= F.lit(mark))
+    fresh = rows if mark is None else rows.where(F.col("occurred_at").isNull() | (F.unix_micros("occurred_at") >= F.lit(mark)))
     if where.kind == "postgres":
-        fresh.write.format("jdbc").options(**postgres_options(), dbtable="raw.call_events").mode("append").save()
+        jdbc_write(with_day(fresh), TABLE, "append")
     else:
         with_day(fresh).write.mode("append").partitionBy("day").parquet(where.raw)
     moved = fresh.where(F.col("occurred_at") <= as_of_column(as_of)).agg(F.max(F.unix_micros("occurred_at")).alias("mark_us")).where("mark_us is not null")

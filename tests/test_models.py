@@ -12,22 +12,26 @@ from switchyard.operators import checks as K
 from switchyard.operators import models as M
 from switchyard.plans import orchestrate, runner
 from switchyard.plans.queries import ORACLE_SQL, QUERIES
+from switchyard.schemas import RAW_TABLE
 from switchyard.sources import loaders
 from switchyard.sources.bridge import AS_OF, call_events
 from switchyard.sources.catalogue import GeneratorConfig
 from switchyard.sources.generator import events
-from switchyard.streaming import load_available
+from switchyard.streaming import interval_attempts, load_available
 
 SF = "/root/testdata/sf0.001"
 here = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
 @here
-@pytest.mark.parametrize("name", ["raw_scan_counts", "quarantine_rows", "stg_call_events", "agg_routing_interval", "dq_interval_density", "dq_not_null", "dq_relationships", "assert_buy_rate_coverage_above_threshold_degraded", "weighted_pick"])
+@pytest.mark.parametrize("name", ["raw_scan_counts", "quarantine_rows", "stg_call_events", "agg_routing_interval", "dq_interval_density", "dq_not_null", "dq_relationships", "assert_buy_rate_coverage_above_threshold_degraded", "source_range", "source_weighted_pick", "source_ineligible_elsewhere", "load_overwrite", "load_append", "star_join"])
 def test_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{SF}/events.parquet'")
-    want, got = con.execute(ORACLE_SQL[name]).df(), QUERIES[name](spark, SF).toPandas()
+    same(con.execute(ORACLE_SQL[name]).df(), QUERIES[name](spark, SF).toPandas())
+
+
+def same(want, got):
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
     rows = lambda df: sorted(str([None if v is None or v != v else v for v in r]) for r in df[columns].astype(object).itertuples(index=False, name=None))
@@ -67,32 +71,42 @@ def test_session_time_zone_changes_nothing(spark):
 def test_gate(spark, tmp_path):
     good = runner.run(spark, call_events(spark, SF), str(tmp_path), AS_OF)
     assert good.ok and len(good.checks) == 57 and set(good.nodes.values()) == {"BUILT"}
-    slots = spark.read.parquet(f"{tmp_path}/agg_routing_interval").count()
+    store = runner.Warehouse(spark, str(tmp_path))
+    slots = store.read("agg_routing_interval").count()
     bad = runner.run(spark, call_events(spark, SF, degraded=True), str(tmp_path), AS_OF)
     assert not bad.ok and bad.checks["assert_buy_rate_coverage_above_threshold"] == ("FAIL", 1)
     assert bad.nodes["agg_routing_interval"] == bad.nodes["dq_interval_density"] == "SKIPPED" and bad.nodes["fct_call_attempt"] == "BUILT"
     assert bad.checks["assert_density_summary_is_one_row"][0] == "SKIPPED"
-    assert spark.read.parquet(f"{tmp_path}/agg_routing_interval").count() == slots  # the older table stays
+    assert store.read("agg_routing_interval").count() == slots  # the older table stays
+    for _ in range(2):
+        store.publish("dim_carrier", spark.range(3))
+    os.mkdir(f"{tmp_path}/dim_carrier/v00009999")  # a build that has not ended
+    assert store.read("dim_carrier").count() == 3 and len(store.versions("dim_carrier")) == 2
+
+
+@here
+@pytest.mark.parametrize("family", ["dq_not_null", "dq_unique", "dq_accepted_values", "dq_relationships", *(c.name for c in K.SINGULAR)])
+def test_each_check_fails_where_it_must(spark, family):
+    sf = SF.replace("0.001", "0.01")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{sf}/events.parquet'")
+    got = QUERIES[f"{family}_damaged"](spark, sf).toPandas()
+    same(con.execute(ORACLE_SQL[f"{family}_damaged"]).df(), got)
+    assert (got.failures > 0).all() and (got.status == "FAIL").all()
 
 
 @here
-def test_each_check_can_fail(spark):
-    raw = call_events(spark, SF)
-    stg = M.stg_call_events(raw, AS_OF)
-    fact = M.fct_call_attempt(stg)
-    by = {c.name: c for c in K.CHECKS}
-    broken = {
-        "assert_human_answer_implies_answer": [fact.withColumn("is_human_answered", F.lit(True))],
-        "assert_no_billing_without_answer": [fact.withColumn("billable_seconds", F.lit(5))],
-        "assert_purchase_rate_below_sale": [fact.withColumn("buy_rate_eur_per_min", F.col("sell_rate_eur_per_min"))],
-        "assert_quarantine_volume_below_threshold": [raw.limit(0), raw],
-        "unique_stg_call_events_event_id": [stg.union(stg)],
-        "not_null_stg_call_events_origin_cc": [stg.withColumn("origin_cc", F.lit(None).cast("string"))],
-        "accepted_values_stg_call_events_service_tier": [stg.withColumn("service_tier", F.lit("gold"))],
-        "relationship_fct_call_attempt_carrier_key": [fact, M.dim_carrier(stg).limit(0)],
-    }
-    for name, frames in broken.items():
-        assert by[name].failing(*frames).count() > 0, name
+def test_a_report_scans_each_node_once(spark):
+    nodes = {"stg_call_events": M.stg_call_events(call_events(spark, SF), AS_OF)}
+    plan = K.report([c for c in K.CHECKS if c.on == ("stg_call_events",) and c.bad], nodes)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count("Relation") == 1
+
+
+def test_large_dimensions_are_not_broadcast(spark):
+    rows, dim = spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("a", "A"), ("c", "C")], "k string, code string")
+    hint = lambda most: "BROADCAST" in M.looked_up(rows, dim, "k", "code", most)._jdf.queryExecution().analyzed().toString().upper()
+    assert hint(2) and not hint(1)
+    assert [tuple(r) for r in M.looked_up(rows, dim, "k", "code").collect()] == [("a", "A")]
 
 
 def test_daily_runs(spark, tmp_path):
@@ -102,6 +116,9 @@ def test_daily_runs(spark, tmp_path):
     reports = orchestrate.backfill(spark, day, day + timedelta(days=1), where, config)
     assert list(reports) == [day, day + timedelta(days=1)]
     assert all(set(r.nodes.values()) == {"BUILT"} for r in reports.values())
+    one_by_one = orchestrate.backfill(spark, day, day + timedelta(days=1), loaders.destination("parquet", str(tmp_path / "each")), config, each=True)
+    built = lambda root: sorted(map(str, runner.Warehouse(spark, f"{root}/models").read("agg_routing_interval").collect()))
+    assert one_by_one[day].ok == reports[day].ok and built(tmp_path) == built(tmp_path / "each")
     exact = GeneratorConfig(events_per_day=400, malformed_share=0)
     assert M.stg_call_events(events(spark, day, 2, exact)).count() == 800
 
@@ -140,3 +157,24 @@ def test_stream_loads_each_event_once(spark, tmp_path):
     got = spark.read.parquet(args[0])
     want = M.stg_call_events(loaders.read_raw(spark, where)).count()
     assert got.count() == got.select("event_id").distinct().count() == want
+    late = events(spark, date(2025, 1, 1), 1, config)  # a year behind what is there: stored all the same
+    loaders.overwrite_days(late, where)
+    load_available(spark, where.raw, *args)
+    assert spark.read.parquet(args[0]).count() == want + M.stg_call_events(late).count()
+
+
+def test_a_future_row_does_not_move_the_windows(spark, tmp_path):
+    """Two batches; the first holds a row of the year 2100, the second ordinary rows that must still count."""
+    config, as_of = GeneratorConfig(events_per_day=300, malformed_share=0), datetime(2026, 4, 1, tzinfo=UTC)
+    day = events(spark, date(2026, 3, 1), 3, config)
+    loaders.with_day(day.limit(1).withColumn("occurred_at", F.lit(datetime(2100, 1, 1, tzinfo=UTC))).withColumn("event_id", F.lit("x"))).write.parquet(str(tmp_path / "in"))
+    run = lambda: interval_attempts(spark.readStream.schema(RAW_TABLE).parquet(str(tmp_path / "in")), late="1 hour", as_of=as_of).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    run()
+    loaders.with_day(day).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    run()
+    run()
+    got = spark.read.parquet(str(tmp_path / "out"))
+    newest = day.agg(F.max("occurred_at")).first()[0]
+    each = day.groupBy(F.window("occurred_at", "15 minutes").alias("w"), "carrier_code").agg(F.count_distinct("event_id").alias("attempts"))
+    want = each.where(F.col("w.end") < F.lit(newest) - F.expr("interval 2 hours")).select(F.col("w.start").alias("s"), "carrier_code", "attempts")
+    assert want.join(got.select(F.col("window.start").alias("s"), "carrier_code", "attempts"), ["s", "carrier_code", "attempts"], "left_anti").count() == 0 < want.count()
