@@ -2,16 +2,22 @@
 
 Each unit vector is turned by seeded random rotations; the signs are its binary
 code and the inner product of the first code with the rotated vector is its
-stored correction factor.  Dividing a code's inner product with another rotated
-vector by the factor estimates their cosine without bias; the estimate's spread
-is known from the factor, so a confidence bound decides which pairs can reach
-the threshold and only those are recomputed exactly, in double precision.
+stored correction factor.  Beside them it stores its rotated components as
+8-bit integers (a fixed dither per dimension makes their rounding unbiased) with
+their offset and step.  Of a pair, one's code times the other's integers, over
+the one's factor, estimates the cosine without bias: an inner product of small
+whole numbers, exact in single precision.  The spread of the estimate follows
+from the factor and the step; a pair whose confidence bound (``EPSILON``
+deviations) lies below the threshold is rejected on that alone.  Only undecided
+pairs are recomputed exactly, in double precision: links have to be exact, so
+none is accepted on its estimate.
 
 Candidates come from the same codes: ``bands`` bands of ``BAND_BITS`` sign bits.
 Two vectors at cosine 0.98 agree in a bit with probability 1 - acos(0.98)/pi =
 0.936, so one of 24 bands of 16 bits matches with probability
 1 - (1 - 0.936^16)^24 > 0.9999 (closer pairs: more).  A pair counts only under
-the first band in which it agrees, so link counts need no pair table.
+the first band in which it agrees, which its codes tell before it is recomputed:
+one exact product a pair, and link counts need no pair table.
 
 Equal vectors are collapsed first.  Buckets of one are dropped by a counted
 join.  A bucket of more than ``tile`` vectors is dealt into square tiles, each
@@ -20,8 +26,9 @@ one edge to the least vector of its part leave the task, never the pairs.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, rows with a null label or null vec_id, and vectors of other lengths
-link with nothing: n_links 0, component_id = vec_id.  Repeated rows link with
-each other.  An empty table gives an empty result.
+link with nothing: n_links 0, component_id = vec_id (null and kept where that is
+null).  Repeated rows link with each other.  An empty table gives an empty
+result.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,7 +39,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.llm import _common as C
@@ -52,12 +59,24 @@ def rotations(dim: int, count: int) -> np.ndarray:
     return np.vstack([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(count)])
 
 
-def encode(unit: np.ndarray, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray]:
-    """Codes (n x bands of 16 bits) and correction factors of unit vectors."""
+@lru_cache(maxsize=8)
+def dither(dim: int) -> np.ndarray:
+    return np.random.default_rng(SEED + dim + 1).random(dim)
+
+
+LEVELS = 255
+
+
+def encode(unit: np.ndarray, bands: int = BANDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of unit vectors: codes (n x bands of 16 bits), correction factors, 8-bit components, their offsets and steps."""
     dim = unit.shape[1]
     turned = unit @ rotations(dim, -(-bands * BAND_BITS // dim)).T
     bits = turned[:, : bands * BAND_BITS] > 0
-    return np.packbits(bits, axis=1).reshape(len(unit), -1), np.abs(turned[:, :dim]).sum(1) / np.sqrt(dim)
+    first = turned[:, :dim]
+    low = first.min(1)
+    step = np.maximum((first.max(1) - low) / (LEVELS - 1), 1e-300)
+    ints = np.clip(np.floor((first - low[:, None]) / step[:, None] + dither(dim)), 0, LEVELS).astype(np.uint8)
+    return np.packbits(bits, axis=1).reshape(len(unit), -1), np.abs(first).sum(1) / np.sqrt(dim), ints, low, step
 
 
 def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -80,14 +99,19 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for b in batches:
-        codes, factors = [None] * len(b), np.zeros(len(b))
+        codes, ints = [None] * len(b), [None] * len(b)
+        numbers = np.zeros((3, len(b)))
         for dim, rows in b.groupby("dim").indices.items():
             x = np.frombuffer(b"".join(b["raw"].iloc[rows]), np.float64).reshape(-1, dim)
-            c, f = encode(x / np.linalg.norm(x, axis=1, keepdims=True))
-            factors[rows] = f
-            for i, code in zip(rows, c, strict=True):
-                codes[i] = code.tobytes()
-        yield pd.DataFrame({"rep": b["rep"], "label": b["label"], "dim": b["dim"], "copies": b["copies"], "raw": b["raw"], "code": codes, "factor": factors})
+            c, factor, small, low, step = encode(x / np.linalg.norm(x, axis=1, keepdims=True))
+            numbers[:, rows] = factor, low, step
+            for i, code, own in zip(rows, c, small, strict=True):
+                codes[i], ints[i] = code.tobytes(), own.tobytes()
+        yield pd.DataFrame({"rep": b["rep"], "label": b["label"], "dim": b["dim"], "copies": b["copies"], "raw": b["raw"], "code": codes, "ints": ints, "factor": numbers[0], "low": numbers[1], "step": numbers[2]})
+
+
+#: Pairs recomputed at a time where few of a block are undecided.
+PAIRS = 65_536
 
 
 class _Group:
@@ -98,24 +122,38 @@ class _Group:
         self.rep, self.copies = b["rep"].to_numpy(np.int64), b["copies"].to_numpy(np.int64)
         x = np.frombuffer(b"".join(b["raw"]), np.float64).reshape(-1, self.dim)
         self.unit = x / np.sqrt((x * x).sum(1))[:, None]
-        self.turned = self.unit @ rotations(self.dim, -(-BANDS * BAND_BITS // self.dim))[: self.dim].T
         self.codes = np.frombuffer(b"".join(b["code"]), np.uint16).reshape(len(b), -1)
-        self.factor = b["factor"].to_numpy()
+        signs = np.unpackbits(self.codes.view(np.uint8).reshape(len(b), -1), axis=1)[:, : self.dim]
+        self.signs = signs.astype(np.float32) * 2 - 1
+        self.ints = np.frombuffer(b"".join(b["ints"]), np.uint8).reshape(len(b), self.dim).astype(np.float32)
+        self.factor, self.low, self.step = (np.maximum(b[c].to_numpy(), least) for c, least in (("factor", 1e-6), ("low", -np.inf), ("step", 0)))
         self.slot = b["slot"].to_numpy()
 
+    def estimates(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Estimated cosines |a| x |b| from what is stored, and the deviation of each at the threshold."""
+        width = self.signs.shape[1]
+        scale = np.sqrt(width) * self.factor[a, None]
+        product = (self.signs[a] @ self.ints[b, :width].T) * self.step[b] + self.signs[a].sum(1)[:, None] * self.low[b]
+        f2 = self.factor[a, None] ** 2
+        code = np.maximum(1 - f2, 0) / f2 * (1 - self.threshold**2) / max(self.dim - 1, 1)
+        return product / scale, np.sqrt(code + (self.step[b] / 2) ** 2 / f2)
+
     def adjacent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Boolean |a| x |b|: linked, and this is the first band in which they agree."""
-        f = np.maximum(self.factor[a], 1e-6)
-        estimate = (np.where(self.turned[a] > 0, 1.0, -1.0) @ self.turned[b].T) / (np.sqrt(self.dim) * f)[:, None]
-        spread = np.sqrt(np.maximum(1 - f * f, 0) / (f * f) * (1 - self.threshold**2) / max(self.dim - 1, 1))
-        maybe = estimate >= (self.threshold - EPSILON * spread)[:, None]
-        out = np.zeros(maybe.shape, bool)
-        rows = np.nonzero(maybe.any(1))[0]
-        if len(rows):
-            exact = self.unit[a[rows]] @ self.unit[b].T >= self.threshold
-            for k in range(self.band):  # found under an earlier band already
-                exact &= self.codes[a[rows], k][:, None] != self.codes[b, k][None, :]
-            out[rows] = exact & maybe[rows]
+        estimate, spread = self.estimates(a, b)
+        if self.signs.shape[1] < self.dim:  # vectors wider than their code: decided exactly
+            estimate = np.full(estimate.shape, np.inf)
+        r, c = np.nonzero(estimate >= self.threshold - EPSILON * spread)
+        for k in range(self.band):  # found under an earlier band already
+            new = self.codes[a[r], k] != self.codes[b[c], k]
+            r, c = r[new], c[new]
+        out = np.zeros(estimate.shape, bool)
+        if 4 * len(r) > out.size:  # most are undecided: one product of the block
+            out[r, c] = (self.unit[a] @ self.unit[b].T)[r, c] >= self.threshold
+        else:
+            for lo in range(0, len(r), PAIRS):
+                i, j = r[lo : lo + PAIRS], c[lo : lo + PAIRS]
+                out[i, j] = np.einsum("ij,ij->i", self.unit[a[i]], self.unit[b[j]]) >= self.threshold
         return out
 
     def compare(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,7 +189,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     kind = {f.name: f.dataType.simpleString() for f in vectors.schema}
     checked = C.materialize(vectors.select("vec_id", "label", "embedding").mapInPandas(_check, f"vec_id {kind['vec_id']}, label {kind['label']}, dim int, raw binary, digest binary"), "vectors")
     distinct = checked.where("digest is not null").groupBy("label", "dim", "digest").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
-    codes = C.materialize(distinct.select("rep", "label", "dim", "copies", "raw").mapInPandas(_encode, f"rep long, label {kind['label']}, dim int, copies long, raw binary, code binary, factor double"), "codes")
+    codes = C.materialize(distinct.select("rep", "label", "dim", "copies", "raw").mapInPandas(_encode, f"rep long, label {kind['label']}, dim int, copies long, raw binary, code binary, ints binary, factor double, low double, step double"), "codes")
     width = BAND_BITS // 8
     keys = F.posexplode(F.array(*[F.substring("code", k * width + 1, width) for k in range(BANDS)])).alias("band", "key")
     placed = codes.select("rep", "label", "dim", keys)
@@ -210,3 +248,37 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(C.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding"))
+
+
+def planted(vectors: DataFrame) -> DataFrame:
+    """The vectors, and two bent copies of each under ids of their own: near ones, and ones about the threshold."""
+    wide = vectors.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("embedding"))
+
+    def bent(bend: float) -> Column:
+        return F.transform("embedding", lambda x, i: x * (1 + F.lit(bend) * (((F.col("vec_id") * 31 + i * 17) % 7) - 3)))
+
+    return wide.union(wide.select(F.col("vec_id") + 1_000_000_000, "label", bent(0.02))).union(wide.select(F.col("vec_id") + 2_000_000_000, "label", bent(0.1)))
+
+
+def embedding_dedup_planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(planted(C.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")))
+
+
+def links_sql(vectors: str = "select vec_id, label, embedding::double[] as embedding from embeddings") -> str:
+    """All links by brute force and their components, in DuckDB SQL."""
+    return f"""
+with recursive v as materialized ({vectors}),
+usable as materialized (select vec_id, label, embedding, sqrt(list_sum([x * x for x in embedding])) as norm from v
+  where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and list_sum([x * x for x in embedding]) > 0),
+pairs as materialized (select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id and len(a.embedding) = len(b.embedding)
+  where list_inner_product(a.embedding, b.embedding) / (a.norm * b.norm) >= {THRESHOLD}),
+reach as (select vec_id as a, vec_id as b from v union select r.a, p.b from reach r join pairs p on r.b = p.a),
+least as (select a, min(b) as component_id from reach group by a),
+counts as (select a, count(*) as n from pairs group by a)
+select v.vec_id, coalesce(n, 0)::bigint as n_links, component_id::bigint as component_id, v.vec_id = component_id as kept
+from v left join counts on counts.a = v.vec_id left join least on least.a = v.vec_id
+"""
+
+
+_BENT = " union all ".join(f"select vec_id + {k * 1_000_000_000}, label, [x * (1 + {bend}::double * (((vec_id * 31 + (i - 1) * 17) % 7) - 3)) for x, i in embedding::double[]] from embeddings" for k, bend in ((1, 0.02), (2, 0.1)))
+PLANTED_SQL = links_sql("select vec_id, label, embedding::double[] as embedding from embeddings union all " + _BENT)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from switchyard.llm.embedding_dedup import op7_embedding_dedup
+from switchyard.llm.embedding_dedup import PLANTED_SQL, embedding_dedup_planted, links_sql, op7_embedding_dedup
 from switchyard.llm.language import op2_language_id
 from switchyard.llm.licenses import licenses_sql, op5_licenses
 from switchyard.llm.media import op4_media
@@ -24,7 +24,8 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "embedding_dedup_planted": embedding_dedup_planted,  # op 7 where there are links to find
 }
 
-#: Learned scores (1, 2, 9), stored files (4), XXH64 prints (6), greedy plans (8) and rotations (7) are tested otherwise.
-ORACLE_SQL = {"op3_token_counts": OP3_SQL, "op5_licenses": licenses_sql(), "op10_mixing": mixing_sql()}
+#: Learned scores (1, 2, 9), stored files (4), XXH64 prints (6) and greedy plans (8) are tested otherwise.
+ORACLE_SQL = {"op7_embedding_dedup": links_sql(), "embedding_dedup_planted": PLANTED_SQL, "op3_token_counts": OP3_SQL, "op5_licenses": licenses_sql(), "op10_mixing": mixing_sql()}
