@@ -24,7 +24,9 @@ shorter one ("SPDX-License-Identifier: MIT-0" holds that of MIT) reports both.
 Defined results: null and empty texts match nothing, nor does a text shorter
 than the template; rows that
 repeat a doc_id are matched on each of their texts and reported once per
-template with the best containment; an empty table gives an empty result.
+template with the best containment, and so are the rows without one, as the
+group of the null id; an empty table gives an empty result; other columns,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -176,7 +178,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, anchors=ANCHORS) -> DataFrame:
     wanted = signed.select("band", "value").distinct()
     hits = bands(shingled.select("doc_id", "h"), ["doc_id"]).join(wanted, ["band", "value"]).distinct()
     retrieved = hits.join(signed, ["band", "value"]).select("doc_id", "template_id").distinct()
-    checked = retrieved.join(table.select("template_id", "license", "th"), "template_id").join(shingled, "doc_id")
+    named = retrieved.withColumnRenamed("doc_id", "_id").join(table.select("template_id", "license", "th"), "template_id")
+    checked = named.join(shingled, F.col("_id").eqNullSafe(F.col("doc_id"))).drop("_id")  # rows without an id are matched too
     found = F.array_intersect("th", "h")
     rows = checked.select("doc_id", "template_id", "license", F.size(found).alias("n_matched"), F.size("th").alias("n_shingles"), F.array_min(F.transform(found, lambda x: F.array_position("h", x))).alias("first_word"))
     rows = rows.withColumn("containment", F.col("n_matched") / F.col("n_shingles")).where(F.col("containment") >= THRESHOLD)
