@@ -72,6 +72,26 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, spread: str, hot: int = 100_000, parts: int = 64) -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row per key) on ``key``, hot keys dealt over tasks.
+
+    The most frequent keys of more than ``hot`` rows (1,000 at most: any further
+    one holds under a thousandth of all rows) get a salt from the hash of
+    ``spread`` on the one side and a copy per salt on the other.  Without hot keys
+    it is the plain join.
+    """
+    salt, heavy, n = unused(rows.join(keyed.limit(0), key), "_salt", "_heavy", "_n")
+    counts = rows.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > hot)
+    big = materialize(counts.orderBy(F.desc(n)).limit(1000).select(key, F.lit(True).alias(heavy)), "hot-keys")
+    if big.isEmpty():
+        return rows.join(keyed, key)
+    big = F.broadcast(big)  # 1,000 keys at most
+    left = rows.join(big, key, "left").withColumn(salt, F.when(F.col(heavy), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0).cast("int"))
+    copies = F.when(F.col(heavy), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
+    right = keyed.join(big, key, "left").withColumn(salt, F.explode(copies))
+    return left.drop(heavy).join(right.drop(heavy), [key, salt]).drop(salt)
+
+
 def fold(doc_id: Column, parts: int, held: int) -> Column:
     """Whether crc32(doc_id as text) mod ``parts`` is ``held``; a null id never is."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == held, F.lit(False))

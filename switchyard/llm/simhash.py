@@ -19,7 +19,9 @@ distances above 2 the large buckets are joined in full.)
 
 Defined results: null and empty texts have no shingle and fingerprint zero,
 linked like any other; fewer than three words form one shingle; repeated rows
-share their component; component_id is the least doc_id reachable.
+share their component; component_id is the least doc_id reachable (null if no
+row of the component has one); an empty table gives an empty result; other
+columns, whatever their names, are never read and ``keep_one`` passes them on.
 """
 
 from __future__ import annotations
@@ -32,7 +34,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from switchyard.llm import _common as C
 from switchyard.llm._graph import connected_components
@@ -101,28 +102,28 @@ def links(prints: DataFrame, distance: int = DISTANCE, bucket: int = 64) -> Data
 
 
 def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """Per row of (doc_id, text): doc_id, fp (signed long), component_id."""
-    printed = C.materialize(docs.select("doc_id", F.pandas_udf(fingerprints, "long")("text").alias("fp")), "prints")
+    """Per row of (doc_id, text): doc_id, text_hash, fp (signed long), component (a fingerprint) and component_id."""
+    printed = C.materialize(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.pandas_udf(fingerprints, "long")("text").alias("fp")), "prints")
     least = printed.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comp = connected_components(links(least.select("fp"), distance))
     # distinct fingerprints -> least doc_id of their component
     joined = least.join(comp, F.col("fp") == F.col("vertex"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     roots = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = C.materialize(joined.join(roots, "component").select(F.col("fp").alias("_fp"), "component_id"), "members")
-    return printed.join(by_print, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+    by_print = C.materialize(joined.join(roots, "component").select("fp", "component", "component_id"), "members")
+    return C.spread_join(printed, by_print, "fp", "doc_id")  # one print may be that of very many rows
 
 
 def keep_one(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group (that of its least doc_id); columns unchanged.
+    """``docs`` with one row of each near-duplicate group (its least doc_id, then the least hash of its text); columns unchanged.
 
-    Of rows that repeat a doc_id, the one with the least text (then any equal
-    one) stays; a row without doc_id can't be told from others and stays.
+    Rows that share a doc_id but not a group are told apart by their texts; of
+    rows equal in both any one stays.  A row without doc_id can't be told from
+    others and stays.
     """
+    (h,) = C.unused(docs, "_text_hash")
     members = near_duplicates(docs.where("doc_id is not null"), distance)
-    least, place = C.unused(docs, "_least", "_place")
-    keep = members.where("doc_id = component_id").select(F.col("doc_id").alias(least)).distinct()
-    order = Window.partitionBy("doc_id").orderBy(F.asc_nulls_first("text"))
-    kept = docs.join(keep, F.col("doc_id") == F.col(least), "left_semi").withColumn(place, F.row_number().over(order)).where(F.col(place) == 1)
+    keep = members.groupBy("component").agg(F.min(F.struct("doc_id", "text_hash")).alias("k")).select("k.doc_id", F.col("k.text_hash").alias(h))
+    kept = docs.withColumn(h, F.xxhash64("text")).join(keep, ["doc_id", h], "left_semi").dropDuplicates(["doc_id", h])
     return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
