@@ -8,11 +8,17 @@ absorbed by partial aggregation.  Totals are sums over committed batches.
 
 A batch is committed by the writer's success mark in its own folder.  The same
 batch id again is ignored once committed; an attempt that died before the mark
-is overwritten.
+is overwritten.  A batch id belongs to one writer at a time: two that commit the
+same id at once are not kept apart (both would write the same folder), so ids
+must be handed out by whoever schedules the batches.
+
+``compact`` sums all committed batches into one more, which from then on stands
+for them; their ids stay known as committed.
 
 Defined results: null source or lang is a group of its own; a null count is 0;
 groups whose documents and tokens are both zero are left out of the totals; an
-empty batch commits nothing but its id.
+empty batch commits nothing but its id; a rollup without batches has no totals;
+of the changes' columns only op, before and after are read.
 """
 
 from __future__ import annotations
@@ -68,16 +74,41 @@ class Rollup:
         signed(changes).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(self._folder(batch))
         return True
 
+    def _compactions(self) -> list[str]:
+        """Complete compactions, oldest first; each holds its batches' sums and their ids."""
+        home = self._path(f"{self.root}/_compact")
+        if not self._fs.exists(home):
+            return []
+        names = sorted(s.getPath().getName() for s in self._fs.listStatus(home))
+        return [n for n in names if self._fs.exists(self._path(f"{self.root}/_compact/{n}/ids/_SUCCESS"))]
+
+    def _compacted(self) -> list[str]:
+        done = self._compactions()
+        return sorted(r.batch for r in self.spark.read.schema("batch string").parquet(f"{self.root}/_compact/{done[-1]}/ids").collect()) if done else []
+
     def batches(self) -> list[str]:
+        """Ids of all committed batches."""
         if not self._fs.exists(self._path(self.root)):
             return []
         names = sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(self.root)))
         return [n for n in names if n[0] not in "_." and self.committed(n)]
 
+    def compact(self) -> None:
+        """Sum the committed batches into a new compaction.  It counts once its list of ids, written last, is complete."""
+        now = self.batches()
+        old = self._compactions()
+        to = f"{self.root}/_compact/{int(old[-1]) + 1 if old else 0:08d}"
+        self._rows().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.mode("overwrite").parquet(f"{to}/sums")
+        self.spark.createDataFrame([(b,) for b in now], "batch string").coalesce(1).write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{to}/ids")  # one name per batch
+
+    def _rows(self) -> DataFrame:
+        """The newest compaction and the batches it does not hold."""
+        done, held = self._compactions(), set(self._compacted())
+        folders = [self._folder(b) for b in self.batches() if b not in held] + [f"{self.root}/_compact/{d}/sums" for d in done[-1:]]
+        return self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
+
     def totals(self) -> DataFrame:
-        folders = [self._folder(b) for b in self.batches()]
-        rows = self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
-        sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        sums = self._rows().groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
 
 
@@ -109,8 +140,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         return rows.select(each).select("c.*")
 
     words1, words2, quads = image("words-v1", "words"), image("words-v2", "runs"), image("quads-v1", "quads")
-    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"))
-    copies = counted.join(first, "digest").where("doc_id > first")
+    first = counted.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = C.spread_join(counted, first, "digest", "doc_id").where("doc_id > first")  # one text may be that of very many rows
     rollup = Rollup(spark, C.new_path(spark, "rollup"))
     inserts = changes(counted, "insert", [(nothing, words1), (nothing, quads)])
     rollup.commit("batch-1", inserts)
