@@ -14,7 +14,10 @@ is written once, across shards the least (shard, offset) is everybody's.
 whole members, checks their digest and computes features of the samples.
 
 Defined results: a null text is empty; an empty payload is one row of 64 zero
-samples; repeated rows share one address; an empty table stores nothing.
+samples; repeated rows share one address; a null doc_id is kept as it is; an
+empty table stores nothing; other columns, whatever their names, are not read.
+A task that fails takes its unfinished shard back; one that is killed outright
+leaves a ``_writing-`` file, which no row refers to.
 """
 
 from __future__ import annotations
@@ -124,18 +127,32 @@ class ShardWriter:
 
     def close(self) -> str:
         """End the shard; its name."""
+        from pyarrow.fs import FileType
+
         self.out.write(bytes(1024))
         self.out.close()
         self.out = None
         name = f"{self.names.hexdigest()}.tar"
-        self.fs.move(self.temp, f"{self.path}/{name}")
+        if self.fs.get_file_info(f"{self.path}/{name}").type == FileType.NotFound:
+            self.fs.move(self.temp, f"{self.path}/{name}")
+        else:  # an earlier attempt at these members got here: the same bytes
+            self.fs.delete_file(self.temp)
         return name
 
+    def abandon(self) -> None:
+        """Take back a shard that was not ended."""
+        if self.out is not None:
+            self.out.close()
+            self.out = None
+            self.fs.delete_file(self.temp)
+
 
-def store(docs: DataFrame, root: str, shard_bytes: int = 32_000_000) -> DataFrame:
+def store(docs: DataFrame, root: str, shard_bytes: int = 32_000_000, shard_rows: int = 50_000) -> DataFrame:
     """Writes all payloads; per row: doc_id, n_bytes, digest (binary SHA-256 of the file), shard, offset, length.
 
-    Materialised once, so that later reads never write again.
+    A shard ends at ``shard_bytes``, or when it serves ``shard_rows`` rows: rows
+    that repeat its contents add no bytes but wait for its name.  Materialised
+    once, so that later reads never write again.
     """
     filesystem_, path = filesystem(root)
     filesystem_.create_dir(path, recursive=True)
@@ -152,17 +169,20 @@ def store(docs: DataFrame, root: str, shard_bytes: int = 32_000_000) -> DataFram
             waiting.clear()
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "digest", "shard", "offset", "length"])
 
-        for batch in (b.slice(lo, 128) for b in batches for lo in range(0, b.num_rows, 128)):
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                raw = text.encode("utf-8", "surrogatepass") if text else b""
-                data = encode_png(pad(raw))
-                digest = hashlib.sha256(data)
-                ids.append(batch.column(0).slice(k, 1))
-                waiting.append((len(raw), digest.digest(), *shards.add(digest.hexdigest(), data)))
-                if shards.full:
-                    yield flush()
-        if waiting:
-            yield flush()
+        try:
+            for batch in (b.slice(lo, 128) for b in batches for lo in range(0, b.num_rows, 128)):
+                for k, text in enumerate(batch.column(1).to_pylist()):
+                    raw = text.encode("utf-8", "surrogatepass") if text else b""
+                    data = encode_png(pad(raw))
+                    digest = hashlib.sha256(data)
+                    ids.append(batch.column(0).slice(k, 1))
+                    waiting.append((len(raw), digest.digest(), *shards.add(digest.hexdigest(), data)))
+                    if shards.full or len(waiting) >= shard_rows:
+                        yield flush()
+            if waiting:
+                yield flush()
+        finally:  # nothing is open unless the task fails or is stopped
+            shards.abandon()
 
     return C.materialize(docs.select("doc_id", "text").mapInArrow(write, f"doc_id {id_type.simpleString()}, n_bytes long, digest binary, shard string, offset long, length long"), "media-rows")
 
@@ -229,5 +249,5 @@ def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     contents = addresses(rows).repartitionByRange("shard", "offset").sortWithinPartitions("shard", "offset")
     found = C.materialize(read_back(metadata(contents, root), root), "features")
     hexed = lambda c: F.lower(F.hex(c))
-    joined = rows.select("doc_id", "n_bytes", "digest").join(found, "digest")
+    joined = C.spread_join(rows.select("doc_id", "n_bytes", "digest"), found, "digest", "doc_id")  # one content may be that of very many rows
     return joined.select("doc_id", "n_bytes", "payload_bytes", hexed("payload_sha256").alias("payload_sha256"), "tail_crc32", F.col("length").alias("media_bytes"), hexed("digest").alias("media_sha256"), "feature", "shard", "offset")
