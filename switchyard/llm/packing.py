@@ -19,7 +19,8 @@ Token ids of a text are the ids of its space- or line-separated words in order
 bounded two-generation cache per Python worker.
 
 Defined results: null and empty texts are the one id 0; repeated rows are
-packed each on their own; an empty table packs to nothing.
+packed each on their own; a null doc_id is kept as it is; an empty table packs to
+nothing; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

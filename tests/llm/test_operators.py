@@ -216,7 +216,9 @@ def test_simhash_keeps_the_least_of_repeated_ids(spark):
     data = [(1, "b c d e f", 8), (1, "a b c d e", 9), (2, "x y z v w", 7), (3, "x y z v w", 6), (4, None, 5), (4, "", 4)]
     got = simhash.keep_one(spark.createDataFrame(data, "doc_id long, text string, _least int"))
     assert got.columns == ["doc_id", "text", "_least"]
-    assert sorted((r[0], r[1], r[2]) for r in got.collect()) == [(1, "a b c d e", 9), (2, "x y z v w", 7), (4, None, 5)]
+    found = sorted((r[0], r[1], r[2]) for r in got.collect() if r[0] != 4)
+    assert found == [(1, "a b c d e", 9), (1, "b c d e f", 8), (2, "x y z v w", 7)]  # one id, two texts: neither copies the other
+    assert got.where("doc_id = 4").count() == 1
 
 
 def test_pipeline_drops_near_copies(spark, docs, empty):
@@ -235,12 +237,13 @@ def test_pipeline_drops_near_copies(spark, docs, empty):
     data = [*enumerate(texts), (1000, None), (1001, ""), (1002, "one two"), (1003, "ONE  two")]
     sets = {i: {tuple(ws[j : j + 5]) for j in range(max(1, len(ws) - 4))} if (ws := (t or "").lower().split()) else set() for i, t in data}
     close = lambda a, b: sets[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
-    stage = dict(corpus_pipeline.STAGES)["near_copies"]
+    stage = dict(corpus_pipeline.STAGES)["simhash_near_dedup"]
     df = spark.createDataFrame(data, "doc_id long, text string")
     kept = sorted(r.doc_id for r in stage(spark, df, "").collect())
     assert not [(a, b) for a in kept for b in kept if a < b and close(a, b)]
-    assert all(any(close(a, b) for a in range(b)) for b in range(len(texts)) if b not in kept)
-    assert {1000, 1001, 1002} <= set(kept) and 1003 not in kept
+    group = {r.doc_id: r.component_id for r in simhash.near_duplicates(df).collect()}
+    assert all(group[b] < b or any(close(a, b) for a in range(b)) for b in range(len(texts)) if b not in kept)
+    assert {1000, 1002} <= set(kept) and not {1001, 1003} & set(kept)  # an empty text copies a null one
     out = near_copies.keep_first(docs)
     assert out.columns == docs.columns and None in [r.doc_id for r in out.select("doc_id").collect()] and near_copies.keep_first(empty).count() == 0
 
@@ -366,3 +369,142 @@ def test_mixing_lands_near_targets(spark):
     got["taken"] = got.repeats * got["size"]
     sums = got.groupby("source").agg(taken=("taken", "sum"), target=("target", "first"))
     assert ((sums.taken - sums.target).abs() <= 20).all()
+
+
+def test_licenses_of_rows_without_an_id(spark):
+    text = "It is released under the MIT License as ever."
+    got = licenses.scan(spark.createDataFrame([(None, text), (None, "nothing here"), (3, text)], "doc_id long, text string"))
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["3", "None"]
+
+
+def test_spread_join_deals_hot_keys(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"))
+    keyed = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    want = sorted(map(tuple, rows.join(keyed, "k").select("doc_id", "k", "v").collect()))
+    for hot in (100, 100_000):
+        got = C.spread_join(rows, keyed, "k", "doc_id", hot=hot)
+        assert sorted(map(tuple, got.select("doc_id", "k", "v").collect())) == want and sorted(got.columns) == ["doc_id", "k", "v"]
+
+
+def test_scratch_needs_a_shared_folder_off_local(spark, monkeypatch):
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *a: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+            @staticmethod
+            def getConf():
+                return Cluster.conf
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        C.shared_dir(Cluster)
+
+
+def test_samples(spark):
+    """By hash order, bounded by rows and characters, whole texts, whatever their length."""
+    labelled = spark.createDataFrame([(i, int(i % 10 == 0)) for i in range(2000)] + [(5, 9), (None, 1)], "doc_id long, y int")
+    picked, counts = C.bounded_sample(labelled, 50, 100)
+    assert counts == {0: 1800, 1: 200} and [sum(y == c for _, y in picked) for c in (0, 1)] == [50, 50]
+    assert picked == C.bounded_sample(labelled.repartition(7), 50, 100)[0]
+    docs = spark.createDataFrame([(i, "x" * (1000 if i % 10 == 0 else 10)) for i in range(2000)], "doc_id long, text string")
+    texts = C.fetch_texts(docs, picked, 5000)
+    assert sum(len(t) == 10 for t in texts.values()) == 50 and sum(len(t) == 1000 for t in texts.values()) == 5
+    assert len(C.fetch_texts(docs, picked, 1)) == 2  # the first of each class
+
+
+def test_media_ends_a_shard_by_rows(spark, tmp_path):
+    root = f"file://{tmp_path}/shards"
+    rows = media.store(spark.createDataFrame([(i, "the same") for i in range(25)], "doc_id long, text string").coalesce(1), root, shard_rows=10)
+    assert rows.count() == 25 and rows.select("shard").distinct().count() == 1  # equal members, equal names, written once
+    assert not [p.name for p in (tmp_path / "shards").iterdir() if p.name.startswith("_writing")]
+    many = media.store(spark.createDataFrame([(i, f"text {i}") for i in range(25)], "doc_id long, text string").coalesce(1), root, shard_rows=10)
+    assert many.select("shard").distinct().count() == 3
+
+
+def test_rollups_compact(spark, tmp_path):
+    image = "struct<source:string,lang:string,tokenizer:string,n_tokens:bigint>"
+    batch = lambda n, op="insert": spark.createDataFrame([(op, None, ("s", "en", "t", n))], f"op string, before {image}, after {image}")
+    r = token_counts.Rollup(spark, f"file://{tmp_path}/rollup")
+    assert r.commit("a", batch(3)) and r.commit("b", batch(4))
+    r.compact()
+    assert r.totals().first().n_tokens == 7 and not r.commit("a", batch(3))
+    assert r.commit("c", batch(5)) and r.totals().first().n_tokens == 12
+    r.compact()
+    r.compact()
+    assert (r.totals().first().n_docs, r.totals().first().n_tokens) == (3, 12) and r.batches() == ["a", "b", "c"]
+
+
+def test_und_is_for_texts_without_a_letter(spark):
+    data = [(i, w, lang) for i, (w, lang) in enumerate([("der die das und ist", "de"), ("the and of was this", "en")] * 20)]
+    detect = language.detector(spark, language.fit(spark.createDataFrame(data, "doc_id long, text string, lang string"), bits=12))
+    odd = ["\u00b2", "\u00bd \u00be", "\u2167", "12 34", "!!", "", None, "\u00aa", "the"]
+    got = [r.p.lang_pred for r in spark.createDataFrame([(t,) for t in odd], "text string").select(detect("text").alias("p")).collect()]
+    assert got[:7] == ["und"] * 7 and "und" not in got[7:]
+
+
+def _subword_forward(model, text):
+    """The model as it is defined: an average of bucket vectors, then a softmax; nothing folded, nothing cached."""
+    from collections import Counter
+
+    from switchyard.llm.subword import ngram_buckets, tokens
+
+    known, emb, soft = model.parts
+    at = {int(b): k for k, b in enumerate(known)}
+    total, n = np.zeros(model.dim), 0.0
+    for word, count in Counter(tokens(text)).items():
+        for bucket in ngram_buckets([word], model.sizes, model.bits)[0]:
+            n += count**0.5
+            if int(bucket) in at:
+                total += count**0.5 * emb[at[int(bucket)]].astype(float)
+    z = ((total / (n + model.smooth) if n else total) @ soft.astype(float) + model.bias) / model.temperature
+    e = np.exp(z - z.max())
+    return e / e.sum()
+
+
+def test_scores_equal_an_unfolded_forward_pass(spark, labels, rows):
+    from switchyard.llm.subword import WordRows
+
+    texts = [t for _, t, *_ in rows]
+    model = toxicity.fit(labels.select("doc_id", "text"), labels, "toxic", 3, 1, bits=14, steps=200)
+    small = model.proba(model.logits(texts, WordRows(model.rows, 50)))  # a cache that overflows
+    assert np.allclose(small, [_subword_forward(model, t) for t in texts], atol=1e-5)
+
+    tongue = language.fit(spark.createDataFrame([(i, w, lang) for i, (w, lang) in enumerate([("der die das und ist", "de"), ("the and of was this", "en")] * 20)], "doc_id long, text string, lang string"), bits=12).model
+    assert np.allclose(tongue.proba(tongue.logits(texts, WordRows(tongue.rows, 50))), [_subword_forward(tongue, t) for t in texts], atol=1e-5)
+
+    q = quality.fit(labels.select("doc_id", "text"), labels, epochs=5)
+
+    def forward(text):
+        words = quality.TOKEN.findall(text or "")
+        stream = [*words, *(f"<again {k}>" for k in quality.LAGS for i in range(k, len(words)) if words[i] == words[i - k]), *("<seen>" for i, w in enumerate(words) if w in words[:i])]
+        x = np.mean([q.word_vectors([w])[0].astype(float) for w in stream], axis=0) if stream else np.zeros(q.dim)
+        return 1 / (1 + np.exp(-(np.maximum(x @ q.w1 + q.b1, 0) @ q.w2 + q.b2) / q.temperature))
+
+    short = [t for t in texts if not t or len(t) < 20_000]
+    assert np.allclose(q.scores(short, WordRows(q.rows, 50)), [forward(t) for t in short], atol=1e-4)
+    assert 0.06 < q.temperature < 19  # not at an end of its grid
+
+
+def test_embedding_estimates_are_unbiased_and_bounded():
+    """Over many rotations the mean estimate is the cosine; the bound holds."""
+    rng = np.random.default_rng(5)
+    a, b = rng.normal(size=(2, 64))
+    b = 0.97 * a / np.linalg.norm(a) + 0.25 * b / np.linalg.norm(b)
+    u = np.vstack([a, b]) / np.linalg.norm([a, b], axis=1, keepdims=True)
+    errors, spreads, seed = [], [], embedding_dedup.SEED
+    try:
+        for k in range(300):
+            embedding_dedup.SEED = 1000 + k
+            embedding_dedup.rotations.cache_clear()
+            embedding_dedup.dither.cache_clear()
+            code, factor, ints, low, step = embedding_dedup.encode(u)
+            signs = np.unpackbits(code, axis=1)[:, :64].astype(float) * 2 - 1
+            errors.append((signs[0] @ (ints[1] * step[1] + low[1])) / (8 * factor[0]) - u[0] @ u[1])
+            spreads.append(np.sqrt((1 - factor[0] ** 2) / factor[0] ** 2 * (1 - (u[0] @ u[1]) ** 2) / 63 + (step[1] / 2 / factor[0]) ** 2))
+    finally:
+        embedding_dedup.SEED = seed
+        embedding_dedup.rotations.cache_clear()
+        embedding_dedup.dither.cache_clear()
+    assert abs(np.mean(errors)) < 3.5 * np.std(errors) / 300**0.5 and np.max(np.abs(errors) / spreads) < embedding_dedup.EPSILON

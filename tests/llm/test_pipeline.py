@@ -1,14 +1,16 @@
 """Stages, SQL and brute force on the smallest tables."""
 
 import os
+import zlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
 from switchyard.llm import _common as C
-from switchyard.llm import mixing, simhash
+from switchyard.llm import mixing, near_copies, simhash
 from switchyard.llm.queries import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -17,14 +19,16 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 def test_registered():
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_sql(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{SF}/documents.parquet'")
+    for table in ("documents", "embeddings"):
+        con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.execute(ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
@@ -46,9 +50,95 @@ def test_stages(spark):
             assert after.columns == columns
         if name == "simhash_near_dedup":
             members = {r.doc_id: r.component_id for r in simhash.near_duplicates(before).collect()}
-            assert kept == set(members.values()) and after.count() == len(kept)
+            assert kept <= set(members.values()) and after.count() == len(kept)
+            assert kept == {r.doc_id for r in near_copies.keep_first(before.where(F.col("doc_id").isin(list(set(members.values()))))).collect()}
         if name == "mixing":
             plan = {r.doc_id: r.repeats for r in mixing.mix(before).collect()}
             counts = {r.doc_id: r["count"] for r in after.groupBy("doc_id").count().collect()}
             assert counts == {i: n for i, n in plan.items() if n}
         before = after
+
+
+COLUMNS = {
+    "op1_quality": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op2_language_id": "doc_id bigint, held_out boolean, lang_pred string, score double",
+    "op3_token_counts": "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint",
+    "op4_media": "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string",
+    "op5_licenses": "doc_id bigint, template_id int, license string",
+    "op6_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op7_embedding_dedup": "vec_id bigint, n_links bigint, component_id bigint, kept boolean",
+    "op8_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
+    "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
+    "op10_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+}
+FOLDS = {"op1_quality": (4, 2), "op2_language_id": (4, 2), "op9_toxicity": (3, 1)}
+
+
+def _odd_tables(spark, folder):
+    """The smallest tables with odd rows added and columns whose names clash, and the same tables empty."""
+    read = lambda n: spark.read.parquet(f"{SF}/{n}.parquet")
+    docs = read("documents")
+    like = docs.limit(1).withColumn("lang", F.lit(None).cast("string"))
+    texts = [(9001, None), (9002, ""), (9003, " \t\n"), (9004, "!!! 12"), (9005, "a"), (9006, "word " * 40_000), (9007, "again and again"), (9007, "again and again"), (9007, "something else"), (None, "without an id")]
+    odd = spark.createDataFrame(texts, "i long, t string").crossJoin(like).withColumn("doc_id", F.col("i")).withColumn("text", F.col("t")).select(*docs.columns)
+    odd = odd.withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.col("source")))
+    clash = lambda df: df.select("*", *[F.lit(7).alias(c) for c in ("score", "fp", "size", "_key", "_n", "h", "repeats", "component")])
+    vectors = read("embeddings")
+    first = vectors.limit(1)
+    bad = first.withColumn("vec_id", F.lit(9001).cast("long")).withColumn("embedding", F.lit(None).cast("array<float>")).unionByName(first.withColumn("vec_id", F.lit(9002).cast("long")).withColumn("label", F.lit(None).cast(vectors.schema["label"].dataType))).unionByName(first)
+    tables = {"documents": clash(docs.unionByName(odd)), "embeddings": clash(vectors.unionByName(bad)), "labels": clash(read("labels").unionByName(read("labels").limit(2)).unionByName(read("labels").limit(1).withColumn("doc_id", F.lit(None).cast("long"))))}
+    for n, df in tables.items():
+        df.write.parquet(f"{folder}/odd/{n}.parquet")
+        read(n).limit(0).write.parquet(f"{folder}/empty/{n}.parquet")
+    return f"{folder}/odd", f"{folder}/empty"
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    return _odd_tables(spark, str(tmp_path_factory.mktemp("tables")))
+
+
+@pytest.mark.parametrize("name", sorted(COLUMNS))
+def test_entry(spark, odd, name):
+    """Columns and types of every query, one row a document where that is asked, on odd rows and on nothing."""
+    tables, nothing = odd
+    want = [tuple(c.split()) for c in COLUMNS[name].split(", ")]
+    none = QUERIES[name](spark, nothing)
+    assert none.dtypes[: len(want)] == want or dict(none.dtypes).items() >= dict(want).items()
+    assert none.count() == 0
+    out = QUERIES[name](spark, tables)
+    assert dict(out.dtypes).items() >= dict(want).items()
+    got = out.toPandas()
+    table = "embeddings" if name == "op7_embedding_dedup" else "documents"
+    key = got.columns[0] if name != "op3_token_counts" else None
+    rows = C.table(spark, tables, table)
+    if name not in ("op3_token_counts", "op5_licenses", "op8_packing"):
+        assert len(got) == rows.count()
+    elif name == "op8_packing":
+        assert len(got.query("piece == 0")) == rows.count() and (got.groupby("sequence_id").length.sum() <= 2048).all()
+    if name in FOLDS:
+        parts, held = FOLDS[name]
+        told = got.dropna(subset=[key])
+        assert (told.held_out == [zlib.crc32(str(int(i)).encode()) % parts == held for i in told[key]]).all() and got.score.between(0, 1).all()
+        if "predicted" in got:
+            assert (got.predicted == (got.score >= 0.7).astype(int)).all()
+        else:
+            assert set(got[got.doc_id.isin([9001, 9002, 9003, 9004])].lang_pred) == {"und"}
+    if name == "op6_simhash":
+        assert (got.fingerprint.str.fullmatch("[0-9a-f]{16}")).all() and got[got.doc_id.isin([9001, 9002, 9003])].component_id.nunique() == 1
+
+
+def test_pipeline_on_odd_rows_and_on_nothing(spark, odd):
+    tables, nothing = odd
+    assert corpus_pipeline.run(spark, nothing).count() == 0
+    docs = C.table(spark, tables, "documents")
+    before = docs
+    for name, stage in corpus_pipeline.STAGES:
+        after = C.materialize(stage(spark, before, tables), f"odd-{name}")
+        if name != "packing":
+            assert after.columns == docs.columns
+        if name == "simhash_near_dedup":
+            again = after.where("doc_id = 9007").count()
+            assert again == before.where("doc_id = 9007").select("text").distinct().count()
+        before = after
+    assert before.count() > 0
