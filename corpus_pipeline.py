@@ -2,6 +2,16 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame over all rows
 its predecessor kept; ``run`` writes each as Parquet and reads it again.
+
+Defined results: a null text is an empty one to every stage, and scored as such;
+a row without doc_id passes the near-duplicate stage, as it can't be told from
+others, and is packed under a null id; rows that repeat a doc_id with other texts
+are documents of their own, equal rows are one after the near-duplicate stage;
+ties go to the least doc_id; very long texts are scored, compared and packed
+whole; an empty table gives an empty result; without labels of both classes a
+filter keeps all rows or none, as the one class says (none labelled: nothing is
+toxic, nothing is good).  Columns beyond those of ``documents``, whatever their
+names, pass through all stages but the last.
 """
 
 from __future__ import annotations
@@ -23,13 +33,14 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of op6, exact copies above all, stays."""
-    return simhash.keep_one(docs)
-
+    """One row of each SimHash group stays; of those, rows at five-word Jaccard 0.8 to a lesser one go.
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows at five-word Jaccard 0.8 to a lesser one go."""
-    return near_copies.keep_first(docs)
+    Fingerprints of 64 bits can't carry the second rule: texts at Jaccard 0.8
+    differ in about ten bits, where pigeonhole blocks no longer select.  So they
+    settle exact copies and the closest ones, and shingles the rest.
+    """
+    one = C.materialize(simhash.keep_one(docs), "one-each")
+    return near_copies.keep_first(one)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +61,6 @@ STAGES = [
     ("toxicity", toxicity_filter),
     ("quality", quality_filter),
     ("simhash_near_dedup", near_dedup),
-    ("near_copies", drop_near_copies),
     ("mixing", mix_sources),
     ("packing", pack_sequences),
 ]
