@@ -97,7 +97,7 @@ class QualityModel:
     def index_words(self, texts: list[str]) -> None:
         counts, spelled, texts_of = Counter(), {}, []
         for t in texts:
-            texts_of.append(np.array([spelled.setdefault(w, len(spelled)) for w in TOKEN.findall(t)], np.int64))
+            texts_of.append(np.array([spelled.setdefault(w, len(spelled)) for w in TOKEN.findall(t)], np.int32))
         total = np.bincount(np.concatenate([np.zeros(0, np.int64), *texts_of]), minlength=len(spelled))
         counts = dict(zip(spelled, total.tolist(), strict=True))
         known = sorted((w for w, n in counts.items() if n >= self.min_count), key=lambda w: (-counts[w], w))[: self.max_vocab]
@@ -120,7 +120,7 @@ class QualityModel:
                 again = ids[k:][spelt[k:] == spelt[:-k]]
                 held.append((np.full(len(again), j), again))
             size += 4 * len(ids)
-            if size > 4_000_000:
+            if size > 400_000:
                 add()
                 held, size = [], 0
         if held:

@@ -107,6 +107,34 @@ class WordRows:
         return damped(words) @ rows.astype(np.float64)
 
 
+class Bags:
+    """Pairs (buckets, counts) of many texts in a few large arrays, which the system gets back when they go."""
+
+    SIZE = 256
+
+    def __init__(self, pairs):
+        self.chunks, held = [], []
+        for pair in pairs:
+            held.append(pair)
+            if len(held) == self.SIZE:
+                self._add(held)
+                held = []
+        if held:
+            self._add(held)
+
+    def _add(self, held) -> None:
+        ends = np.cumsum([0, *(len(h[0]) for h in held)])
+        self.chunks.append((ends, *(np.concatenate([h[k] for h in held]) for k in (0, 1))))
+
+    def __len__(self) -> int:
+        return sum(len(c[0]) - 1 for c in self.chunks)
+
+    def __getitem__(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        ends, buckets, counts = self.chunks[d // self.SIZE]
+        lo, hi = ends[d % self.SIZE], ends[d % self.SIZE + 1]
+        return buckets[lo:hi], counts[lo:hi]
+
+
 @dataclass
 class SubwordModel:
     """Averaged subword-bag embeddings into a linear softmax with temperature.
@@ -136,38 +164,46 @@ class SubwordModel:
     #: Buckets with a vector, their vectors and the softmax, as trained (``folded`` is what scoring needs of them).
     parts: tuple | None = field(default=None, repr=False)
 
-    def bags(self, texts) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
-        """Per text its distinct buckets and their summed damped counts; and each bucket's number of texts."""
+    def bags(self, texts) -> Bags:
+        """The distinct buckets of each text with their summed damped counts."""
         vocab: dict[str, int] = {}
         words = []
         for text in texts:
             counts = Counter(tokens(text))
-            words.append((np.array([vocab.setdefault(w, len(vocab)) for w in counts], np.int64), damped(counts)))
+            words.append((np.fromiter((vocab.setdefault(w, len(vocab)) for w in counts), np.int32, len(counts)), damped(counts).astype(np.float32)))
         known = list(vocab)
         chunks = [ngram_buckets(known[lo : lo + 20_000], self.sizes, self.bits) for lo in range(0, len(known), 20_000)]
         grams = np.concatenate([np.zeros(0, np.int32), *(c[0] for c in chunks)])
         per_word = np.concatenate([np.zeros(0, np.int64), *(c[1] for c in chunks)])
+        del vocab, known, chunks
         ends = np.cumsum(per_word)
-        bags, seen = [], np.zeros(1 << self.bits, np.int64)
-        for ids, damp in words:
+
+        def bag(ids: np.ndarray, damp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             n = per_word[ids]
             first = np.repeat(ends[ids] - n - (np.cumsum(n) - n), n)
             buckets, at = np.unique(grams[first + np.arange(len(first))], return_inverse=True)
-            bags.append((buckets, np.bincount(at, np.repeat(damp, n), len(buckets)).astype(np.float32)))
-            seen[buckets] += 1
-        return bags, seen
+            return buckets, np.bincount(at, np.repeat(damp, n), len(buckets)).astype(np.float32)
+
+        return Bags(bag(*w) for w in words)
 
     def fit(self, texts, y: np.ndarray, weights: np.ndarray | None = None) -> SubwordModel:
         """Train on an iterable of texts; ``weights`` scales each text's loss."""
-        bags, seen = self.bags(texts)
+        bags = self.bags(texts)
+        return self.learn(bags, np.arange(len(bags)), y, np.ones(len(bags)) if weights is None else weights)
+
+    def learn(self, bags: Bags, chosen: np.ndarray, y: np.ndarray, weights: np.ndarray) -> SubwordModel:
+        """Train on the ``chosen`` of the bags; ``y`` and ``weights`` are those of all."""
+        seen = np.zeros(1 << self.bits, np.int64)
+        for d in chosen:
+            seen[bags[d][0]] += 1
         known = np.flatnonzero(seen >= self.min_docs)
         place = np.full(1 << self.bits, -1, np.int32)
         place[known] = np.arange(len(known))
-        docs = []
-        for buckets, counts in bags:  # the average is over all n-grams, those left out included
-            at, share = place[buckets], counts / (counts.sum() + self.smooth)
-            docs.append((at[at >= 0], share[at >= 0]))
-        del bags
+
+        def shares(buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            at, share = place[buckets], counts / (counts.sum() + self.smooth)  # of all n-grams, those left out included
+            return at[at >= 0], share[at >= 0]
+
         rng = np.random.default_rng(self.seed)
         n_cls = len(self.classes)
         emb = np.zeros((len(known), self.dim), np.float32)
@@ -175,14 +211,14 @@ class SubwordModel:
         bias = np.zeros(n_cls, np.float32)
         g_emb = np.full(len(known), 1e-8, np.float32)
         g_soft, g_bias = np.full(soft.shape, 1e-6, np.float32), np.full(n_cls, 1e-6, np.float32)
-        weights = np.ones(len(docs)) if weights is None else weights
-        order, slot, there = np.arange(len(docs)), np.zeros(len(known), np.int32), np.zeros(len(known), bool)
-        batches = -(-len(docs) // 32)
+        order, slot, there = np.array(chosen), np.zeros(len(known), np.int32), np.zeros(len(known), bool)
+        batches = -(-len(order) // 32)
         for _ in range(max(self.epochs, -(-self.steps // max(batches, 1)))):
             rng.shuffle(order)
             for lo in range(0, len(order), 32):
                 pick = order[lo : lo + 32]
-                ids = np.concatenate([docs[d][0] for d in pick])
+                held = [shares(*bags[d]) for d in pick]
+                ids = np.concatenate([h[0] for h in held])
                 if not len(ids):
                     continue
                 there[ids] = True
@@ -190,7 +226,7 @@ class SubwordModel:
                 there[uniq] = False
                 slot[uniq] = np.arange(len(uniq))
                 mat = np.zeros((len(pick), len(uniq)), np.float32)
-                mat[np.repeat(np.arange(len(pick)), [len(docs[d][0]) for d in pick]), slot[ids]] = np.concatenate([docs[d][1] for d in pick])
+                mat[np.repeat(np.arange(len(pick)), [len(h[0]) for h in held]), slot[ids]] = np.concatenate([h[1] for h in held])
                 sub = emb[uniq]
                 hid = mat @ sub
                 z = hid @ soft + bias

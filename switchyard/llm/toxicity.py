@@ -51,10 +51,11 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held: int,
     order = np.random.default_rng(11).permutation(len(texts))
     cut = max(1, len(texts) // 5)
     tune, train = order[:cut], order[cut:]
-    trial = SubwordModel(classes, **model).fit([texts[i] for i in train], y[train], weights[train])
+    trial = SubwordModel(classes, **model)
+    bags = trial.bags(texts)
+    trial.learn(bags, train, y, weights)
     trial.calibrate(trial.logits((texts[i] for i in tune), WordRows(trial.rows, 50_000)), y[tune], weights[tune])
-    fitted = SubwordModel(classes, **model | {"temperature": trial.temperature})
-    return fitted.fit([texts[i] for i in order], y[order], weights[order])
+    return SubwordModel(classes, **model | {"temperature": trial.temperature}).learn(bags, order, y, weights)
 
 
 def scorer(spark: SparkSession, model: SubwordModel):
