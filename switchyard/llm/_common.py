@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +62,15 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back() -> None:
+    """Return memory that a fit has freed to the system, where the C library can (elsewhere nothing happens)."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """``names``, each with underscores in front until ``df`` has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -159,6 +170,7 @@ def training_set(docs: DataFrame, labelled: DataFrame, per_class: int, total: in
     """(texts, classes, y, weights): weights undo the class-balanced sampling."""
     picked, counts = bounded_sample(labelled, per_class, total)
     texts = fetch_texts(docs, picked, max_chars)
+    give_back()
     picked = [(i, y) for i, y in picked if i in texts]
     classes = sorted({y for _, y in picked})
     y = np.array([classes.index(c) for _, c in picked], dtype=np.int64)

@@ -218,7 +218,10 @@ def fit(docs: DataFrame, labels: DataFrame, parts: int = 4, held: int = 2, per_c
     texts, classes, y, weights = C.training_set(docs, labelled, per_class, total, max_chars)
     if len(classes) < 2:
         return QualityModel(prior=float(classes[0]) if classes else 0.0)
-    return QualityModel(**model).fit(texts, y, weights)
+    fitted = QualityModel(**model).fit(texts, y, weights)
+    del texts
+    C.give_back()
+    return fitted
 
 
 def scorer(spark: SparkSession, model: QualityModel):

@@ -182,7 +182,7 @@ class SubwordModel:
             n = per_word[ids]
             first = np.repeat(ends[ids] - n - (np.cumsum(n) - n), n)
             buckets, at = np.unique(grams[first + np.arange(len(first))], return_inverse=True)
-            return buckets, np.bincount(at, np.repeat(damp, n), len(buckets)).astype(np.float32)
+            return buckets, np.minimum(np.bincount(at, np.repeat(damp, n), len(buckets)), 60_000).astype(np.float16)
 
         return Bags(bag(*w) for w in words)
 
@@ -201,6 +201,7 @@ class SubwordModel:
         place[known] = np.arange(len(known))
 
         def shares(buckets: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            counts = counts.astype(np.float32)
             at, share = place[buckets], counts / (counts.sum() + self.smooth)  # of all n-grams, those left out included
             return at[at >= 0], share[at >= 0]
 

@@ -30,7 +30,7 @@ from switchyard.llm.subword import SubwordModel, WordRows
 THRESHOLD = 0.7
 
 
-def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held: int, per_class: int = 3000, total: int = 6000, max_chars: int = 15_000_000, balance: float = 0.5, **model) -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held: int, per_class: int = 2000, total: int = 4000, max_chars: int = 15_000_000, balance: float = 0.5, **model) -> SubwordModel:
     """Fit on labelled documents outside the held-out fold.
 
     A class's loss is scaled by its share to the power ``-balance``: 0 keeps the
@@ -55,7 +55,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held: int,
     bags = trial.bags(texts)
     trial.learn(bags, train, y, weights)
     trial.calibrate(trial.logits((texts[i] for i in tune), WordRows(trial.rows, 50_000)), y[tune], weights[tune])
-    return SubwordModel(classes, **model | {"temperature": trial.temperature}).learn(bags, order, y, weights)
+    fitted = SubwordModel(classes, **model | {"temperature": trial.temperature}).learn(bags, order, y, weights)
+    del bags, texts
+    C.give_back()
+    return fitted
 
 
 def scorer(spark: SparkSession, model: SubwordModel):
