@@ -234,6 +234,8 @@ def scorer(spark: SparkSession, model: QualityModel):
         cache = WordRows(m.rows) if m.prior is None else None
         for texts in batches:
             yield pd.Series(m.scores(texts, cache), dtype="float64")
+        del cache
+        C.give_back()  # the worker lives on
 
     return score
 

@@ -71,6 +71,8 @@ def scorer(spark: SparkSession, model: SubwordModel):
         cache = WordRows(m.rows)
         for texts in batches:
             yield pd.Series(m.proba(m.logits(texts, cache))[:, 1], dtype="float64")
+        del cache
+        C.give_back()  # the worker lives on
 
     return score
 
