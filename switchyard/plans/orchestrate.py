@@ -27,25 +27,25 @@ def with_retries(step: Callable, retries: int = 3, first_delay: float = 30.0, mo
 
 
 def run_day(spark: SparkSession, logical_date: date, where: Destination, config: GeneratorConfig | None = None, as_of: datetime | None = None, **retry) -> Report:
-    """Load exactly that day, then build and test.  Nothing here asks what day it is."""
+    """Load exactly that day, then build what it touches and test.  Nothing here asks what day it is."""
     as_of = as_of or datetime(logical_date.year, logical_date.month, logical_date.day, tzinfo=UTC) + timedelta(days=1)
     with_retries(lambda: load(spark, logical_date, 1, where, config), **retry)
-    return run(spark, read_raw(spark, where), f"{where.root}/models", as_of)
+    return run(spark, read_raw(spark, where), f"{where.root}/models", as_of, days=[logical_date])
 
 
 def backfill(spark: SparkSession, start: date, end: date, where: Destination, config: GeneratorConfig | None = None, each: bool = False, **retry) -> dict[date, Report]:
     """Days from ``start`` to ``end`` (both included).
 
-    The range is loaded at once and built once, so the work grows with the days
-    and not with their square; every day gets the report of that build.  With
-    ``each`` the days are run one by one, as they would have been at the time.
+    The range is loaded at once and its days are built once, so the work grows
+    with the days and not with their square; every day gets the report of that
+    build.  With ``each`` the days are run one by one; each builds what it touches.
     """
     days = [start + timedelta(days=k) for k in range((end - start).days + 1)]
     latest = datetime(end.year, end.month, end.day, tzinfo=UTC) + timedelta(days=1)
     if each:
         return {d: run_day(spark, d, where, config, latest, **retry) for d in days}
     with_retries(lambda: load(spark, start, len(days), where, config), **retry)
-    return dict.fromkeys(days, run(spark, read_raw(spark, where), f"{where.root}/models", latest))
+    return dict.fromkeys(days, run(spark, read_raw(spark, where), f"{where.root}/models", latest, days=days))
 
 
 def freshness(raw: DataFrame, as_of: datetime | None = None, warn_hours: int = 2, error_hours: int = 6) -> DataFrame:

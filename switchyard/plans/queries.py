@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from switchyard.functions import interval_bucket, micro, quarantine_reason, share, surrogate_key, utc_naive
 from switchyard.operators import checks as K
 from switchyard.operators import models as M
-from switchyard.plans import damage, scratch, source_queries
+from switchyard.plans import damage, runner, scratch, source_queries
 from switchyard.plans.orchestrate import freshness
 from switchyard.schemas import GRAIN, REASONS
 from switchyard.sources.bridge import AS_OF, call_events, call_events_sql
@@ -312,5 +313,20 @@ def route_eligibility(spark, d):
     return _stg(spark, d).select("carrier_code", "destination_code", "origin_cc", "service_tier", surrogate_key("carrier_code").alias("carrier_key")).distinct()
 
 
+# ---- builds by touched day
+def mart_by_days(spark, d):
+    """Three loaded days built in three steps: later days are first in the future, then admissible."""
+    S, L = source_queries, source_queries.L
+    root = scratch.new_path(spark, "by-days")
+    where = L.destination("parquet", root)
+    L.load(spark, S.START, S.DAYS, where, S.CONFIG)
+    for k in range(S.DAYS):
+        runner.run(spark, L.read_raw(spark, where), f"{root}/models", datetime(2026, 3, 2 + k, tzinfo=UTC), [], [S.START] if k == 0 else [])
+    return runner.Warehouse(spark, f"{root}/models").read("agg_routing_interval")
+
+
+QUERIES["mart_by_days"] = mart_by_days
+ORACLE_SQL["mart_by_days"] = "with " + source_queries.source_ctes(source_queries.START, source_queries.DAYS, source_queries.CONFIG) + ", " + _CTES.replace("{raw}", "select * exclude (on_day) from source").replace(_AS_OF, "timestamp '2026-03-04'") + "select * from mart"
+
 QUERIES |= source_queries.QUERIES
 ORACLE_SQL |= source_queries.ORACLE_SQL

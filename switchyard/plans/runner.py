@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import json
+from collections.abc import Callable, Collection
 from dataclasses import dataclass, field
-from datetime import datetime
+from datetime import UTC, date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
+from switchyard.functions import utc_naive
 from switchyard.operators import models as M
 from switchyard.operators.checks import CHECKS, Check
 from switchyard.operators.checks import report as counted
@@ -18,16 +22,20 @@ class Node:
     name: str
     on: tuple[str, ...]
     build: Callable[..., DataFrame]
+    #: The UTC day of a row, for tables kept by day; they read their first parent day by day.
+    day: Callable[[], Column] | None = None
+    #: Rows come out of a shuffle by other keys: they are gathered by day before they are written.
+    mixed: bool = False
 
 
 def graph(as_of: datetime | None = None) -> list[Node]:
     dims = ("dim_carrier", "dim_destination", "dim_service_tier")
     return [
-        Node("stg_call_events", ("call_events",), lambda raw: M.stg_call_events(raw, as_of)),
-        Node("stg_call_events_quarantine", ("call_events",), lambda raw: M.stg_call_events_quarantine(raw, as_of)),
+        Node("stg_call_events", ("call_events",), lambda raw: M.stg_call_events(raw, as_of), lambda: F.to_date("occurred_at_utc"), True),
+        Node("stg_call_events_quarantine", ("call_events",), lambda raw: M.stg_call_events_quarantine(raw, as_of), lambda: utc_naive("occurred_at").cast("date")),
         *(Node(d, ("stg_call_events",), getattr(M, d)) for d in dims),
-        Node("fct_call_attempt", ("stg_call_events",), M.fct_call_attempt),
-        Node("agg_routing_interval", ("fct_call_attempt", *dims), M.agg_routing_interval),
+        Node("fct_call_attempt", ("stg_call_events",), M.fct_call_attempt, lambda: F.to_date("occurred_at_utc")),
+        Node("agg_routing_interval", ("fct_call_attempt", *dims), M.agg_routing_interval, lambda: F.to_date("interval_start_utc"), True),
         Node("dq_interval_density", ("agg_routing_interval",), M.dq_interval_density),
     ]
 
@@ -55,13 +63,35 @@ class Report:
         return set(self.nodes.values()) <= {"BUILT"} and all(s == "PASS" for s, _ in self.checks.values())
 
 
+#: The folder name Spark gives to a null partition value.
+UNDATED = "__HIVE_DEFAULT_PARTITION__"
+
+
+@dataclass(frozen=True)
+class Touched:
+    """Days to build: those given, those without a date, and all from ``since`` on."""
+
+    days: frozenset[str]
+    since: str
+
+    def rows(self, day: Column) -> Column:
+        return day.isNull() | day.isin([date.fromisoformat(d) for d in sorted(self.days)]) | (day >= F.lit(date.fromisoformat(self.since)))
+
+    def __contains__(self, day: str) -> bool:
+        return day == UNDATED or day in self.days or day.startswith("+") or day >= self.since  # "+": beyond the year 9999
+
+
 class Warehouse:
-    """Tables as numbered Parquet folders; readers take the newest complete one.
+    """Parquet tables of numbered versions; readers take the newest complete one.
+
+    A version is written beside its predecessors and becomes current by the last
+    file written: at no moment is there no table.  The predecessor stays for
+    those who still read it; what is older goes.  One writer at a time.
 
-    A build is written beside its predecessors, and Spark's success mark, the
-    last file it writes, makes it current: at no moment is there no table, and
-    nothing is renamed.  The predecessor stays for those who still read it; what
-    is older goes.
+    A whole table is a folder a version, marked by Spark's success file.  A table
+    kept by day is a manifest a version, which says for every day the folder
+    that holds it and the version of the parent's day it was made from, so
+    that days that did not change are neither read nor written again.
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -69,38 +99,126 @@ class Warehouse:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def versions(self, name: str, complete: bool = True) -> list[str]:
-        """Folders of a table, oldest first."""
-        home = self._path(f"{self.root}/{name}")
-        if not self._fs.exists(home):
-            return []
-        found = sorted(s.getPath().getName() for s in self._fs.listStatus(home) if s.getPath().getName().startswith("v"))
-        return [v for v in found if not complete or self._fs.exists(self._path(f"{self.root}/{name}/{v}/_SUCCESS"))]
+    def _listed(self, at: str) -> list[str]:
+        home = self._path(f"{self.root}/{at}")
+        return sorted(s.getPath().getName() for s in self._fs.listStatus(home)) if self._fs.exists(home) else []
 
-    def path(self, name: str) -> str:
-        """The current folder of a table."""
-        return f"{self.root}/{name}/{self.versions(name)[-1]}"
+    def _delete(self, at: str) -> None:
+        self._fs.delete(self._path(f"{self.root}/{at}"), True)
 
-    def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.path(name))
+    # ---- whole tables
+    def versions(self, name: str, complete: bool = True) -> list[str]:
+        """Folders of a whole table, oldest first."""
+        found = [v for v in self._listed(name) if v.startswith("v0")]
+        return [v for v in found if not complete or self._fs.exists(self._path(f"{self.root}/{name}/{v}/_SUCCESS"))]
 
     def publish(self, name: str, df: DataFrame) -> DataFrame:
         there = self.versions(name, complete=False)
         new = f"v{int(there[-1][1:]) + 1 if there else 0:08d}"
         df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.root}/{name}/{new}")
         for old in self.versions(name)[:-2]:
-            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
+            self._delete(f"{name}/{old}")
         return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}/{new}")
 
+    # ---- tables kept by day
+    def manifests(self, name: str) -> list[str]:
+        """Manifests of a table kept by day, oldest first."""
+        return [m for m in self._listed(name) if m.startswith("days-") and m.endswith(".json")]
+
+    def manifest(self, name: str, which: int = -1) -> dict:
+        """{"as_of", "schema", "days": {day: [version, the parent's version]}}; without days where there is no table."""
+        found = self.manifests(name)
+        if not found:
+            return {"as_of": None, "schema": None, "days": {}}
+        stream = self._fs.open(self._path(f"{self.root}/{name}/{found[which]}"))
+        try:
+            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+
+    def behind(self, name: str, parent: str) -> set[str]:
+        """Days of ``name`` that were not made from the parent's current ones, days that the parent lost included."""
+        have, want = self.manifest(name)["days"], self.manifest(parent)["days"]
+        return {d for d, (version, _) in want.items() if d not in have or have[d][1] != version} | (set(have) - set(want))
+
+    def publish_days(self, name: str, df: DataFrame, node: Node, replaced: set[str] | Touched | None, parent: str | None = None, as_of: datetime | None = None) -> DataFrame:
+        """Replace the days ``replaced`` (all: None) by those in ``df``, which holds no others.
+
+        Rows gathered by day are dealt over tasks by size again (adaptive
+        rebalancing), so one large day is not one task.
+        """
+        past, sources = self.manifests(name), self.manifest(parent)["days"] if parent else {}
+        old = self.manifest(name)["days"]
+        numbers = [int(v.split("=")[1]) for v in self._listed(name) if v.startswith("version=")]
+        new = max([-1, *numbers, *(int(m[5:-5]) for m in past)]) + 1
+        dated = df.withColumn("day", node.day())
+        (dated.hint("rebalance", "day") if node.mixed else dated).write.partitionBy("day").parquet(f"{self.root}/{name}/version={new}")
+        days = {d: v for d, v in old.items() if replaced is not None and d not in replaced}
+        for folder in self._listed(f"{name}/version={new}"):
+            if folder.startswith("day="):
+                days[folder[4:]] = [new, sources.get(folder[4:], [None])[0]]
+        if parent and replaced is not None:  # a day of the parent that gives no row here was built all the same
+            days |= {d: [None, sources[d][0]] for d in replaced if d in sources and d not in days}
+        elif parent:
+            days |= {d: [None, v] for d, (v, _) in sources.items() if d not in days}
+        body = {"as_of": as_of.isoformat() if as_of else None, "schema": df.schema.json(), "days": days}
+        target, draft = (self._path(f"{self.root}/{name}/{m}") for m in (f"days-{new:08d}.json", f"draft-{new:08d}"))
+        out = self._fs.create(draft, True)
+        out.write(bytearray(json.dumps(body).encode()))
+        out.close()
+        self._fs.rename(draft, target)
+        self._expire(name)
+        return self.read(name)
+
+    def _expire(self, name: str) -> None:
+        """Drop all manifests but two, and the folders that only they named or that a failed build left."""
+        found = self.manifests(name)
+        if len(found) < 3:
+            return
+        held = lambda k: {(v, d) for d, (v, _) in self.manifest(name, k)["days"].items() if v is not None}
+        kept = held(-1) | held(-2)
+        for k in range(len(found) - 2):
+            for v, d in held(k) - kept:
+                self._delete(f"{name}/version={v}/day={d}")
+        for m in found[:-2]:
+            self._delete(f"{name}/{m}")
+        used = {v for v, _ in kept} | {int(found[-1][5:-5])}
+        for folder in self._listed(name):
+            if folder.startswith("version=") and int(folder[8:]) not in used:
+                self._delete(f"{name}/{folder}")
 
-def run(spark: SparkSession, raw: DataFrame, root: str, as_of: datetime | None = None, checks: list[Check] | None = None) -> Report:
+    def read(self, name: str, days: Collection[str] | None = None) -> DataFrame:
+        """A table; of one kept by day, only ``days`` where they are given."""
+        if not self.manifests(name):
+            return self.spark.read.parquet(f"{self.root}/{name}/{self.versions(name)[-1]}")
+        now = self.manifest(name)
+        schema = StructType.fromJson(json.loads(now["schema"]))
+        paths = [f"{self.root}/{name}/version={v}/day={d}" for d, (v, _) in sorted(now["days"].items()) if v is not None and (days is None or d in days)]
+        if not paths:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths).select(*schema.names)
+
+
+def run(spark: SparkSession, raw: DataFrame, root: str, as_of: datetime | None = None, checks: list[Check] | None = None, days: Collection[date] | None = None) -> Report:
     """Build every node whose ancestors passed.
 
     Staging is written once and read by its four children.  A node's checks run
     as soon as all the nodes they read exist; a failure skips every descendant
     of any of those nodes that is not built yet, leaving older tables in place.
+
+    With ``days``, ``raw`` has a column ``day`` and only those days changed since
+    the last build.  They are read anew, with the undated rows and the days whose
+    verdict the move of ``as_of`` can change; a table kept by day then rebuilds
+    the days of its parent that changed, also those that an earlier failure kept
+    from it.  Dimensions, the density summary and all checks read whole tables
+    (narrow columns), so the gate is as strict as on a whole build.  The result
+    is that of a whole build where the deliveries of an event share their day;
+    where they don't, the uniqueness check of staging fails.  A day whose build
+    was cut short is to be given again.
     """
     checks = CHECKS if checks is None else checks
+    as_of = as_of or datetime.now(UTC)
+    as_of = as_of if as_of.tzinfo else as_of.replace(tzinfo=UTC)
     store, report = Warehouse(spark, root), Report()
     frames: dict[str, DataFrame] = {"call_events": raw}
     broken: set[str] = set()
@@ -110,7 +228,7 @@ def run(spark: SparkSession, raw: DataFrame, root: str, as_of: datetime | None =
             report.nodes[node.name] = "SKIPPED"
             broken.add(node.name)
             continue
-        frames[node.name] = store.publish(node.name, node.build(*(frames[p] for p in node.on)))
+        frames[node.name] = _built(store, node, frames, as_of, days)
         report.nodes[node.name] = "BUILT"
         ready = [c for c in waiting if set(c.on) <= set(frames)]
         waiting = [c for c in waiting if c not in ready]
@@ -122,3 +240,19 @@ def run(spark: SparkSession, raw: DataFrame, root: str, as_of: datetime | None =
     for check in waiting:
         report.checks[check.name] = ("SKIPPED", 0)
     return report
+
+
+def _built(store: Warehouse, node: Node, frames: dict[str, DataFrame], as_of: datetime, days: Collection[date] | None) -> DataFrame:
+    first, *others = node.on
+    if node.day is None:
+        return store.publish(node.name, node.build(*(frames[p] for p in node.on)))
+    part, replaced, parent = frames[first], None, None if first == "call_events" else first
+    if days is not None and parent:
+        replaced = store.behind(node.name, parent)
+        part = store.read(parent, replaced)
+    elif days is not None and (last := store.manifest(node.name)["as_of"]):
+        since = min(datetime.fromisoformat(last), as_of).astimezone(UTC).date().isoformat()
+        replaced = Touched(frozenset(d.isoformat() for d in days), since)
+        part = part.where(replaced.rows(F.col("day")))
+    rows = node.build(part, *(frames[p] for p in others))
+    return store.publish_days(node.name, rows, node, replaced, parent, as_of)

@@ -1,6 +1,7 @@
 """Models, checks, gating, freshness and streaming."""
 
 import os
+import shutil
 from datetime import UTC, date, datetime, timedelta
 
 import duckdb
@@ -24,7 +25,7 @@ here = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables here")
 
 
 @here
-@pytest.mark.parametrize("name", ["raw_scan_counts", "quarantine_rows", "stg_call_events", "agg_routing_interval", "dq_interval_density", "dq_not_null", "dq_relationships", "assert_buy_rate_coverage_above_threshold_degraded", "source_range", "source_weighted_pick", "source_ineligible_elsewhere", "load_overwrite", "load_append", "star_join"])
+@pytest.mark.parametrize("name", ["raw_scan_counts", "quarantine_rows", "stg_call_events", "agg_routing_interval", "dq_interval_density", "dq_not_null", "dq_relationships", "assert_buy_rate_coverage_above_threshold_degraded", "source_range", "source_weighted_pick", "source_ineligible_elsewhere", "load_overwrite", "load_append", "star_join", "mart_by_days"])
 def test_sql(spark, name):
     con = duckdb.connect()
     con.execute(f"create view events as select * from '{SF}/events.parquet'")
@@ -123,6 +124,50 @@ def test_daily_runs(spark, tmp_path):
     assert M.stg_call_events(events(spark, day, 2, exact)).count() == 800
 
 
+def test_builds_by_day_equal_whole_builds(spark, tmp_path):
+    """Changed, added, undated and vanished days, a failure in between, and an earlier ``as_of``."""
+    where, first = loaders.destination("parquet", str(tmp_path)), date(2026, 3, 1)
+    day = lambda k: first + timedelta(days=k)
+    config = GeneratorConfig(events_per_day=300, malformed_share=0.02, duplicate_share=0.05)
+    store = runner.Warehouse(spark, f"{tmp_path}/models")
+    step = lambda days, as_of, **k: runner.run(spark, loaders.read_raw(spark, where), store.root, as_of, days=days, **k)
+    content = lambda s, t: sorted(map(str, s.read(t).collect()))
+
+    def equal(as_of):
+        whole = runner.Warehouse(spark, f"{tmp_path}/whole")
+        runner.run(spark, loaders.read_raw(spark, where), whole.root, as_of, [])
+        for t in (n.name for n in runner.graph()):
+            assert content(store, t) == content(whole, t), t
+
+    late = datetime(2026, 3, 10, tzinfo=UTC)
+    loaders.load(spark, first, 3, where, config)
+    step([day(0)], late, checks=[])  # the first build takes all there is
+    held = {d: v for d, (v, _) in store.manifest("fct_call_attempt")["days"].items()}
+    loaders.overwrite_days(events(spark, day(1), 1, GeneratorConfig(seed=5, events_per_day=200)), where)
+    step([day(1)], late, checks=[])
+    now = {d: v for d, (v, _) in store.manifest("fct_call_attempt")["days"].items()}
+    assert [d for d in now if now[d] != held[d]] == [str(day(1))]  # the other days were not written again
+    undated = events(spark, day(1), 1, config).limit(3).withColumn("occurred_at", F.lit(None).cast("timestamp"))
+    loaders.append_new(undated, where, late)
+    loaders.load(spark, day(3), 1, where, config)
+    gone = K.Check("always_fails", ("stg_call_events",), lambda stg: stg.limit(1))
+    report = step([day(3)], late, checks=[gone])
+    assert report.nodes["fct_call_attempt"] == "SKIPPED" and str(day(3)) not in store.manifest("fct_call_attempt")["days"]
+    loaders.load(spark, day(4), 1, where, config)
+    step([day(4)], late, checks=[])  # brings what the failure kept back
+    equal(late)
+    early = datetime(2026, 3, 3, 12, tzinfo=UTC)
+    step([], early, checks=[])
+    equal(early)
+    shutil.rmtree(f"{where.raw}/day={day(0)}")
+    step([day(0)], late, checks=[])
+    equal(late)
+    assert len(store.manifests("stg_call_events")) == 2
+    on_disk = {f"{v}/{d}" for v in os.listdir(f"{store.root}/stg_call_events") if v.startswith("version=") for d in os.listdir(f"{store.root}/stg_call_events/{v}") if d.startswith("day=")}
+    named = {f"version={v}/day={d}" for k in (-1, -2) for d, (v, _) in store.manifest("stg_call_events", k)["days"].items() if v is not None}
+    assert on_disk == named
+
+
 def test_retries():
     calls, waits = [], []
 
