@@ -54,7 +54,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Python workers still hold what earlier stages left them, so the word cache
     is smaller than the operator's default.
     """
-    return packing.pack(docs, cache_words=250_000)
+    return packing.pack(docs, cache_words=100_000)
 
 
 STAGES = [
