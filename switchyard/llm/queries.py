@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from switchyard.llm.embedding_dedup import PLANTED_SQL, embedding_dedup_planted, links_sql, op7_embedding_dedup
+from switchyard.llm.fingerprints import op13_fingerprints
 from switchyard.llm.language import op2_language_id
 from switchyard.llm.licenses import licenses_sql, op5_licenses
 from switchyard.llm.media import op4_media
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op13_fingerprints": op13_fingerprints,
     "embedding_dedup_planted": embedding_dedup_planted,  # op 7 where there are links to find
 }
 
