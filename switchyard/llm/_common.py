@@ -83,16 +83,16 @@ def unused(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-def spread_join(rows: DataFrame, keyed: DataFrame, key: str, spread: str, hot: int = 100_000, parts: int = 64) -> DataFrame:
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, spread: str, hot: int = 100_000, parts: int = 64, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``keyed`` (one row per key) on ``key``, hot keys dealt over tasks.
 
     The most frequent keys of more than ``hot`` rows (1,000 at most: any further
     one holds under a thousandth of all rows) get a salt from the hash of
     ``spread`` on the one side and a copy per salt on the other.  Without hot keys
-    it is the plain join.
+    it is the plain join.  ``counts`` (key, n) spares the counting where it is known.
     """
     salt, heavy, n = unused(rows.join(keyed.limit(0), key), "_salt", "_heavy", "_n")
-    counts = rows.groupBy(key).agg(F.count("*").alias(n)).where(F.col(n) > hot)
+    counts = (rows.groupBy(key).agg(F.count("*").alias(n)) if counts is None else counts.withColumnRenamed("n", n)).where(F.col(n) > hot)
     big = materialize(counts.orderBy(F.desc(n)).limit(1000).select(key, F.lit(True).alias(heavy)), "hot-keys")
     if big.isEmpty():
         return rows.join(keyed, key)

@@ -9,7 +9,9 @@ from switchyard.llm.licenses import licenses_sql, op5_licenses
 from switchyard.llm.media import op4_media
 from switchyard.llm.mixing import mixing_sql, op10_mixing
 from switchyard.llm.packing import op8_packing
+from switchyard.llm.prefix_trie import PREFIX_TRIE_SQL, op11_prefix_trie
 from switchyard.llm.quality import op1_quality
+from switchyard.llm.repair import op12_conversation_repair
 from switchyard.llm.simhash import op6_simhash
 from switchyard.llm.token_counts import OP3_SQL, op3_token_counts
 from switchyard.llm.toxicity import op9_toxicity
@@ -25,9 +27,11 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_conversation_repair": op12_conversation_repair,
     "op13_fingerprints": op13_fingerprints,
     "embedding_dedup_planted": embedding_dedup_planted,  # op 7 where there are links to find
 }
 
 #: Learned scores (1, 2, 9), stored files (4), XXH64 prints (6) and greedy plans (8) are tested otherwise.
-ORACLE_SQL = {"op7_embedding_dedup": links_sql(), "embedding_dedup_planted": PLANTED_SQL, "op3_token_counts": OP3_SQL, "op5_licenses": licenses_sql(), "op10_mixing": mixing_sql()}
+ORACLE_SQL = {"op7_embedding_dedup": links_sql(), "embedding_dedup_planted": PLANTED_SQL, "op3_token_counts": OP3_SQL, "op5_licenses": licenses_sql(), "op10_mixing": mixing_sql(), "op11_prefix_trie": PREFIX_TRIE_SQL}
