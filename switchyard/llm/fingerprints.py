@@ -18,16 +18,17 @@ of about sqrt(J (1 - J) / BINS), at most 0.032.
 ``edits`` needs each document's successor by doc_id, without a window over the
 table: keys, not texts, are sorted by range and numbered where they lie, so the
 successor's number follows from the counts of the ranges (one row a range).
-Texts then move once to their number, and once, as halves, to the predecessor's.
+Texts then move once to their key, and what a predecessor takes of them to its key.
 
 Defined results: words are what lies between ``[\\x20\\x09-\\x0D]``, in lower
 case; fewer than five words form one shingle; a text without words (null and
 empty ones too) has the empty fingerprint, is like another such (1) and unlike
 all else (0).  doc_ids ascend with nulls first; rows that repeat a doc_id follow
-each other by the digest of id and text; equal rows are each other's successors,
-in parts of ``PART`` rows, so that no task writes a large group of them.  A single
-document is its own successor.  Texts are taken whole, however long.  An empty
-table gives an empty result; other columns, whatever their names, are not read.
+each other by the digest of id and text; rows equal in id and text are each
+other's successors, are fingerprinted once and written by one task (copies under
+ids of their own are rows like all others).  A single document is its own
+successor.  Texts are taken whole, however long.  An empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -44,7 +45,6 @@ WORDS = 5
 BINS = 257
 BITS = 8
 PROBES = 8
-PART = 10_000
 
 _TOP = 53  # bits of a value within its bin
 _NONE = (1 << _TOP) - 1  # what an empty bin holds
@@ -132,19 +132,19 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), estimate).otherwise((F.size(a) == F.size(b)).cast("double"))
 
 
-def _successors(keys: DataFrame) -> DataFrame:
-    """``keys`` (doc_id, k, part, ...) with their number ``at`` and that of the row before, ``before``, and its ``n_before``.
+def _placed(keys: DataFrame) -> DataFrame:
+    """``keys`` (doc_id, k, n_chars, copies) with the ``k_before`` and ``n_before`` of the row before each.
 
     Rows sorted by range are numbered as they lie: range * 2^33 + place.
     """
     spark = keys.sparkSession
-    order = [F.col("doc_id").asc_nulls_first(), F.col("k").asc(), F.col("part").asc()]
+    order = [F.col("doc_id").asc_nulls_first(), F.col("k").asc()]
     lying = C.materialize(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("at", F.monotonically_increasing_id()), "in-order")
     sizes = sorted((r.r, r.n) for r in lying.groupBy(F.shiftright("at", 33).alias("r")).agg(F.count("*").alias("n")).collect())  # one row a range
     ends = [((r << 33) + n - 1, sizes[(i + 1) % len(sizes)][0] << 33) for i, (r, n) in enumerate(sizes)]
     jumps = F.broadcast(spark.createDataFrame(ends, "at long, jump long"))  # one row a range
-    after = lying.join(jumps, "at", "left").select(F.coalesce("jump", F.col("at") + 1).alias("at"), F.col("at").alias("before"), F.col("n_chars").alias("n_before"))
-    return lying.join(after, "at")
+    after = lying.join(jumps, "at", "left").select(F.coalesce("jump", F.col("at") + 1).alias("at"), F.col("k").alias("k_before"), F.col("n_chars").alias("n_before"))
+    return lying.join(after, "at").drop("at")
 
 
 def edits(docs: DataFrame) -> DataFrame:
@@ -153,29 +153,22 @@ def edits(docs: DataFrame) -> DataFrame:
     The edited text ends in the successor's first floor(n_chars / 2) characters
     (all, where it has fewer) instead of its own last ones.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).withColumn("k", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.lit(":"), F.col("text")).cast("binary")))
-    counted = rows.select("doc_id", "k", F.length("text").alias("n_chars")).groupBy("doc_id", "k", "n_chars").agg(F.count("*").alias("copies"))
-    starts = F.sequence(F.lit(0), F.col("copies") - 1, F.lit(PART))
-    parts = counted.withColumn("part", F.explode(starts)).withColumn("copies", F.least(F.col("copies") - F.col("part"), F.lit(PART)))
-    placed = _successors(parts)
-    # equal rows become one before they move; texts then lie by k, as the join wants them
-    texts = rows.groupBy("k").agg(F.first("text").alias("text"))
-    here = placed.join(texts.hint("merge"), "k").withColumn("own", bins(F.col("text")))
-    half = F.floor(F.col("n_chars") / 2).cast("int")
-    mine = F.struct("doc_id", "n_chars", "copies", "own", F.left("text", F.col("n_chars") - half).alias("head"))
-    to_before = F.struct(F.left("text", F.floor(F.col("n_before") / 2).cast("int")).alias("tail"), F.col("own"))
-    kind = lambda s, name: F.lit(None).cast(here.select(s).schema[0].dataType).alias(name)
-    sent = here.select(F.inline(F.array(F.struct(F.col("at"), mine.alias("m"), kind(to_before, "s")), F.struct(F.col("before").alias("at"), kind(mine, "m"), to_before.alias("s")))))
-    met = sent.groupBy("at").agg(F.first("m", ignorenulls=True).alias("m"), F.first("s", ignorenulls=True).alias("s"))
-    last = F.col("copy") == F.col("m.copies")
-    half = F.floor(F.col("m.n_chars") / 2).cast("int")
-    return met.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m.copies")))).select(
-        "m.doc_id",
-        F.col("m.n_chars").cast("long").alias("n_chars"),
-        "m.own",
-        F.concat("m.head", F.when(last, F.col("s.tail")).otherwise(F.left("m.head", half))).alias("edited"),
-        F.when(last, F.col("s.own")).otherwise(F.col("m.own")).alias("next"),
+    half = lambda n: F.floor(F.col(n) / 2).cast("int")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("~")), F.lit(":"), F.col("text")).cast("binary")))
+    keys = rows.select("doc_id", "k", F.length("text").alias("n_chars")).groupBy("doc_id", "k", "n_chars").agg(F.count("*").alias("copies"))
+    # equal rows become one before they move; both sides below read this one exchange
+    texts = rows.select("k", "text", bins(F.col("text")).alias("own")).groupBy("k").agg(F.first("text").alias("text"), F.first("own").alias("own"))
+    here = texts.join(_placed(keys).hint("merge"), "k")
+    mine = here.select("k", "doc_id", "n_chars", "copies", "own", F.left("text", F.col("n_chars") - half("n_chars")).alias("head"))
+    sent = here.select(F.col("k_before").alias("k"), F.left("text", half("n_before")).alias("tail"), F.col("own").alias("next"))
+    met = mine.join(sent.hint("merge"), "k").withColumn("copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    last = F.col("copy") == F.col("copies")
+    return met.select(
+        "doc_id",
+        F.col("n_chars").cast("long").alias("n_chars"),
+        "own",
+        F.concat("head", F.when(last, F.col("tail")).otherwise(F.left("head", half("n_chars")))).alias("edited"),
+        F.when(last, F.col("next")).otherwise(F.col("own")).alias("next"),
     )
 
 
