@@ -37,15 +37,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     in their component are absent from the result.  Raises if ``max_rounds``
     alternations (far beyond the logarithmic need) do not converge.
     """
-    spark = edges.sparkSession
     edges = C.materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    if edges.isEmpty():
+        return edges.toDF("vertex", "component")
     before = None
     for _ in range(max_rounds):
         now = C.materialize(_star(_star(edges, True), False), "edges")
         # a fixed point is a forest of stars: same edges before and after
         mark = tuple(now.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first())
-        for path in {f.rsplit("/", 1)[0] for f in edges.inputFiles()}:
-            C.remove(spark, path)
         edges = now
         if mark == before:
             return edges.select(F.col("a").alias("vertex"), F.col("b").alias("component")).union(edges.select("b", "b").distinct())

@@ -27,8 +27,12 @@ one edge to the least vector of its part leave the task, never the pairs.
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, rows with a null label or null vec_id, and vectors of other lengths
 link with nothing: n_links 0, component_id = vec_id (null and kept where that is
-null).  Repeated rows link with each other.  An empty table gives an empty
-result.  Other columns, whatever their names, are not read.
+null).  Repeated rows link with each other.  Vectors are told apart by their
+values, never by vec_id: rows that share one but not the vector link as any two
+do, and every row comes out once.  A vec_id of any orderable type will do.
+Vectors are scaled by a power of two first, which changes no cosine, so that
+squares of finite components neither overflow nor vanish.  An empty table gives
+an empty result.  Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -87,9 +91,8 @@ def _check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             x = None
             if v is not None and len(v) and not pd.isna(label) and not pd.isna(vec_id):
                 x = np.array([np.nan if c is None else c for c in v], dtype=np.float64) + 0.0  # -0.0 is 0.0
-                norm = np.sqrt((x * x).sum()) if np.isfinite(x).all() else 0.0
-                if not (np.isfinite(norm) and norm > 0):
-                    x = None
+                most = np.abs(x).max() if np.isfinite(x).all() else 0.0
+                x = np.ldexp(x, -np.frexp(most)[1]) if most > 0 else None  # exact
             raw = None if x is None else x.tobytes()
             dims.append(0 if x is None else len(x))
             raws.append(raw)
@@ -188,7 +191,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     spark = vectors.sparkSession
     kind = {f.name: f.dataType.simpleString() for f in vectors.schema}
     checked = C.materialize(vectors.select("vec_id", "label", "embedding").mapInPandas(_check, f"vec_id {kind['vec_id']}, label {kind['label']}, dim int, raw binary, digest binary"), "vectors")
-    distinct = checked.where("digest is not null").groupBy("label", "dim", "digest").agg(F.min("vec_id").cast("long").alias("rep"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
+    distinct = checked.where("digest is not null").groupBy("label", "dim", "digest").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
+    distinct = C.materialize(distinct.withColumn("rep", F.monotonically_increasing_id()), "distinct")  # a key of its own for every vector
     codes = C.materialize(distinct.select("rep", "label", "dim", "copies", "raw").mapInPandas(_encode, f"rep long, label {kind['label']}, dim int, copies long, raw binary, code binary, ints binary, factor double, low double, step double"), "codes")
     width = BAND_BITS // 8
     keys = F.posexplode(F.array(*[F.substring("code", k * width + 1, width) for k in range(BANDS)])).alias("band", "key")
@@ -237,13 +241,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     found = C.materialize(dealt.mapInPandas(compare, "a long, b long, n long"), "links")
     comp = connected_components(found.select("a", "b"))
     linked = found.groupBy("a").agg(F.sum("n").alias("n"))
-    reps = codes.select("rep", "label", "dim", "copies").join(linked, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("vertex"), "left")
-    reps = reps.select("rep", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    own = distinct.select(F.col("label").alias("_l"), F.col("dim").alias("_m"), F.col("digest").alias("_g"), "rep")
-    known = C.materialize(own.join(reps, "rep"), "reps").drop("rep")
+    reps = distinct.select("rep", "label", "dim", "digest", "least", "copies").join(linked, F.col("rep") == F.col("a"), "left").join(comp, F.col("rep") == F.col("vertex"), "left")
+    reps = C.materialize(reps.select("label", "dim", "digest", "least", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component")), "reps")
+    roots = reps.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = reps.join(roots, "component").select(F.col("label").alias("_l"), F.col("dim").alias("_m"), F.col("digest").alias("_g"), "n_links", "component_id")
     ids = checked.select("vec_id", "label", "dim", "digest")
     out = ids.join(known, (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_m")) & (F.col("digest") == F.col("_g")), "left")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").cast("long").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
 
 
 def op7_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
