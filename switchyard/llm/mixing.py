@@ -9,14 +9,19 @@
 3. Repetition: a source's target / size gives whole repetitions of every
    document and a fraction.  The fraction is met by one further repetition of
    those documents that come first in a seeded hash order, up to the fraction
-   of the source's words.  The order is cut in two steps: word counts of 4,096
+   of the source's words.  The order hashes doc_id and text, so rows without an
+   id, or of one id, spread like others; only equal rows share a place in it.  It is cut in two steps: word counts of 4,096
    hash bins per source locate the bin that holds the cut, and only that bin's
    documents are ordered.  So no source is ever sorted or gathered whole, and
    each source's words land within half a document of its target.
 
 Defined results: a null text has size 0 and takes 0; null sources form one
-source, ranked last; an empty table gives an empty result; identical rows count
-each on its own; a source without words has target 0.
+source, ranked last; an empty table gives an empty result; a source without
+words has target 0.  Rows that repeat a doc_id with other texts are documents of
+their own; equal rows count each on its own in ``mix`` and are emitted together
+in ``repeat_documents``, as often as they take in all; ties in the order are
+equal rows.  Texts count whole, however long.  Other columns, whatever their
+names, pass through ``repeat_documents`` and are not read by ``mix``.
 """
 
 from __future__ import annotations
@@ -77,12 +82,23 @@ def water_fill(sources: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return state.withColumn("target", F.when(F.col("_clamped"), F.col("_cap").cast("double")).otherwise(share)).drop("_cap", "_clamped")
 
 
+def _place(seed: str) -> Column:
+    """A document's place in the seeded order."""
+    said = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.md5(F.concat(F.lit(f"{seed}|"), said("doc_id"), F.lit("|"), said("text")).cast("binary"))
+
+
 def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MAX_EPOCHS, cycle=CYCLE, seed: str = SEED) -> DataFrame:
     """Per row of (doc_id, source, text): doc_id, source, size, source_size, target, repeats.
 
     ``weights`` optionally gives (source, weight) instead of the cycle.
     """
-    sized = C.materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary")).alias("_h")), "sizes")
+    return _planned(docs, weights, max_epochs, cycle, seed).drop("_h")
+
+
+def _planned(docs: DataFrame, weights: DataFrame | None, max_epochs: int, cycle, seed: str) -> DataFrame:
+    """``mix`` with ``_h``, each document's place."""
+    sized = C.materialize(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), _place(seed).alias("_h")), "sizes")
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     if weights is None:
         sources = cycle_weights(sources, cycle)
@@ -111,20 +127,25 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MAX
     order = Window.partitionBy("source", "_bin").orderBy("_h", "size").rowsBetween(Window.unboundedPreceding, -1)
     upto = F.col("_before") + F.coalesce(F.sum("size").over(order), F.lit(0))
     split = rows.where("_state < 0").withColumn("_more", (2 * upto + F.col("size") <= F.col("_twice")).cast("int"))
-    return settled.unionByName(split).select("doc_id", "source", "size", "source_size", "target", F.least(F.col("_whole") + F.col("_more"), F.lit(max_epochs)).cast("int").alias("repeats"))
+    return settled.unionByName(split).select("_h", "doc_id", "source", "size", "source_size", "target", F.least(F.col("_whole") + F.col("_more"), F.lit(max_epochs)).cast("int").alias("repeats"))
 
 
-def repeat_documents(docs: DataFrame, **options) -> DataFrame:
+def repeat_documents(docs: DataFrame, weights: DataFrame | None = None, max_epochs: int = MAX_EPOCHS, cycle=CYCLE, seed: str = SEED) -> DataFrame:
     """``docs`` with every row as often as the mix takes it; columns unchanged.
 
-    A document's row stands for itself by (doc_id, source); rows repeated in
-    the input are each repeated.
+    Rows equal in id, source and text share a place: each comes as often as the
+    least of them takes, and one of them makes up what they take beyond that.
     """
-    plan = mix(docs, **options).groupBy("doc_id", "source", "size").agg(F.max("repeats").alias("repeats")).where("repeats > 0")
-    d, s, z, n, k = C.unused(docs, "_id", "_source", "_size", "_repeats", "_k")
-    plan = plan.toDF(d, s, z, n)
-    same = F.col("doc_id").eqNullSafe(F.col(d)) & F.col("source").eqNullSafe(F.col(s)) & (word_count(F.col("text")) == F.col(z))
-    return docs.join(plan, same).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(n)))).select(*docs.columns)
+    h, s, least, more, k = C.unused(docs, "_place", "_source", "_least", "_more", "_k")
+    plan = _planned(docs, weights, max_epochs, cycle, seed).groupBy("_h", "source").agg(F.min("repeats").alias("r"), (F.sum("repeats") - F.min("repeats") * F.count("*")).alias("m")).where("r > 0 or m > 0")
+    plan = C.materialize(plan.toDF(h, s, least, more), "plan")
+    own = F.col(h) == _place(seed)
+    met = docs.join(plan, own & F.col("source").eqNullSafe(F.col(s)))
+    each = met.where(F.col(least) > 0).withColumn(k, F.explode(F.sequence(F.lit(1), F.col(least)))).select(*docs.columns)
+    extra = docs.join(plan.where(F.col(more) > 0), own & F.col("source").eqNullSafe(F.col(s)))
+    one = extra.groupBy(h, s).agg(F.first(F.struct(*docs.columns, F.col(more))).alias(k))
+    rest = one.select(f"{k}.*").withColumn(k, F.explode(F.sequence(F.lit(1).cast("long"), F.col(more)))).select(*docs.columns)
+    return each.unionByName(rest)
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,7 +158,7 @@ def mixing_sql(documents: str = "documents", select: str = "doc_id, size, source
     return f"""
 with sized as (
   select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
-         md5('{SEED}|' || coalesce(doc_id::varchar, '')) as h
+         md5('{SEED}|' || coalesce(doc_id::varchar, '') || '|' || coalesce(text, '')) as h
   from {documents}
 ), per_source as (
   select source, sum(size)::bigint as source_size from sized group by source
