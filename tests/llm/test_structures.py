@@ -12,7 +12,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from switchyard.llm import fingerprints, prefix_trie, repair
+from switchyard.llm import embedding_dedup, fingerprints, mixing, prefix_trie, repair
+from switchyard.llm._graph import connected_components
 from switchyard.llm._running import running
 
 CONV = "conv_id long, turn long, role string, text string"
@@ -306,3 +307,30 @@ def test_empty_and_single_documents(spark):
     assert fingerprints.edits(spark.createDataFrame([], schema)).count() == 0
     (row,) = fingerprints.edits(spark.createDataFrame([(3, "abcdef")], schema)).collect()
     assert row.edited == "abcabc" and row.own == row.next
+
+
+# ---- repeated ids and equal rows in earlier operators
+def test_a_vec_id_may_repeat_with_other_vectors_and_be_a_string(spark):
+    rows = [("7", [1.0, 0.0], 1), ("7", [0.0, 1.0], 1), ("8", [1.0, 0.01], 1), ("8", [1.0, 0.01], 1), ("9", [1e200, 1e198], 1), ("a", [1e-200, 0.0], 1), (None, [1.0, 0.0], 1)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id string, embedding array<double>, label int")).collect()
+    assert sorted((r.vec_id or "", r.n_links, r.component_id or "", r.kept) for r in got) == [("", 0, "", True), ("7", 0, "7", True), ("7", 4, "7", True), ("8", 4, "7", False), ("8", 4, "7", False), ("9", 4, "7", False), ("a", 4, "7", False)]
+
+
+def test_repeated_rows_are_emitted_as_often_as_the_mix_takes_them(spark):
+    rows = [(1, "a", "x " * 10)] * 20 + [(2, "b", "y " * 10)] * 20 + [(None, "c", f"z{i} z") for i in range(50)] + [(3, "b", f"y{i}") for i in range(9)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    want = {r.source: r.n for r in mixing.mix(docs).groupBy("source").agg(F.sum(F.col("repeats") * F.col("size")).alias("n")).collect()}
+    out = mixing.repeat_documents(docs)
+    got = {r.source: r.n for r in out.groupBy("source").agg(F.sum(mixing.word_count(F.col("text"))).alias("n")).collect()}
+    target = {r.source: r.t for r in mixing.mix(docs).groupBy("source").agg(F.first("target").alias("t")).collect()}
+    assert got == want and all(abs(got[s] - target[s]) <= 10 for s in got)
+
+
+def test_rows_without_an_id_spread_over_the_bins_of_the_order(spark):
+    docs = spark.createDataFrame([(None, "a", f"text {i}") for i in range(20_000)], "doc_id long, source string, text string")
+    per_bin = docs.groupBy(F.substring(mixing._place("s"), 1, 3).alias("b")).count().agg(F.max("count")).first()[0]
+    assert per_bin < 40
+
+
+def test_components_without_links_take_no_round(spark):
+    assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
