@@ -7,7 +7,7 @@ from datetime import UTC, datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-__all__ = ["as_of_column", "interval_bucket", "micro", "quarantine_reason", "rounded", "share", "surrogate_key", "utc_naive"]
+__all__ = ["as_of_column", "instant", "interval_bucket", "micro", "quarantine_reason", "rounded", "share", "surrogate_key", "utc_naive"]
 
 
 def as_of_column(as_of: datetime | None = None) -> Column:
@@ -33,15 +33,24 @@ def utc_naive(instant: str) -> Column:
     return F.expr(f"timestamp_ntz'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(unix_micros({instant}) / 1000000.0BD as decimal(18, 6)))")
 
 
+def instant(ts: Column) -> Column:
+    """The instant that a naive timestamp names in UTC, whatever the session's time zone."""
+    whole = F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")).cast("long") * 86_400 + F.hour(ts) * 3600 + F.minute(ts) * 60
+    return F.timestamp_micros(whole * 1_000_000 + (F.extract(F.lit("second"), ts) * 1_000_000).cast("long"))
+
+
 def interval_bucket(ts: Column, minutes: int = 15) -> Column:
-    """Start of the ``minutes``-wide bucket of a naive timestamp; null stays null.
+    """Start of the ``minutes``-wide bucket of a naive timestamp, counted from 2000-01-01 00:00; null stays null.
 
-    Only widths that divide a day are accepted: for others, engines count
-    buckets from different origins and disagree.
+    Widths that divide a day fall on the clock whatever the origin; for others
+    the origin is part of the result.
     """
-    if minutes < 1 or 1440 % minutes:
-        raise ValueError(f"a bucket of {minutes} minutes does not divide a day")
-    past = F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(F.hour(ts) * 60 + F.minute(ts), F.lit(minutes)), F.extract(F.lit("second"), ts))
+    if minutes < 1:
+        raise ValueError(f"a bucket of {minutes} minutes holds nothing")
+    passed = F.hour(ts) * 60 + F.minute(ts)
+    if 1440 % minutes:
+        passed = F.datediff(ts.cast("date"), F.lit("2000-01-01").cast("date")) * 1440 + passed
+    past = F.make_dt_interval(F.lit(0), F.lit(0), F.pmod(passed, F.lit(minutes)), F.extract(F.lit("second"), ts))
     return ts - past
 
 

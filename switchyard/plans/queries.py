@@ -14,6 +14,7 @@ from switchyard.operators import models as M
 from switchyard.plans import damage, runner, scratch, source_queries
 from switchyard.plans.orchestrate import freshness
 from switchyard.schemas import GRAIN, REASONS
+from switchyard.sources import loaders
 from switchyard.sources.bridge import AS_OF, call_events, call_events_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,10 +149,10 @@ def stg_call_events(spark, d):
     return _stg(spark, d)
 
 
-@query("interval_bucket", "select event_id, time_bucket(interval '5 minutes', occurred_at_utc) as b5, interval_start_utc as b15, time_bucket(interval '60 minutes', occurred_at_utc) as b60, time_bucket(interval '1440 minutes', occurred_at_utc) as b1440 from stg")
+@query("interval_bucket", "select event_id, time_bucket(interval '5 minutes', occurred_at_utc) as b5, interval_start_utc as b15, time_bucket(interval '60 minutes', occurred_at_utc) as b60, time_bucket(interval '1440 minutes', occurred_at_utc) as b1440, time_bucket(interval '7 minutes', occurred_at_utc, timestamp '2000-01-01') as b7, time_bucket(interval '2500 minutes', occurred_at_utc, timestamp '2000-01-01') as b2500 from stg")
 def interval_buckets(spark, d):
     at = F.col("occurred_at_utc")
-    return _stg(spark, d).select("event_id", *[interval_bucket(at, n).alias(f"b{n}") for n in (5, 15, 60, 1440)])
+    return _stg(spark, d).select("event_id", *[interval_bucket(at, n).alias(f"b{n}") for n in (5, 15, 60, 1440, 7, 2500)])
 
 
 @query("utc_day_rollup", "select occurred_at_utc::date as utc_day, count(*) as attempts from stg group by all")
@@ -169,8 +170,8 @@ def duplicate_rate(spark, d):
 def incremental_load(spark, d):
     """What an append from the mark of load 1 would read again or anew (closed boundary)."""
     raw = call_events(spark, d)
-    mark = raw.where((F.col("_load_id") == "1") & (F.col("occurred_at") <= F.lit(AS_OF))).agg(F.max("occurred_at").alias("mark"))
-    fresh = raw.join(mark, (F.col("occurred_at") >= F.col("mark")) | F.col("occurred_at").isNull())  # the other side is one row
+    mark = raw.where((F.col("_load_id") == "1") & (F.col("occurred_at") <= F.lit(AS_OF))).agg(F.max(F.unix_micros("occurred_at"))).first()[0]  # one row, read before the rows
+    fresh = raw.where(F.col("occurred_at").isNull() | (F.unix_micros("occurred_at") >= F.lit(mark)))
     return fresh.agg(F.count("*").alias("appended"), F.count_distinct("event_id").alias("distinct_events"), F.min(utc_naive("occurred_at")).alias("first_at_utc"))
 
 
@@ -314,19 +315,17 @@ def route_eligibility(spark, d):
 
 
 # ---- builds by touched day
+@query("mart_by_days", "select * from mart where interval_start_utc < timestamp '2024-01-04'")
 def mart_by_days(spark, d):
     """Three loaded days built in three steps: later days are first in the future, then admissible."""
-    S, L = source_queries, source_queries.L
-    root = scratch.new_path(spark, "by-days")
-    where = L.destination("parquet", root)
-    L.load(spark, S.START, S.DAYS, where, S.CONFIG)
-    for k in range(S.DAYS):
-        runner.run(spark, L.read_raw(spark, where), f"{root}/models", datetime(2026, 3, 2 + k, tzinfo=UTC), [], [S.START] if k == 0 else [])
+    root, first, n = scratch.new_path(spark, "by-days"), source_queries.FIRST_DAY, source_queries.DAYS
+    where = loaders.destination("parquet", root)
+    loaders.overwrite_days(call_events(spark, d, start=first, n_days=n), where)
+    for k in range(n):
+        as_of = datetime(2024, 1, 2 + k, tzinfo=UTC)
+        runner.run(spark, loaders.read_raw(spark, where), f"{root}/models", as_of, [], [first] if k == 0 else [])
     return runner.Warehouse(spark, f"{root}/models").read("agg_routing_interval")
 
 
-QUERIES["mart_by_days"] = mart_by_days
-ORACLE_SQL["mart_by_days"] = "with " + source_queries.source_ctes(source_queries.START, source_queries.DAYS, source_queries.CONFIG) + ", " + _CTES.replace("{raw}", "select * exclude (on_day) from source").replace(_AS_OF, "timestamp '2026-03-04'") + "select * from mart"
-
 QUERIES |= source_queries.QUERIES
 ORACLE_SQL |= source_queries.ORACLE_SQL

@@ -1,25 +1,26 @@
-"""Queries that run the event source, its catalogue and the loader, each with SQL that rebuilds the result."""
+"""Queries on what the source delivers: days, defects, routes, and loads of them, each with its SQL."""
 
 from __future__ import annotations
 
-from datetime import UTC, date, datetime
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from switchyard.functions import share, utc_naive
+from switchyard.operators import models as M
+from switchyard.operators import routes as R
 from switchyard.plans import scratch
-from switchyard.schemas import CARRIERS, DESTINATIONS, ORIGINS, TIERS
 from switchyard.sources import catalogue as C
 from switchyard.sources import generator as G
 from switchyard.sources import loaders as L
+from switchyard.sources.bridge import AS_OF, FIRST_DAY, call_events, call_events_sql
 
 QUERIES, ORACLE_SQL = {}, {}
-START, DAYS = date(2026, 3, 1), 3
-CONFIG = C.GeneratorConfig(events_per_day=4000, malformed_share=0.02, duplicate_share=0.02)
+DAYS = 3
 
 
-# ---- the source in SQL
 def _u(digest: str, place: int) -> str:
     return f"(('0x' || substr({digest}, {8 * place + 1}, 8))::bigint::double / 4294967296.0::double)"
 
@@ -29,174 +30,174 @@ def _bounds(n: int, alpha: float) -> str:
     return f"(select r - 1 as i, w / sum(w) over () as share, coalesce(sum(w / total) over (order by r rows between unbounded preceding and 1 preceding), 0) as lo, case when r = {n} then 2.0::double else sum(w / total) over (order by r) end as hi from (select r, pow(r::double, -{alpha}::double) as w, sum(pow(r::double, -{alpha}::double)) over () as total from range(1, {n} + 1) t(r)))"
 
 
-def catalogue_ctes(config: C.GeneratorConfig, draws: int = 5000) -> str:
-    s = config.seed
-    pick = lambda values, place, alpha: f"(select {list(values)}[b.i + 1] from {_bounds(len(values), alpha)} b where {_u('d.h', place)} >= b.lo and {_u('d.h', place)} < b.hi)"
-    return f"""
-drawn_groups as (select n, {pick(DESTINATIONS, 0, C.ALPHA_DESTINATION)} as destination_code, {pick(ORIGINS, 1, C.ALPHA_ORIGIN)} as origin_cc, {pick(TIERS, 2, C.ALPHA_TIER)} as service_tier
-  from (select n, md5('{s}|group|' || n) as h from range({draws}) t(n)) d),
-groups as (select row_number() over (order by min(n)) - 1 as grp, destination_code, origin_cc, service_tier from drawn_groups group by all order by min(n) limit {config.n_groups}),
-sized as (select *, 1 + (x >= {C.ELIGIBLE[0]})::int + (x >= {C.ELIGIBLE[1]})::int + (x >= {C.ELIGIBLE[2]})::int as size from (select *, {_u(f"md5('{s}|eligible|' || grp)", 0)} as x from groups)),
-dealt as (select *, row_number() over (partition by grp order by md5('{s}|deck|' || grp || '|' || carrier_code)) as place, pow(1 - {_u(f"md5('{s}|weight|' || grp || '|' || carrier_code)", 0)}, {C.CARRIER_POWER}) as w
-  from sized cross join (select unnest({list(CARRIERS)}) as carrier_code)),
-weighed as (select *, w / sum(w) over (partition by grp) as share from dealt where place <= size),
-catalogue as (select *, coalesce(sum(share) over (partition by grp order by place rows between unbounded preceding and 1 preceding), 0) as lo,
-  case when place = size then 2.0::double else sum(share) over (partition by grp order by place) end as hi,
-  {C.ANSWER[0]}::double + {C.ANSWER[1]}::double * {_u('q', 0)} as answers, {C.HUMAN[0]}::double + {C.HUMAN[1]}::double * {_u('q', 1)} as humans,
-  floor(({C.SELL[0]}::double + {C.SELL[1]}::double * {_u('q', 2)}) * 1e6::double + 0.5::double)::bigint as sell_micro
-  from (select *, md5('{s}|quality|' || carrier_code || '|' || destination_code) as q from weighed))"""
-
-
-def source_ctes(start: date, n_days: int, config: C.GeneratorConfig) -> str:
-    e = config.events_per_day
-    draws = ", ".join(f"{_u(f'h{k // 4}', k % 4)} as u_{name}" for k, name in enumerate(G.DRAWS))
-    hashes = ", ".join(f"md5('{config.seed}|' || on_day || '|' || n || '|{k}') as h{k}" for k in range(3))
-    ends = " ".join(f"when u_end < answers + {more}::double then '{name}'" for more, name in G.OTHER_ENDS)
-    return f"""{catalogue_ctes(config)},
-drawn as (select nth, n, on_day, {draws} from (select *, {hashes} from (select i // {e} as nth, i % {e} as n, (date '{start}' + (i // {e})::int)::varchar as on_day from range({n_days * e}) t(i)))),
-told as (select *, u_broken < {config.malformed_share} as broken, case when u_end < answers then 'answered' {ends} else 'failed' end as disposition
-  from drawn join {_bounds(config.n_groups, C.ALPHA_GROUP)} b on u_group >= b.lo and u_group < b.hi join (select * exclude (share, lo, hi), lo as c_lo, hi as c_hi from catalogue) c on c.grp = b.i and u_carrier >= c_lo and u_carrier < c_hi),
-talked as (select *, case when human_answered then {G.HUMAN_LEAST} + floor(u_length * u_length * {G.HUMAN_MOST}) when disposition = 'answered' then {G.MACHINE_LEAST} + floor(u_length * {G.MACHINE_MOST}) else 0 end::bigint as talk
-  from (select *, disposition = 'answered' and u_human < humans as human_answered from told)),
-source as (select case when not (broken and u_damage < 0.5) then substr(sha1(concat_ws('|', on_day, n, carrier_code, destination_code, origin_cc, service_tier)), 1, 20) end as event_id,
-  make_timestamp((epoch(date '{start}')::bigint + nth * 86400 + floor(pow(u_time, {G.HOUR_POWER}::double) * {G.LAST_SECOND})::bigint) * 1000000) as occurred_at,
-  carrier_code, destination_code, origin_cc, service_tier, disposition, human_answered, case when broken and u_damage >= 0.5 then -1 - talk else talk end as billable_seconds,
-  sell_micro / 1e6::double as sell_rate_eur_per_min,
-  case when u_priced >= {config.missing_buy_rate_share} then floor(sell_micro * (1 - ({G.MARGIN_FLOOR}::double + u_margin * {G.MARGIN_SPAN}::double)) + 0.5::double) / 1e6::double end as buy_rate_eur_per_min,
-  '0' as _load_id, md5(on_day || ':' || n || ':' || copy) as _row_id, on_day
-  from (select *, unnest(case when not broken and u_again < {config.duplicate_share} then [0, 1] else [0] end) as copy from talked))
+_GROUP, _ROUTE = ", ".join(R.GROUP), ", ".join(R.ROUTE)
+_CTES = f"""
+source as ({{source}}),
+calls as (select * from source where event_id is not null and billable_seconds >= 0 and occurred_at <= timestamp '2024-02-01'),
+routes as (select {_ROUTE}, count(*) as attempts from calls group by all),
+catalogue as (select *, sum(attempts) over g as group_attempts, count(*) over g as carriers, attempts::double / sum(attempts) over g as share from routes window g as (partition by {_GROUP}))
 """
 
 
-def query(name: str, select: str, days: int = DAYS, config: C.GeneratorConfig = CONFIG, whole: bool = True):
+def query(name: str, select: str, days: int | None = None):
     def register(f):
         QUERIES[name] = f
-        ORACLE_SQL[name] = "with " + (source_ctes(START, days, config) if whole else catalogue_ctes(config)) + select
+        ORACLE_SQL[name] = "with " + _CTES.replace("{source}", call_events_sql(start=FIRST_DAY if days else None, n_days=days or 1)) + select
         return f
 
     return register
 
 
-def _raw(spark: SparkSession, days: int = DAYS) -> DataFrame:
-    return G.events(spark, START, days, CONFIG)
+def _raw(spark: SparkSession, d: str, days: int | None = None) -> DataFrame:
+    return call_events(spark, d, start=FIRST_DAY if days else None, n_days=days or 1)
+
+
+def _calls(spark: SparkSession, d: str) -> DataFrame:
+    """Readable deliveries."""
+    return M.classified(_raw(spark, d), AS_OF).where("quarantine_reason is null")
 
 
 def _utc(rows: DataFrame) -> DataFrame:
     return rows.withColumn("occurred_at", utc_naive("occurred_at"))
 
 
-# ---- source
-@query("source_one_day", "select * exclude (on_day) from source", 1)
+# ---- deliveries by day
+@query("source_one_day", "select * from source", 1)
 def source_one_day(spark, d):
-    return _utc(_raw(spark, 1))
+    """One logical day, read by a filter that the scan gets."""
+    return _utc(_raw(spark, d, 1))
 
 
-@query("source_range", "select * exclude (on_day) from source")
+@query("source_range", "select * from source", DAYS)
 def source_range(spark, d):
-    return _utc(_raw(spark))
-
-
-@query("source_catalogue", "select grp::int as grp, destination_code, origin_cc, service_tier, carrier_code, round(share, 9) as share from catalogue", whole=False)
-def source_catalogue(spark, d):
-    return C.build(CONFIG).frame(spark).select("grp", "destination_code", "origin_cc", "service_tier", "carrier_code", F.round("share", 9).alias("share"))
+    return _utc(_raw(spark, d, DAYS))
 
 
-@query("source_catalogue_stats", "select count(*) as groups, avg((n = 1)::int::double) as mono_carrier_share, avg(n) as mean_carriers from (select grp, count(*) as n from catalogue group by grp)", whole=False)
-def source_catalogue_stats(spark, d):
-    c = C.build(CONFIG)
-    return spark.createDataFrame([(len(c.routes), c.mono_carrier_share(), c.mean_carriers_per_group())], "groups long, mono_carrier_share double, mean_carriers double")
+@query("source_defects", "select occurred_at::date::varchar as on_day, count(*) as delivered, count(*) filter (where buy_rate_eur_per_min is null) as unpriced, count(*) filter (where event_id is null) as nameless, count(*) filter (where billable_seconds < 0) as negative, count(event_id) - count(distinct event_id) as again from source group by all")
+def source_defects(spark, d):
+    rows = _raw(spark, d).withColumn("on_day", utc_naive("occurred_at").cast("date").cast("string"))
+    null = lambda c: F.count_if(F.col(c).isNull())
+    return rows.groupBy("on_day").agg(F.count("*").alias("delivered"), null("buy_rate_eur_per_min").alias("unpriced"), null("event_id").alias("nameless"), F.count_if(F.col("billable_seconds") < 0).alias("negative"), (F.count("event_id") - F.count_distinct("event_id")).alias("again"))
 
 
-_LAWS = {"destination": (len(DESTINATIONS), C.ALPHA_DESTINATION), "origin": (len(ORIGINS), C.ALPHA_ORIGIN), "tier": (len(TIERS), C.ALPHA_TIER), "group": (CONFIG.n_groups, C.ALPHA_GROUP)}
+@query("source_dispositions", "select carrier_code, destination_code, disposition, human_answered, count(*) as deliveries from source group by all")
+def source_dispositions(spark, d):
+    return _raw(spark, d).groupBy("carrier_code", "destination_code", "disposition", "human_answered").agg(F.count("*").alias("deliveries"))
 
 
-@query("source_zipf_weights", " union all ".join(f"select '{k}' as axis, i + 1 as rank, round(share, 9) as share, round(least(hi, 1), 9) as bound from {_bounds(*v)}" for k, v in _LAWS.items()), whole=False)
-def source_zipf_weights(spark, d):
-    rows = [(k, n + 1, w.shares[n], w.bounds[n]) for k, v in _LAWS.items() for w in [C.power_law(*v)] for n in range(v[0])]
-    return spark.createDataFrame(rows, "axis string, rank long, share double, bound double").select("axis", "rank", F.round("share", 9).alias("share"), F.round("bound", 9).alias("bound"))
+@query("source_hours", "select occurred_at::date::varchar as on_day, hour(occurred_at)::int as hour_utc, count(*) as deliveries from source group by all")
+def source_hours(spark, d):
+    at = utc_naive("occurred_at")
+    return _raw(spark, d).groupBy(at.cast("date").cast("string").alias("on_day"), F.hour(at).alias("hour_utc")).agg(F.count("*").alias("deliveries"))
 
 
-@query("source_power_weights", "select name, round(w / sum(w) over (), 9) as share from (select i::varchar as name, pow(1 - " + _u("md5('power|' || i)", 0) + ", 2.0) as w from range(40) t(i))", whole=False)
-def source_power_weights(spark, d):
-    w = C.random_powers([("power", i) for i in range(40)], C.CARRIER_POWER)
-    return spark.createDataFrame([(str(i), x) for i, x in enumerate(w.shares)], "name string, share double").select("name", F.round("share", 9).alias("share"))
+@query("source_top3_share", "select sum(n)::bigint as top_deliveries, sum(n)::double / max(total) as top_share from (select count(*) as n, (select count(*) from source) as total from source group by carrier_code order by n desc, carrier_code limit 3)")
+def source_top3_share(spark, d):
+    each = _raw(spark, d).groupBy("carrier_code").agg(F.count("*").alias("n"))
+    top = each.orderBy(F.desc("n"), "carrier_code").limit(3).agg(F.sum("n").alias("top_deliveries"))
+    return top.crossJoin(each.agg(F.sum("n").alias("total"))).select("top_deliveries", share(F.col("top_deliveries"), F.col("total")).alias("top_share"))  # one row by one row
 
 
-@query("source_weighted_pick", f"select b.i::int as picked, count(*) as picks from events e join {_bounds(12, 1.6)} b on {_u('md5(e.event_id::varchar)', 0)} >= b.lo and {_u('md5(e.event_id::varchar)', 0)} < b.hi group by b.i", whole=False)
-def source_weighted_pick(spark, d):
-    """The wheel turned by every row of ``events``."""
-    u = spark.read.parquet(f"{d}/events.parquet").select(G.fraction(F.md5(F.col("event_id").cast("string").cast("binary")), 0).alias("u"))
-    return u.select(G.picked(C.power_law(12, 1.6), "u").alias("picked")).groupBy("picked").agg(F.count("*").alias("picks"))
+# ---- the catalogue that the deliveries show
+@query("source_catalogue", f"select {_ROUTE}, attempts, group_attempts::bigint as group_attempts, carriers, share from catalogue")
+def source_catalogue(spark, d):
+    return R.catalogue(_calls(spark, d))
 
 
-@query("source_defects", "select on_day, count(*) as delivered, count(*) filter (where buy_rate_eur_per_min is null) as unpriced, count(*) filter (where event_id is null) as nameless, count(*) filter (where billable_seconds < 0) as negative, count(event_id) - count(distinct event_id) as again from source group by on_day")
-def source_defects(spark, d):
-    rows = _raw(spark).withColumn("on_day", utc_naive("occurred_at").cast("date").cast("string"))
-    null = lambda c: F.count_if(F.col(c).isNull())
-    return rows.groupBy("on_day").agg(F.count("*").alias("delivered"), null("buy_rate_eur_per_min").alias("unpriced"), null("event_id").alias("nameless"), F.count_if(F.col("billable_seconds") < 0).alias("negative"), (F.count("event_id") - F.count_distinct("event_id")).alias("again"))
+@query("source_catalogue_stats", f"select count(*) as groups, avg((n = 1)::int::double) as mono_carrier_share, avg(n) as mean_carriers from (select count(*) as n from routes group by {_GROUP})")
+def source_catalogue_stats(spark, d):
+    return R.shape(R.catalogue(_calls(spark, d)))
 
 
-@query("source_route_quality", "select distinct carrier_code, destination_code, round(answers, 9) as answers, round(humans, 9) as humans, sell_micro from catalogue", whole=False)
+@query("source_route_quality", "select carrier_code, destination_code, count(*) as attempts, avg((disposition = 'answered')::int::double) as answers, (count(*) filter (where human_answered))::double / nullif(count(*) filter (where disposition = 'answered'), 0)::double as humans, round(max(sell_rate_eur_per_min) * 1e6)::bigint as sell_micro from calls group by all")
 def source_route_quality(spark, d):
-    return C.build(CONFIG).frame(spark).select("carrier_code", "destination_code", F.round("answers", 9).alias("answers"), F.round("humans", 9).alias("humans"), "sell_micro").distinct()
+    answered = F.count_if(F.col("disposition") == "answered")
+    return _calls(spark, d).groupBy("carrier_code", "destination_code").agg(
+        F.count("*").alias("attempts"),
+        share(answered, F.count("*")).alias("answers"),
+        share(F.count_if("human_answered"), answered).alias("humans"),
+        F.round(F.max("sell_rate_eur_per_min") * 1e6).cast("long").alias("sell_micro"),
+    )
 
 
-@query("source_dispositions", "select carrier_code, destination_code, disposition, human_answered, count(*) as deliveries from source group by all")
-def source_dispositions(spark, d):
-    return _raw(spark).groupBy("carrier_code", "destination_code", "disposition", "human_answered").agg(F.count("*").alias("deliveries"))
+_LAWS = {"destination": ("destination_code", C.ALPHA_DESTINATION), "origin": ("origin_cc", C.ALPHA_ORIGIN), "tier": ("service_tier", C.ALPHA_TIER), "carrier": ("carrier_code", C.ALPHA_GROUP)}
 
 
-@query("source_hours", "select on_day, hour(occurred_at)::int as hour_utc, count(*) as deliveries from source group by all")
-def source_hours(spark, d):
-    at = utc_naive("occurred_at")
-    return _raw(spark).groupBy(at.cast("date").cast("string").alias("on_day"), F.hour(at).alias("hour_utc")).agg(F.count("*").alias("deliveries"))
+def _law_sql(axis: str, column: str, alpha: float) -> str:
+    return f"select '{axis}' as axis, rank::int as rank, member, round(n::double / sum(n) over (), 9) as share, round(pow(rank::double, -{alpha}::double) / sum(pow(rank::double, -{alpha}::double)) over (), 9) as law from (select {column} as member, count(*) as n, row_number() over (order by count(*) desc, {column}) as rank from calls group by {column})"
 
 
-@query("source_top3_share", "select sum(n)::bigint as top_deliveries, sum(n)::double / max(total) as top_share from (select count(*) as n, (select count(*) from source) as total from source group by carrier_code order by n desc, carrier_code limit 3)")
-def source_top3_share(spark, d):
-    each = _raw(spark).groupBy("carrier_code").agg(F.count("*").alias("n"))
-    top = each.orderBy(F.desc("n"), "carrier_code").limit(3).agg(F.sum("n").alias("top_deliveries"))
-    return top.crossJoin(each.agg(F.sum("n").alias("total"))).select("top_deliveries", share(F.col("top_deliveries"), F.col("total")).alias("top_share"))  # one row by one row
+@query("source_zipf_weights", " union all ".join(_law_sql(k, *v) for k, v in _LAWS.items()))
+def source_zipf_weights(spark, d):
+    """Shares of the traffic by rank, beside what a power law would give the rank.  Axes are short code lists."""
+    calls, out = _calls(spark, d), None
+    for axis, (column, alpha) in _LAWS.items():
+        counted = calls.groupBy(F.lit(axis).alias("axis"), F.col(column).alias("member")).agg(F.count("*").alias("n"))
+        ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("axis").orderBy(F.desc("n"), "member")))  # at most 20 members
+        whole, law = Window.partitionBy("axis"), R.zipf(F.col("rank"), alpha)
+        part = ranked.select("axis", "rank", "member", F.round(F.col("n") / F.sum("n").over(whole), 9).alias("share"), F.round(law / F.sum(law).over(whole), 9).alias("law"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@query("source_power_weights", f"select user_id, round(w / sum(w) over (), 9) as share from (select distinct user_id, pow(1 - {_u('md5(user_id::varchar)', 0)}, {C.CARRIER_POWER}::double) as w from events)")
+def source_power_weights(spark, d):
+    """A weight for every caller: a power of a uniform draw of its own."""
+    users = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct()
+    weighed = users.withColumn("w", F.pow(1 - G.fraction(F.md5(F.col("user_id").cast("string").cast("binary")), 0), F.lit(float(C.CARRIER_POWER))))
+    return weighed.crossJoin(weighed.agg(F.sum("w").alias("all"))).select("user_id", F.round(F.col("w") / F.col("all"), 9).alias("share"))  # by one row
 
 
-_KEY = ["carrier_code", "destination_code", "origin_cc", "service_tier"]
-_OTHER = C.GeneratorConfig(seed=CONFIG.seed + 1)
+@query("source_weighted_pick", f"select b.i::int as picked, count(*) as picks from events e join {_bounds(12, 1.6)} b on {_u('md5(e.event_id::varchar)', 0)} >= b.lo and {_u('md5(e.event_id::varchar)', 0)} < b.hi group by b.i")
+def source_weighted_pick(spark, d):
+    """The wheel turned by every row of ``events``."""
+    u = spark.read.parquet(f"{d}/events.parquet").select(G.fraction(F.md5(F.col("event_id").cast("string").cast("binary")), 0).alias("u"))
+    return u.select(G.picked(C.power_law(12, 1.6), "u").alias("picked")).groupBy("picked").agg(F.count("*").alias("picks"))
 
 
-def _ineligible(events: DataFrame, config: C.GeneratorConfig) -> DataFrame:
-    """Deliveries whose carrier may not serve their group, by anti-join with a catalogue."""
-    allowed = C.build(config).frame(events.sparkSession).select(*_KEY)
-    return events.groupBy(*_KEY).agg(F.count("*").alias("deliveries")).join(allowed, _KEY, "left_anti")
+_NOT_IN = f"select {_ROUTE}, count(*) as deliveries from calls s where not exists (select 1 from {{known}} c where {' and '.join(f's.{k} = c.{k}' for k in R.ROUTE)}) group by all"
 
 
-@query("source_ineligible", f"select {', '.join(_KEY)}, count(*) as deliveries from source s where not exists (select 1 from catalogue c where {' and '.join(f's.{k} = c.{k}' for k in _KEY)}) group by all")
+@query("source_ineligible", _NOT_IN.replace("{known}", "catalogue"))
 def source_ineligible(spark, d):
-    """None: the source keeps to its catalogue."""
-    return _ineligible(_raw(spark), CONFIG)
+    """None: a catalogue of all traffic covers it."""
+    calls = _calls(spark, d)
+    return R.ineligible(calls, R.catalogue(calls))
 
 
-QUERIES["source_ineligible_elsewhere"] = lambda spark, d: _ineligible(_raw(spark), _OTHER)
-ORACLE_SQL["source_ineligible_elsewhere"] = f"with {source_ctes(START, DAYS, CONFIG)}, other as (with {catalogue_ctes(_OTHER)} select * from catalogue) select {', '.join(_KEY)}, count(*) as deliveries from source s where not exists (select 1 from other c where {' and '.join(f's.{k} = c.{k}' for k in _KEY)}) group by all"
+@query("source_ineligible_elsewhere", _NOT_IN.replace("{known}", f"(select * from calls where occurred_at < timestamp '{FIRST_DAY + timedelta(days=1)}')"))
+def source_ineligible_elsewhere(spark, d):
+    """Traffic over routes that the first day did not know."""
+    first = M.classified(_raw(spark, d, 1), AS_OF).where("quarantine_reason is null")
+    return R.ineligible(_calls(spark, d), R.catalogue(first))
 
 
 # ---- loading
-_AS_OF = datetime(2026, 4, 1, tzinfo=UTC)
+def _days(spark: SparkSession, d: str, n: int, first: int = 0) -> DataFrame:
+    return call_events(spark, d, start=FIRST_DAY + timedelta(days=first), n_days=n)
 
 
-@query("load_overwrite", "select on_day, count(*) as stored, count(distinct event_id) as distinct_events from source group by on_day")
+@query("load_overwrite", "select occurred_at::date::varchar as on_day, count(*) as stored, count(distinct event_id) as distinct_events from source group by all", DAYS)
 def load_overwrite(spark, d):
-    """Three days, then the first again: whole days are replaced."""
+    """Three days, then the second again: whole days are replaced."""
     where = L.destination("parquet", scratch.new_path(spark, "load"))
-    L.load(spark, START, DAYS, where, CONFIG)
-    L.load(spark, START, 1, where, CONFIG)
+    L.overwrite_days(_days(spark, d, DAYS), where)
+    L.overwrite_days(_days(spark, d, 1, 1).where(F.col("occurred_at") <= AS_OF), where)
     return L.read_raw(spark, where).groupBy(F.col("day").cast("string").alias("on_day")).agg(F.count("*").alias("stored"), F.count_distinct("event_id").alias("distinct_events"))
 
 
-@query("load_append", "select sum(n)::bigint as stored, max(ids) as distinct_events, max(us) as mark_us from (select count(*) as n, count(distinct event_id) as ids, epoch_us(max(occurred_at)) as us from source union all select count(*), 0, 0 from source where on_day = '2026-03-01' and occurred_at >= (select max(occurred_at) from source where on_day = '2026-03-01'))")
+_FIRST = f"occurred_at <= timestamp '2024-02-01' and occurred_at < timestamp '{FIRST_DAY + timedelta(days=1)}'"
+_MARK = f"(select max(occurred_at) from source where {_FIRST})"
+
+
+@query("load_append", f"select count(*) filter (where {_FIRST} or occurred_at > timestamp '2024-02-01' and _row_id in (select _row_id from first_day)) + count(*) filter (where occurred_at >= {_MARK}) as stored, count(distinct event_id) as distinct_events, max(epoch_us(occurred_at)) filter (where occurred_at <= timestamp '2024-02-01') as mark_us from source", DAYS)
 def load_append(spark, d):
     """One day appended, then three: the boundary is read twice, the rest once, and the mark moves."""
     where = L.destination("parquet", scratch.new_path(spark, "load"))
     for days in (1, DAYS):
-        L.load(spark, START, days, where, CONFIG, mode="append", as_of=_AS_OF)
+        L.append_new(_days(spark, d, days), where, AS_OF)
     mark = L.high_water_mark(spark, where)
     return L.read_raw(spark, where).agg(F.count("*").alias("stored"), F.count_distinct("event_id").alias("distinct_events")).withColumn("mark_us", F.lit(mark).cast("long"))
+
+
+ORACLE_SQL["load_append"] = ORACLE_SQL["load_append"].replace("calls as (", f"first_day as ({call_events_sql(start=FIRST_DAY)}),\ncalls as (", 1)
