@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from switchyard.functions import interval_bucket, micro, quarantine_reason, share, surrogate_key, utc_naive
 from switchyard.operators import checks as K
 from switchyard.operators import models as M
-from switchyard.plans import damage, runner, scratch, source_queries
+from switchyard.plans import damage, insight_queries, runner, scratch, source_queries
 from switchyard.plans.orchestrate import freshness
 from switchyard.schemas import GRAIN, REASONS
 from switchyard.sources import loaders
@@ -327,5 +327,10 @@ def mart_by_days(spark, d):
     return runner.Warehouse(spark, f"{root}/models").read("agg_routing_interval")
 
 
+for _name, (_query, _tail) in insight_queries.INSIGHTS.items():
+    query(_name, _tail)(_query)
+    if _name in ("agg_routing_day", "dq_day_density"):
+        ORACLE_SQL[_name] = ORACLE_SQL[_name].replace("interval '15 minutes'", "interval '1440 minutes'")
+
 QUERIES |= source_queries.QUERIES
 ORACLE_SQL |= source_queries.ORACLE_SQL

@@ -10,7 +10,7 @@ import os
 from dataclasses import dataclass
 from datetime import date, datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from switchyard.functions import as_of_column, utc_naive
@@ -64,9 +64,20 @@ def with_day(rows: DataFrame) -> DataFrame:
 
 
 def read_raw(spark: SparkSession, where: Destination) -> DataFrame:
-    if where.kind == "postgres":
-        return spark.read.format("jdbc").options(**postgres_options(), dbtable=TABLE).load()
-    return spark.read.schema(RAW_TABLE).parquet(where.raw)
+    """The raw table; over JDBC one task a UTC day, so that no connection carries all rows."""
+    if where.kind != "postgres":
+        return spark.read.schema(RAW_TABLE).parquet(where.raw)
+    days = spark.read.format("jdbc").options(**postgres_options(), query=f"select distinct day from {TABLE}").load()
+    o = postgres_options()
+    return spark.read.jdbc(o.pop("url"), TABLE, predicates=day_predicates([r.day for r in days.collect()]), properties=o)  # a row a day
+
+
+def day_predicates(days: list[date | None]) -> list[str]:
+    """One condition for each day; together they cover every row once, undated rows and days that come meanwhile included."""
+    known = sorted(d for d in days if d is not None)
+    each = [f"day = date '{d.isoformat()}'" for d in known]
+    others = " and ".join(f"day <> date '{d.isoformat()}'" for d in known)
+    return [*each, f"day is null or ({others})" if known else "true"]
 
 
 TABLE, INCOMING = "raw.call_events", "raw.call_events_incoming"
@@ -124,16 +135,21 @@ def append_new(rows: DataFrame, where: Destination, as_of: datetime | None = Non
     """Append rows at or after the mark (closed boundary: at least once), then move it.
 
     A row without a date can't be placed before or after the mark: it is kept.
+    The new mark is observed on the rows as they are written, so it is that of
+    what was stored and the rows are read once; a row in the future is not
+    observed.  A failure between the two steps repeats rows, and loses none.
     """
     spark = rows.sparkSession
     mark = high_water_mark(spark, where)
     fresh = rows if mark is None else rows.where(F.col("occurred_at").isNull() | (F.unix_micros("occurred_at") >= F.lit(mark)))
+    seen = Observation()
+    watched = with_day(fresh).observe(seen, F.max(F.when(F.col("occurred_at") <= as_of_column(as_of), F.unix_micros("occurred_at"))).alias("mark_us"))
     if where.kind == "postgres":
-        jdbc_write(with_day(fresh), TABLE, "append")
+        jdbc_write(watched, TABLE, "append")
     else:
-        with_day(fresh).write.mode("append").partitionBy("day").parquet(where.raw)
-    moved = fresh.where(F.col("occurred_at") <= as_of_column(as_of)).agg(F.max(F.unix_micros("occurred_at")).alias("mark_us")).where("mark_us is not null")
-    moved.coalesce(1).write.mode("append").parquet(where.state)  # one row
+        watched.write.mode("append").partitionBy("day").parquet(where.raw)
+    if (reached := seen.get["mark_us"]) is not None:
+        spark.createDataFrame([(reached,)], "mark_us long").coalesce(1).write.mode("append").parquet(where.state)  # one row
 
 
 def load(spark: SparkSession, start: date = DEFAULT_START, n_days: int = DEFAULT_DAYS, where: Destination | None = None, config: GeneratorConfig | None = None, mode: str = "overwrite", load_id: str | None = None, as_of: datetime | None = None) -> Destination:
