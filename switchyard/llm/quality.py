@@ -4,11 +4,12 @@ Tokens are runs of letters, of digits or of marks.  Each has a sparse ternary
 index vector derived from its hash; its word vector is that plus the
 (normalised) sum of the index vectors seen within two places of it in the
 training sample.  Tokens outside the sample's vocabulary share the vector of
-their shape (case, length).  A pair of equal tokens one to four places apart is
-a token too (``PAIRS``), as is a token seen before in the text; their vectors
-are made in the same way, by hash and context, in the same dimensions, so loops
-pool towards them.  A document is the mean of its tokens' vectors and nothing
-else; a two-layer numpy network scores it.
+their shape (case, length).  A document is pooled in two ways: the mean of its
+tokens' word vectors, and, for each distance of one to four places, the mean of
+what binds two tokens that far apart, the product of their index vectors place
+by place.  Products carry the order of words, and as vectors are ternary, a
+text that goes in circles pools to positive ones.  A two-layer numpy network
+scores the pooled vectors and nothing else.
 
 A temperature set on a fifth of the sample calibrates the probability.  Its
 targets are smoothed by the number of tuning rows, (n + 1) / (n + 2) for a class
@@ -17,8 +18,8 @@ of n, so a separable sample gives a finite temperature.
 The fit uses a bounded, class-balanced sample (``per_class``, ``total`` rows,
 ``max_chars`` characters a class), reweighted to the true class shares; of its
 words the ``max_vocab`` most frequent seen ``min_count`` times have vectors of
-their own.  Scoring covers every whole text.  The pooling is linear, so the
-first layer is folded into the word rows, which are cached per word.
+their own.  Scoring covers every whole text.  Means are linear, so the first
+layer is folded into the word rows, which are cached per word.
 
 Defined results: null and empty texts pool to the zero vector; without labelled
 rows of both classes every score is the share of label 1 (0 if none); an id with
@@ -46,8 +47,8 @@ from switchyard.llm.subword import WordRows
 THRESHOLD = 0.7
 TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 LAGS = (1, 2, 3, 4)
-#: Tokens for equal pairs by distance, and for a token seen anywhere before.
-PAIRS = [*(f"<again {k}>" for k in LAGS), "<seen>"]
+#: Tokens of a text that are pooled at a time.
+PIECE = 8192
 
 
 def shape(token: str) -> str:
@@ -101,7 +102,7 @@ class QualityModel:
         total = np.bincount(np.concatenate([np.zeros(0, np.int64), *texts_of]), minlength=len(spelled))
         counts = dict(zip(spelled, total.tolist(), strict=True))
         known = sorted((w for w, n in counts.items() if n >= self.min_count), key=lambda w: (-counts[w], w))[: self.max_vocab]
-        names = [*PAIRS, *known, *sorted({shape(w) for w in counts})]
+        names = [*known, *sorted({shape(w) for w in counts})]
         self.vocab = {w: i for i, w in enumerate(names)}
         row_of = np.array([self.vocab.get(w, -1) if w in self.vocab else self.vocab[shape(w)] for w in spelled], np.int64)
         at, sign = index_places(names, self.dim)
@@ -113,12 +114,9 @@ class QualityModel:
                 context[:] += np.bincount(here * self.dim + at[there, j], sign[there, j], len(context))
 
         for spelt in texts_of:
-            ids = row_of[spelt] if len(spelt) else spelt
+            ids = row_of[spelt]
             for k in (1, 2):
                 held += [(ids[:-k], ids[k:]), (ids[k:], ids[:-k])]
-            for j, k in enumerate(LAGS):  # a pair's context is the token it repeats
-                again = ids[k:][spelt[k:] == spelt[:-k]]
-                held.append((np.full(len(again), j), again))
             size += 4 * len(ids)
             if size > 400_000:
                 add()
@@ -147,20 +145,40 @@ class QualityModel:
         return out
 
     # ---- documents
-    def pool(self, text: str | None, cache: WordRows, pairs: np.ndarray) -> np.ndarray:
-        """Mean row over the text's tokens, equal pairs (rows ``pairs``) included."""
+    def pool(self, text: str | None, cache: WordRows) -> np.ndarray:
+        """The mean of the rows of a text's tokens, then of the products of index vectors by distance.
+
+        A cached row is a token's (folded) word vector, then its index vector.
+        """
         words = TOKEN.findall(text) if text else []
         if not words:
-            return np.zeros(pairs.shape[1])
+            return np.zeros(self.wide + len(LAGS) * self.dim)
         cache.load(set(words))
         ids = np.fromiter(map(cache.ids.__getitem__, words), np.int32, len(words))
-        n = len(ids)
-        again = np.array([*(np.count_nonzero(ids[k:] == ids[:-k]) for k in LAGS), n - len(np.unique(ids))])
-        return (cache.table[ids].sum(0, dtype=np.float64) + again @ pairs) / (n + again.sum())
+        out = np.zeros(self.wide + len(LAGS) * self.dim)
+        for lo in range(0, len(ids), PIECE):  # pieces overlap by the longest distance
+            rows = cache.table[ids[lo : lo + PIECE + LAGS[-1]]]
+            out[: self.wide] += rows[:PIECE, : self.wide].sum(0, dtype=np.float64)
+            index = rows[:, self.wide :]
+            for j, k in enumerate(LAGS):
+                n = min(len(index) - k, PIECE)
+                if n > 0:
+                    out[self.wide + j * self.dim : self.wide + (j + 1) * self.dim] += np.einsum("ij,ij->j", index[:n], index[k : k + n])
+        return out / len(words)
+
+    @property
+    def wide(self) -> int:
+        """Width of a cached word vector: folded once there is a network."""
+        return self.dim if self.w1 is None else self.hidden
+
+    def index_rows(self, words: list[str]) -> np.ndarray:
+        """A row a token: its word vector, folded if there is a network, and its index vector."""
+        vectors = self.word_vectors(words)
+        return np.hstack([vectors if self.w1 is None else (vectors @ self.w1[: self.dim]).astype(np.float32), index_vectors(words, self.dim)])
 
     def document_vectors(self, texts) -> np.ndarray:
-        cache, pairs = WordRows(self.word_vectors, 50_000), self.word_vectors(PAIRS)
-        return np.array([self.pool(t, cache, pairs) for t in texts])
+        cache = WordRows(self.index_rows, 50_000)
+        return np.array([self.pool(t, cache) for t in texts])
 
     # ---- network
     def fit(self, texts: list[str], y: np.ndarray, weights: np.ndarray) -> QualityModel:
@@ -199,14 +217,11 @@ class QualityModel:
         grid = np.exp(np.linspace(np.log(0.05), np.log(20), 121))
         self.temperature = float(min(grid, key=lambda t: np.average(goal * np.logaddexp(0, -z / t) + (1 - goal) * np.logaddexp(0, z / t), weights=weights)))
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        return (self.word_vectors(words) @ self.w1).astype(np.float32)
-
     def scores(self, texts, cache: WordRows | None) -> np.ndarray:
         if self.prior is not None:
             return np.full(len(texts), self.prior)
-        pairs = self.word_vectors(PAIRS) @ self.w1
-        h = np.array([self.pool(t, cache, pairs) for t in texts]).reshape(len(texts), self.hidden) + self.b1
+        x = np.array([self.pool(t, cache) for t in texts]).reshape(len(texts), -1)
+        h = x[:, : self.hidden] + x[:, self.hidden :] @ self.w1[self.dim :] + self.b1
         z = np.maximum(h, 0) @ self.w2 + self.b2
         return 1 / (1 + np.exp(-np.clip(z / self.temperature, -500, 500)))
 
@@ -231,7 +246,7 @@ def scorer(spark: SparkSession, model: QualityModel):
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         m = shared.value
-        cache = WordRows(m.rows) if m.prior is None else None
+        cache = WordRows(m.index_rows, 100_000) if m.prior is None else None
         for texts in batches:
             yield pd.Series(m.scores(texts, cache), dtype="float64")
         del cache
