@@ -4,8 +4,9 @@ Bucket vectors of character n-grams and the softmax are trained jointly, so an
 unseen misspelling shares most of its n-gram vectors with the word it bends.
 The fit uses a bounded sample of labelled rows (``per_class``, ``total``
 rows, ``max_chars`` characters a class), reweighted to the true class shares and
-then part of the way back (``balance``).  A model fitted on four fifths sets the
-temperature on the last; the one used is then fitted on all.  Scoring covers every whole text.
+then part of the way back (``balance``).  The model is fitted on four fifths of it
+and its temperature set on the last.  Settings were compared by cross-validation
+among the training rows.  Scoring covers every whole text.
 
 Defined results: null and empty texts, and texts without letters, score as the
 model's bias (the clean prior); without labelled rows of both classes every
@@ -51,11 +52,10 @@ def fit(docs: DataFrame, labels: DataFrame, column: str, parts: int, held: int,
     order = np.random.default_rng(11).permutation(len(texts))
     cut = max(1, len(texts) // 5)
     tune, train = order[:cut], order[cut:]
-    trial = SubwordModel(classes, **model)
-    bags = trial.bags(texts)
-    trial.learn(bags, train, y, weights)
-    trial.calibrate(trial.logits((texts[i] for i in tune), WordRows(trial.rows, 50_000)), y[tune], weights[tune])
-    fitted = SubwordModel(classes, **model | {"temperature": trial.temperature}).learn(bags, order, y, weights)
+    fitted = SubwordModel(classes, **model)
+    bags = fitted.bags([texts[i] for i in train])
+    fitted.learn(bags, np.arange(len(train)), y[train], weights[train])
+    fitted.calibrate(fitted.logits((texts[i] for i in tune), WordRows(fitted.rows, 50_000)), y[tune], weights[tune])
     del bags, texts
     C.give_back()
     return fitted
