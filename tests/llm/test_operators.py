@@ -478,12 +478,19 @@ def test_scores_equal_an_unfolded_forward_pass(spark, labels, rows):
 
     def forward(text):
         words = quality.TOKEN.findall(text or "")
-        stream = [*words, *(f"<again {k}>" for k in quality.LAGS for i in range(k, len(words)) if words[i] == words[i - k]), *("<seen>" for i, w in enumerate(words) if w in words[:i])]
-        x = np.mean([q.word_vectors([w])[0].astype(float) for w in stream], axis=0) if stream else np.zeros(q.dim)
+        index = [quality.index_vectors([w], q.dim)[0].astype(float) for w in words]
+        bound = [sum((a * b for a, b in zip(index, index[k:], strict=False)), np.zeros(q.dim)) for k in quality.LAGS]
+        x = np.concatenate([sum((q.word_vectors([w])[0].astype(float) for w in words), np.zeros(q.dim)), *bound]) / max(len(words), 1)
         return 1 / (1 + np.exp(-(np.maximum(x @ q.w1 + q.b1, 0) @ q.w2 + q.b2) / q.temperature))
 
     short = [t for t in texts if not t or len(t) < 20_000]
-    assert np.allclose(q.scores(short, WordRows(q.rows, 50)), [forward(t) for t in short], atol=1e-4)
+    whole = q.scores(short, WordRows(q.index_rows, 50))
+    piece, quality.PIECE = quality.PIECE, 7  # pieces add up to the whole
+    try:
+        assert np.allclose(q.scores(short, WordRows(q.index_rows, 50)), whole)
+    finally:
+        quality.PIECE = piece
+    assert np.allclose(q.scores(short, WordRows(q.index_rows, 50)), [forward(t) for t in short], atol=1e-4)
     assert 0.06 < q.temperature < 19  # not at an end of its grid
 
 

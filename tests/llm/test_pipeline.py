@@ -4,6 +4,7 @@ import os
 import zlib
 
 import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 
 def test_registered():
     assert set(QUERIES) <= set(entry.queries()) and "pipeline" in entry.queries()
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")) == list(range(1, 14))
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
@@ -27,12 +28,13 @@ def test_registered():
 def test_sql(spark, name):
     got = QUERIES[name](spark, SF).toPandas()
     con = duckdb.connect()
-    for table in ("documents", "embeddings"):
+    for table in ("documents", "embeddings", "conversations"):
         con.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     want = con.execute(ORACLE_SQL[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    rows = lambda df: sorted(map(str, df[columns].astype(object).itertuples(index=False, name=None)))
+    plain = lambda v: None if pd.isna(v) else float(v) if isinstance(v, int | float) else v
+    rows = lambda df: sorted(str([plain(v) for v in r]) for r in df[columns].astype(object).itertuples(index=False, name=None))
     assert rows(got) == rows(want)
 
 
@@ -70,6 +72,9 @@ COLUMNS = {
     "op8_packing": "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint",
     "op9_toxicity": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_mixing": "doc_id bigint, size bigint, source_size bigint, target double, taken bigint",
+    "op11_prefix_trie": "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string",
+    "op12_conversation_repair": "conv_id bigint, gaps bigint, blank bigint, duplicate bigint, truncated bigint, illegal bigint, cost bigint, audit string, repaired_sha256 string",
+    "op13_fingerprints": "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double",
 }
 FOLDS = {"op1_quality": (4, 2), "op2_language_id": (4, 2), "op9_toxicity": (3, 1)}
 
@@ -87,6 +92,9 @@ def _odd_tables(spark, folder):
     first = vectors.limit(1)
     bad = first.withColumn("vec_id", F.lit(9001).cast("long")).withColumn("embedding", F.lit(None).cast("array<float>")).unionByName(first.withColumn("vec_id", F.lit(9002).cast("long")).withColumn("label", F.lit(None).cast(vectors.schema["label"].dataType))).unionByName(first)
     tables = {"documents": clash(docs.unionByName(odd)), "embeddings": clash(vectors.unionByName(bad)), "labels": clash(read("labels").unionByName(read("labels").limit(2)).unionByName(read("labels").limit(1).withColumn("doc_id", F.lit(None).cast("long"))))}
+    said = read("conversations")
+    turns = [(9001, 1, None, None), (9001, None, "user", "Hello."), (9001, None, "user", "Hello."), (9002, 3, "", ""), (9003, -5, "tool", "word " * 40_000), (None, 1, "user", "No id.")]
+    tables["conversations"] = clash(said.unionByName(spark.createDataFrame(turns, said.schema)))
     for n, df in tables.items():
         df.write.parquet(f"{folder}/odd/{n}.parquet")
         read(n).limit(0).write.parquet(f"{folder}/empty/{n}.parquet")
@@ -109,6 +117,14 @@ def test_entry(spark, odd, name):
     out = QUERIES[name](spark, tables)
     assert dict(out.dtypes).items() >= dict(want).items()
     got = out.toPandas()
+    if name in ("op11_prefix_trie", "op12_conversation_repair"):
+        convs = {r.conv_id for r in C.table(spark, tables, "conversations").select("conv_id").distinct().collect()}
+        ids = {None if i != i else int(i) for i in got.conv_id.astype(float)}
+        if name == "op12_conversation_repair":
+            assert ids == convs and len(got) == len(convs)
+        else:
+            assert ids <= convs - {None} and got[got.depth == 0].n_convs.tolist() == [len(convs) - 1]
+        return
     table = "embeddings" if name == "op7_embedding_dedup" else "documents"
     key = got.columns[0] if name != "op3_token_counts" else None
     rows = C.table(spark, tables, table)
