@@ -57,18 +57,32 @@ def stg_call_events_quarantine(raw: DataFrame, as_of: datetime | None = None) ->
     return classified(raw, as_of).where("quarantine_reason is not null").select(*kept)
 
 
+_CODES = ("carrier_code", "destination_code", "service_tier")
+
+
+def codes(stg: DataFrame) -> DataFrame:
+    """What the dimensions are made of, in one pass over staging: a row for each code of each kind.
+
+    Grouping sets; ``kind`` names the code that a row is about.
+    """
+    seen = [F.min("occurred_at_utc").alias("first_seen_at_utc"), F.max("occurred_at_utc").alias("last_seen_at_utc"), F.count("*").alias("attempt_count")]
+    kind = F.when(F.grouping("carrier_code") == 0, "carrier_code").when(F.grouping("destination_code") == 0, "destination_code").otherwise("service_tier")
+    return stg.groupingSets([[c] for c in _CODES], *_CODES).agg(kind.alias("kind"), *seen)
+
+
+def _of(rows: DataFrame, code: str) -> DataFrame:
+    """Rows of one kind of code, from ``codes`` or from staging."""
+    return (rows if "kind" in rows.columns else codes(rows)).where(F.col("kind") == code)
+
+
 def dim_carrier(stg: DataFrame) -> DataFrame:
-    seen = stg.groupBy("carrier_code").agg(F.min("occurred_at_utc").alias("first_seen_at_utc"), F.max("occurred_at_utc").alias("last_seen_at_utc"), F.count("*").alias("attempt_count"))
-    return seen.select(surrogate_key("carrier_code").alias("carrier_key"), *seen.columns)
+    """From staging, or from its ``codes``."""
+    return _of(stg, "carrier_code").select(surrogate_key("carrier_code").alias("carrier_key"), "carrier_code", "first_seen_at_utc", "last_seen_at_utc", "attempt_count")
 
 
 def dim_destination(stg: DataFrame) -> DataFrame:
     part = lambda n: F.split_part("destination_code", F.lit("-"), F.lit(n))
-    return (
-        stg.groupBy("destination_code")
-        .agg(F.count("*").alias("attempt_count"))
-        .select(surrogate_key("destination_code").alias("destination_key"), "destination_code", part(2).alias("country_code"), part(3).alias("network_type"), (part(3) == "MOB").alias("is_mobile"), "attempt_count")
-    )
+    return _of(stg, "destination_code").select(surrogate_key("destination_code").alias("destination_key"), "destination_code", part(2).alias("country_code"), part(3).alias("network_type"), (part(3) == "MOB").alias("is_mobile"), "attempt_count")
 
 
 def dim_service_tier(stg: DataFrame) -> DataFrame:
@@ -76,7 +90,7 @@ def dim_service_tier(stg: DataFrame) -> DataFrame:
     rank = None
     for n, tier in enumerate(TIERS, 1):
         rank = (F if rank is None else rank).when(F.col("service_tier") == tier, n)
-    return stg.groupBy("service_tier").agg(F.count("*").alias("attempt_count")).select(surrogate_key("service_tier").alias("service_tier_key"), "service_tier", rank.alias("tier_rank"), "attempt_count")
+    return _of(stg, "service_tier").select(surrogate_key("service_tier").alias("service_tier_key"), "service_tier", rank.alias("tier_rank"), "attempt_count")
 
 
 def fct_call_attempt(stg: DataFrame) -> DataFrame:

@@ -33,9 +33,9 @@ def _stg(spark, d):
 
 
 def _mart(spark, d, minutes: int = 15):
-    fact = M.fct_call_attempt(M.stg_call_events(call_events(spark, d), AS_OF, minutes))
-    stg = _stg(spark, d)
-    return M.agg_routing_interval(fact, M.dim_carrier(stg), M.dim_destination(stg), M.dim_service_tier(stg))
+    stg = scratch.written(M.stg_call_events(call_events(spark, d), AS_OF, minutes), "stg")
+    seen = scratch.written(M.codes(stg), "codes")
+    return M.agg_routing_interval(M.fct_call_attempt(stg), M.dim_carrier(seen), M.dim_destination(seen), M.dim_service_tier(seen))
 
 
 # ---- the stateful stream
@@ -49,7 +49,7 @@ placed as (select *, row_number() over (partition by event_id order by _load_id,
 
 def _streamed(spark, d) -> str:
     """The deliveries replayed load by load, one micro-batch each; the folder of what was stored."""
-    root = scratch.new_path(spark, "stream")
+    root = scratch.folder(spark, "stream")
     start = instant(F.to_timestamp_ntz(F.lit(FIRST_DAY.isoformat())))
     arrivals = call_events(spark, d).withColumn("arrived_at", start + F.make_dt_interval((F.col("_load_id").cast("int") + 1) * LOAD_DAYS))
     for load in sorted(r[0] for r in arrivals.select("_load_id").distinct().collect()):  # a row a load

@@ -94,8 +94,10 @@ class Nodes(dict):
                 out = scratch.written(M.stg_call_events(self.raw, AS_OF), name)
             elif name == "stg_call_events_quarantine":
                 out = M.stg_call_events_quarantine(self.raw, AS_OF)
+            elif name == "codes":
+                out = scratch.written(M.codes(b("stg_call_events")), name)
             elif name.startswith("dim_"):
-                out = scratch.written(getattr(M, name)(b("stg_call_events")), name)
+                out = getattr(M, name)(b("codes"))
             elif name == "fct_call_attempt":
                 out = M.fct_call_attempt(b("stg_call_events"))
             elif name == "agg_routing_interval":
@@ -318,7 +320,7 @@ def route_eligibility(spark, d):
 @query("mart_by_days", "select * from mart where interval_start_utc < timestamp '2024-01-04'")
 def mart_by_days(spark, d):
     """Three loaded days built in three steps: later days are first in the future, then admissible."""
-    root, first, n = scratch.new_path(spark, "by-days"), source_queries.FIRST_DAY, source_queries.DAYS
+    root, first, n = scratch.folder(spark, "by-days"), source_queries.FIRST_DAY, source_queries.DAYS
     where = loaders.destination("parquet", root)
     loaders.overwrite_days(call_events(spark, d, start=first, n_days=n), where)
     for k in range(n):

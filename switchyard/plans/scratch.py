@@ -29,8 +29,24 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def folder(spark: SparkSession, name: str) -> str:
+    """A new, empty folder of that kind, which goes with the session."""
+    path = new_path(spark, name)
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    home.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(home)
+    gone_at_end(spark, path)
+    return path
+
+
+def gone_at_end(spark: SparkSession, path: str) -> None:
+    """Have the file system delete ``path``, which exists, when the session's JVM ends: what a query returns may read it until then."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(p)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as Parquet, read back: computed once, and a lost executor costs a read."""
-    path = new_path(df.sparkSession, name)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    gone_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -180,7 +180,7 @@ def _days(spark: SparkSession, d: str, n: int, first: int = 0) -> DataFrame:
 @query("load_overwrite", "select occurred_at::date::varchar as on_day, count(*) as stored, count(distinct event_id) as distinct_events from source group by all", DAYS)
 def load_overwrite(spark, d):
     """Three days, then the second again: whole days are replaced."""
-    where = L.destination("parquet", scratch.new_path(spark, "load"))
+    where = L.destination("parquet", scratch.folder(spark, "load"))
     L.overwrite_days(_days(spark, d, DAYS), where)
     L.overwrite_days(_days(spark, d, 1, 1).where(F.col("occurred_at") <= AS_OF), where)
     return L.read_raw(spark, where).groupBy(F.col("day").cast("string").alias("on_day")).agg(F.count("*").alias("stored"), F.count_distinct("event_id").alias("distinct_events"))
@@ -193,7 +193,7 @@ _MARK = f"(select max(occurred_at) from source where {_FIRST})"
 @query("load_append", f"select count(*) filter (where {_FIRST} or occurred_at > timestamp '2024-02-01' and _row_id in (select _row_id from first_day)) + count(*) filter (where occurred_at >= {_MARK}) as stored, count(distinct event_id) as distinct_events, max(epoch_us(occurred_at)) filter (where occurred_at <= timestamp '2024-02-01') as mark_us from source", DAYS)
 def load_append(spark, d):
     """One day appended, then three: the boundary is read twice, the rest once, and the mark moves."""
-    where = L.destination("parquet", scratch.new_path(spark, "load"))
+    where = L.destination("parquet", scratch.folder(spark, "load"))
     for days in (1, DAYS):
         L.append_new(_days(spark, d, days), where, AS_OF)
     mark = L.high_water_mark(spark, where)
