@@ -47,11 +47,13 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     Cuts lineage durably: a lost executor costs one re-read, never a recompute
-    of what came before.
+    of what came before.  The table goes when the session's JVM ends.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
+    home = spark._jvm.org.apache.hadoop.fs.Path(path)
+    home.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(home)
     return spark.read.schema(df.schema).parquet(path)
 
 
