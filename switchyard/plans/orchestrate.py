@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from switchyard.functions import as_of_column
 from switchyard.plans.runner import Report, run
 from switchyard.sources.catalogue import GeneratorConfig
-from switchyard.sources.loaders import Destination, load, read_raw
+from switchyard.sources.loaders import Destination, Source, load, read_raw
 
 
 def with_retries(step: Callable, retries: int = 3, first_delay: float = 30.0, most: float = 600.0, sleep: Callable[[float], None] = time.sleep):
@@ -26,14 +26,14 @@ def with_retries(step: Callable, retries: int = 3, first_delay: float = 30.0, mo
             sleep(min(first_delay * 2**attempt, most))
 
 
-def run_day(spark: SparkSession, logical_date: date, where: Destination, config: GeneratorConfig | None = None, as_of: datetime | None = None, **retry) -> Report:
+def run_day(spark: SparkSession, logical_date: date, where: Destination, config: GeneratorConfig | None = None, as_of: datetime | None = None, source: Source | None = None, **retry) -> Report:
     """Load exactly that day, then build what it touches and test.  Nothing here asks what day it is."""
     as_of = as_of or datetime(logical_date.year, logical_date.month, logical_date.day, tzinfo=UTC) + timedelta(days=1)
-    with_retries(lambda: load(spark, logical_date, 1, where, config), **retry)
+    with_retries(lambda: load(spark, logical_date, 1, where, config, source=source), **retry)
     return run(spark, read_raw(spark, where), f"{where.root}/models", as_of, days=[logical_date])
 
 
-def backfill(spark: SparkSession, start: date, end: date, where: Destination, config: GeneratorConfig | None = None, each: bool = False, **retry) -> dict[date, Report]:
+def backfill(spark: SparkSession, start: date, end: date, where: Destination, config: GeneratorConfig | None = None, each: bool = False, source: Source | None = None, **retry) -> dict[date, Report]:
     """Days from ``start`` to ``end`` (both included).
 
     The range is loaded at once and its days are built once, so the work grows
@@ -43,8 +43,8 @@ def backfill(spark: SparkSession, start: date, end: date, where: Destination, co
     days = [start + timedelta(days=k) for k in range((end - start).days + 1)]
     latest = datetime(end.year, end.month, end.day, tzinfo=UTC) + timedelta(days=1)
     if each:
-        return {d: run_day(spark, d, where, config, latest, **retry) for d in days}
-    with_retries(lambda: load(spark, start, len(days), where, config), **retry)
+        return {d: run_day(spark, d, where, config, latest, source, **retry) for d in days}
+    with_retries(lambda: load(spark, start, len(days), where, config, source=source), **retry)
     return dict.fromkeys(days, run(spark, read_raw(spark, where), f"{where.root}/models", latest, days=days))
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from datetime import UTC, datetime
+from datetime import UTC, datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from switchyard.functions import interval_bucket, micro, quarantine_reason, shar
 from switchyard.operators import checks as K
 from switchyard.operators import models as M
 from switchyard.plans import damage, insight_queries, runner, scratch, source_queries
-from switchyard.plans.orchestrate import freshness
+from switchyard.plans.orchestrate import backfill, freshness, run_day
 from switchyard.schemas import GRAIN, REASONS
 from switchyard.sources import loaders
 from switchyard.sources.bridge import AS_OF, call_events, call_events_sql
@@ -326,9 +326,48 @@ def mart_by_days(spark, d):
     for k in range(n):
         as_of = datetime(2024, 1, 2 + k, tzinfo=UTC)
         runner.run(spark, loaders.read_raw(spark, where), f"{root}/models", as_of, [], [first] if k == 0 else [])
-    return runner.Warehouse(spark, f"{root}/models").read("agg_routing_interval")
+    return runner.Tables(spark, f"{root}/models").read("agg_routing_interval")
 
 
+def _replay(d: str) -> loaders.Source:
+    return lambda spark, start, n: call_events(spark, d, start=start, n_days=n)
+
+
+@query("daily_runs", "select * from mart where interval_start_utc < timestamp '2024-01-04'")
+def daily_runs(spark, d):
+    """Three logical days, each loaded, built and tested by itself: the mart they leave."""
+    first, where = source_queries.FIRST_DAY, loaders.destination("parquet", scratch.folder(spark, "daily"))
+    for k in range(source_queries.DAYS):
+        run_day(spark, first + timedelta(days=k), where, source=_replay(d))
+    return runner.Tables(spark, f"{where.root}/models").read("agg_routing_interval")
+
+
+@query("backfill_range", "select * from mart where interval_start_utc < timestamp '2024-01-04'")
+def backfill_range(spark, d):
+    """The same days as one load and one build."""
+    first, where = source_queries.FIRST_DAY, loaders.destination("parquet", scratch.folder(spark, "backfill"))
+    backfill(spark, first, first + timedelta(days=source_queries.DAYS - 1), where, source=_replay(d))
+    return runner.Tables(spark, f"{where.root}/models").read("agg_routing_interval")
+
+
+def _gated(spark, d, degraded: bool = False) -> DataFrame:
+    report = runner.run(spark, call_events(spark, d, degraded), scratch.folder(spark, "gated"), AS_OF)
+    rows = [(n, s, 0) for n, s in report.nodes.items()] + [(n, s, k) for n, (s, k) in report.checks.items()]
+    return spark.createDataFrame(rows, "item string, status string, failures long")  # a row a node and a check
+
+
+def _gated_sql(skipped: tuple[str, ...] = ()) -> str:
+    """Nodes below a failure are skipped, and so are the checks that read them."""
+    flat = {k: v for n, f in _FAMILIES.items() for k, v in (f if isinstance(f, dict) else {n: f}).items()}
+    off = {c.name for c in K.CHECKS if set(c.on) & set(skipped)}
+    nodes = " union all ".join(f"select '{n.name}' as item, '{'SKIPPED' if n.name in skipped else 'BUILT'}' as status, 0::bigint as failures" for n in runner.graph())
+    tested = _summary({k: v for k, v in flat.items() if k not in off})
+    return f" select * from ({nodes} union all select \"check\", status, failures from ({tested})" + "".join(f" union all select '{n}', 'SKIPPED', 0" for n in sorted(off)) + ")"
+
+
+query("gated_build", _gated_sql())(_gated)
+query("gated_build_degraded", _gated_sql(("agg_routing_interval", "dq_interval_density")), True)(lambda spark, d: _gated(spark, d, True))
+
 for _name, (_query, _tail) in insight_queries.INSIGHTS.items():
     query(_name, _tail)(_query)
     if _name in ("agg_routing_day", "dq_day_density"):

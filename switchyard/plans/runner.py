@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Callable, Collection
 from dataclasses import dataclass, field
 from datetime import UTC, date, datetime
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DateType, StructField, StructType
 
 from switchyard.functions import utc_naive
 from switchyard.operators import models as M
@@ -81,17 +80,13 @@ class Touched:
         return day == UNDATED or day in self.days or day.startswith("+") or day >= self.since  # "+": beyond the year 9999
 
 
-class Warehouse:
-    """Parquet tables of numbered versions; readers take the newest complete one.
+class Tables:
+    """Parquet tables below one folder, some partitioned by day.
 
-    A version is written beside its predecessors and becomes current by the last
-    file written: at no moment is there no table.  The predecessor stays for
-    those who still read it; what is older goes.  One writer at a time.
-
-    A whole table is a folder a version, marked by Spark's success file.  A table
-    kept by day is a manifest a version, which says for every day the folder
-    that holds it and the version of the parent's day it was made from, so
-    that days that did not change are neither read nor written again.
+    Days are replaced by Spark's dynamic partition overwrite; a replaced day that
+    gets no row is removed.  Beside the tables lie two notes, a row a day at
+    most: as of when the last build saw the rows (``as_of``), and for each table
+    the days that a failure kept from it (``pending``).
     """
 
     def __init__(self, spark: SparkSession, root: str):
@@ -99,104 +94,55 @@ class Warehouse:
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
-    def _listed(self, at: str) -> list[str]:
-        home = self._path(f"{self.root}/{at}")
-        return sorted(s.getPath().getName() for s in self._fs.listStatus(home)) if self._fs.exists(home) else []
-
-    def _delete(self, at: str) -> None:
-        self._fs.delete(self._path(f"{self.root}/{at}"), True)
-
-    # ---- whole tables
-    def versions(self, name: str, complete: bool = True) -> list[str]:
-        """Folders of a whole table, oldest first."""
-        found = [v for v in self._listed(name) if v.startswith("v0")]
-        return [v for v in found if not complete or self._fs.exists(self._path(f"{self.root}/{name}/{v}/_SUCCESS"))]
-
-    def publish(self, name: str, df: DataFrame) -> DataFrame:
-        there = self.versions(name, complete=False)
-        new = f"v{int(there[-1][1:]) + 1 if there else 0:08d}"
-        df.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "true").parquet(f"{self.root}/{name}/{new}")
-        for old in self.versions(name)[:-2]:
-            self._delete(f"{name}/{old}")
-        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}/{new}")
-
-    # ---- tables kept by day
-    def manifests(self, name: str) -> list[str]:
-        """Manifests of a table kept by day, oldest first."""
-        return [m for m in self._listed(name) if m.startswith("days-") and m.endswith(".json")]
-
-    def manifest(self, name: str, which: int = -1) -> dict:
-        """{"as_of", "schema", "days": {day: [version, the parent's version]}}; without days where there is no table."""
-        found = self.manifests(name)
-        if not found:
-            return {"as_of": None, "schema": None, "days": {}}
-        stream = self._fs.open(self._path(f"{self.root}/{name}/{found[which]}"))
-        try:
-            return json.loads(self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-        finally:
-            stream.close()
-
-    def behind(self, name: str, parent: str) -> set[str]:
-        """Days of ``name`` that were not made from the parent's current ones, days that the parent lost included."""
-        have, want = self.manifest(name)["days"], self.manifest(parent)["days"]
-        return {d for d, (version, _) in want.items() if d not in have or have[d][1] != version} | (set(have) - set(want))
-
-    def publish_days(self, name: str, df: DataFrame, node: Node, replaced: set[str] | Touched | None, parent: str | None = None, as_of: datetime | None = None) -> DataFrame:
-        """Replace the days ``replaced`` (all: None) by those in ``df``, which holds no others.
+    def exists(self, name: str) -> bool:
+        return self._fs.exists(self._path(f"{self.root}/{name}"))
+
+    def read(self, name: str, days: Collection[str] | None = None, schema: StructType | None = None) -> DataFrame:
+        """A table; of one kept by day, only ``days`` where they are given (a filter on the partitions).
+
+        Without ``schema`` that of the files, so a table without rows needs it.
+        """
+        reader = self.spark.read if schema is None else self.spark.read.schema(StructType([*schema.fields, StructField("day", DateType())]))
+        df = reader.parquet(f"{self.root}/{name}")
+        if days is None:
+            return df.drop("day")
+        dates = [date.fromisoformat(d) for d in sorted(set(days) - {UNDATED})]
+        return df.where(F.col("day").isin(dates) | (F.col("day").isNull() if UNDATED in days else F.lit(False))).drop("day")
+
+    def replace(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def days(self, name: str) -> set[str]:
+        """The days a table holds."""
+        if not self.exists(name):
+            return set()
+        return {s.getPath().getName()[4:] for s in self._fs.listStatus(self._path(f"{self.root}/{name}")) if s.getPath().getName().startswith("day=")}
+
+    def replace_days(self, name: str, df: DataFrame, node: Node, replaced: Collection[str] | Touched | None) -> set[str]:
+        """Replace the days ``replaced`` (all: None) by those in ``df``, which holds no others; returns the days that changed.
 
         Rows gathered by day are dealt over tasks by size again (adaptive
         rebalancing), so one large day is not one task.
         """
-        past, sources = self.manifests(name), self.manifest(parent)["days"] if parent else {}
-        old = self.manifest(name)["days"]
-        numbers = [int(v.split("=")[1]) for v in self._listed(name) if v.startswith("version=")]
-        new = max([-1, *numbers, *(int(m[5:-5]) for m in past)]) + 1
+        before = {d for d in self.days(name) if replaced is None or d in replaced}
+        seen = Observation()
         dated = df.withColumn("day", node.day())
-        (dated.hint("rebalance", "day") if node.mixed else dated).write.partitionBy("day").parquet(f"{self.root}/{name}/version={new}")
-        days = {d: v for d, v in old.items() if replaced is not None and d not in replaced}
-        for folder in self._listed(f"{name}/version={new}"):
-            if folder.startswith("day="):
-                days[folder[4:]] = [new, sources.get(folder[4:], [None])[0]]
-        if parent and replaced is not None:  # a day of the parent that gives no row here was built all the same
-            days |= {d: [None, sources[d][0]] for d in replaced if d in sources and d not in days}
-        elif parent:
-            days |= {d: [None, v] for d, (v, _) in sources.items() if d not in days}
-        body = {"as_of": as_of.isoformat() if as_of else None, "schema": df.schema.json(), "days": days}
-        target, draft = (self._path(f"{self.root}/{name}/{m}") for m in (f"days-{new:08d}.json", f"draft-{new:08d}"))
-        out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps(body).encode()))
-        out.close()
-        self._fs.rename(draft, target)
-        self._expire(name)
-        return self.read(name)
-
-    def _expire(self, name: str) -> None:
-        """Drop all manifests but two, and the folders that only they named or that a failed build left."""
-        found = self.manifests(name)
-        if len(found) < 3:
-            return
-        held = lambda k: {(v, d) for d, (v, _) in self.manifest(name, k)["days"].items() if v is not None}
-        kept = held(-1) | held(-2)
-        for k in range(len(found) - 2):
-            for v, d in held(k) - kept:
-                self._delete(f"{name}/version={v}/day={d}")
-        for m in found[:-2]:
-            self._delete(f"{name}/{m}")
-        used = {v for v, _ in kept} | {int(found[-1][5:-5])}
-        for folder in self._listed(name):
-            if folder.startswith("version=") and int(folder[8:]) not in used:
-                self._delete(f"{name}/{folder}")
-
-    def read(self, name: str, days: Collection[str] | None = None) -> DataFrame:
-        """A table; of one kept by day, only ``days`` where they are given."""
-        if not self.manifests(name):
-            return self.spark.read.parquet(f"{self.root}/{name}/{self.versions(name)[-1]}")
-        now = self.manifest(name)
-        schema = StructType.fromJson(json.loads(now["schema"]))
-        paths = [f"{self.root}/{name}/version={v}/day={d}" for d, (v, _) in sorted(now["days"].items()) if v is not None and (days is None or d in days)]
-        if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).option("basePath", f"{self.root}/{name}").parquet(*paths).select(*schema.names)
+        dated = dated.hint("rebalance", "day") if node.mixed else dated
+        # dates beyond the year 9999 can't be collected: their names can
+        dated = dated.observe(seen, F.collect_set(F.coalesce(F.col("day").cast("string"), F.lit(UNDATED))).alias("days"))  # a value a day
+        mode = "dynamic" if replaced is not None and self.exists(name) else "static"
+        dated.write.mode("overwrite").option("partitionOverwriteMode", mode).partitionBy("day").parquet(f"{self.root}/{name}")
+        now = set(seen.get["days"])
+        for day in before - now:
+            self._fs.delete(self._path(f"{self.root}/{name}/day={day}"), True)
+        return before | now
+
+    def note(self, name: str, values: Collection[str]) -> None:
+        self.spark.createDataFrame([(v,) for v in sorted(values)], "value string").coalesce(1).write.mode("overwrite").parquet(f"{self.root}/notes/{name}")
+
+    def noted(self, name: str) -> set[str]:
+        return {r.value for r in self.spark.read.parquet(f"{self.root}/notes/{name}").collect()} if self.exists(f"notes/{name}") else set()
 
 
 def run(spark: SparkSession, raw: DataFrame, root: str, as_of: datetime | None = None, checks: list[Check] | None = None, days: Collection[date] | None = None) -> Report:
@@ -219,16 +165,42 @@ def run(spark: SparkSession, raw: DataFrame, root: str, as_of: datetime | None =
     checks = CHECKS if checks is None else checks
     as_of = as_of or datetime.now(UTC)
     as_of = as_of if as_of.tzinfo else as_of.replace(tzinfo=UTC)
-    store, report = Warehouse(spark, root), Report()
+    store, report = Tables(spark, root), Report()
+    last = max(store.noted("as_of"), default=None)
+    touched = None
+    if days is not None and last is not None:
+        touched = Touched(frozenset(d.isoformat() for d in days), min(datetime.fromisoformat(last), as_of).astimezone(UTC).date().isoformat())
     frames: dict[str, DataFrame] = {"call_events": raw}
+    changed: dict[str, set[str] | None] = {}
     broken: set[str] = set()
     waiting = list(checks)
     for node in ordered(graph(as_of), set(frames)):
+        parent = node.on[0]
+        pending = store.noted(f"pending/{node.name}") if node.day else set()
         if broken & set(node.on):
             report.nodes[node.name] = "SKIPPED"
             broken.add(node.name)
+            # what its parent changed, or would have: the next build takes it in
+            changed[node.name] = (changed.get(parent) or set()) | pending
+            if node.day:
+                store.note(f"pending/{node.name}", changed[node.name])
             continue
-        frames[node.name] = _built(store, node, frames, as_of, days)
+        parents = [frames[p] for p in node.on[1:]]
+        if node.day is None:
+            frames[node.name] = store.replace(node.name, node.build(frames[parent], *parents))
+        else:
+            if touched is None:
+                part, replaced = frames[parent], None
+            elif parent == "call_events":
+                part, replaced = raw.where(touched.rows(F.col("day"))), touched
+            else:
+                replaced = (changed[parent] or set()) | pending
+                part = store.read(parent, replaced, frames[parent].schema)
+            rows = node.build(part, *parents)
+            changed[node.name] = store.replace_days(node.name, rows, node, replaced)
+            frames[node.name] = store.read(node.name, None, rows.schema)
+            if pending:
+                store.note(f"pending/{node.name}", [])
         report.nodes[node.name] = "BUILT"
         ready = [c for c in waiting if set(c.on) <= set(frames)]
         waiting = [c for c in waiting if c not in ready]
@@ -239,20 +211,5 @@ def run(spark: SparkSession, raw: DataFrame, root: str, as_of: datetime | None =
                 broken |= set(check.on) - {"call_events"}
     for check in waiting:
         report.checks[check.name] = ("SKIPPED", 0)
+    store.note("as_of", [as_of.astimezone(UTC).isoformat()])
     return report
-
-
-def _built(store: Warehouse, node: Node, frames: dict[str, DataFrame], as_of: datetime, days: Collection[date] | None) -> DataFrame:
-    first, *others = node.on
-    if node.day is None:
-        return store.publish(node.name, node.build(*(frames[p] for p in node.on)))
-    part, replaced, parent = frames[first], None, None if first == "call_events" else first
-    if days is not None and parent:
-        replaced = store.behind(node.name, parent)
-        part = store.read(parent, replaced)
-    elif days is not None and (last := store.manifest(node.name)["as_of"]):
-        since = min(datetime.fromisoformat(last), as_of).astimezone(UTC).date().isoformat()
-        replaced = Touched(frozenset(d.isoformat() for d in days), since)
-        part = part.where(replaced.rows(F.col("day")))
-    rows = node.build(part, *(frames[p] for p in others))
-    return store.publish_days(node.name, rows, node, replaced, parent, as_of)

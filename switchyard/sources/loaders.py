@@ -7,6 +7,7 @@ never moves the mark.
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 from dataclasses import dataclass
 from datetime import date, datetime
 
@@ -152,10 +153,14 @@ def append_new(rows: DataFrame, where: Destination, as_of: datetime | None = Non
         spark.createDataFrame([(reached,)], "mark_us long").coalesce(1).write.mode("append").parquet(where.state)  # one row
 
 
-def load(spark: SparkSession, start: date = DEFAULT_START, n_days: int = DEFAULT_DAYS, where: Destination | None = None, config: GeneratorConfig | None = None, mode: str = "overwrite", load_id: str | None = None, as_of: datetime | None = None) -> Destination:
-    """Generate and load a range of days."""
+#: Rows of a number of days from a first one.
+Source = Callable[[SparkSession, date, int], DataFrame]
+
+
+def load(spark: SparkSession, start: date = DEFAULT_START, n_days: int = DEFAULT_DAYS, where: Destination | None = None, config: GeneratorConfig | None = None, mode: str = "overwrite", load_id: str | None = None, as_of: datetime | None = None, source: Source | None = None) -> Destination:
+    """Load a range of days from ``source``; without one, made-up events."""
     where = where or destination()
-    rows = events(spark, start, n_days, config, load_id or start.isoformat())
+    rows = source(spark, start, n_days) if source else events(spark, start, n_days, config, load_id or start.isoformat())
     if mode == "overwrite":
         overwrite_days(rows, where)
     elif mode == "append":
