@@ -11,7 +11,8 @@ no letter (score 0).
 
 Defined results: with no labelled row every text is ``und``; repeated rows
 agree; an id with several languages is learned as the least; an empty table gives
-an empty result; extra columns, whatever their names, are never read.
+an empty result; of equally likely languages the least name is taken; texts
+count whole, however long; extra columns, whatever their names, are never read.
 """
 
 from __future__ import annotations

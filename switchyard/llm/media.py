@@ -15,7 +15,8 @@ whole members, checks their digest and computes features of the samples.
 
 Defined results: a null text is empty; an empty payload is one row of 64 zero
 samples; repeated rows share one address; a null doc_id is kept as it is; an
-empty table stores nothing; other columns, whatever their names, are not read.
+empty table stores nothing; very long texts are stored whole, a row of any
+length in one member; other columns, whatever their names, are not read.
 A task that fails takes its unfinished shard back; one that is killed outright
 leaves a ``_writing-`` file, which no row refers to.
 """

@@ -19,7 +19,10 @@ stays.
 
 Defined results: null and empty texts have no shingle and stay, as do rows
 without doc_id; rows of one doc_id and other texts are told apart by text; equal
-rows share their fate (``simhash.keep_one`` takes exact copies).
+rows share their fate (``simhash.keep_one`` takes exact copies); of two near
+copies the one of greater doc_id goes, of equal ids that of the greater text hash;
+texts are compared whole, however long; an empty table gives an empty result;
+other columns, whatever their names, pass through.
 """
 
 from __future__ import annotations

@@ -20,7 +20,9 @@ bounded two-generation cache per Python worker.
 
 Defined results: null and empty texts are the one id 0; repeated rows are
 packed each on their own; a null doc_id is kept as it is; an empty table packs to
-nothing; other columns, whatever their names, are not read.
+nothing; pieces of equal length take places in the order in which the table's
+partitions hold them (numbers of sequences are any); very long texts are cut into
+full pieces and a rest; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

@@ -23,7 +23,8 @@ layer is folded into the word rows, which are cached per word.
 
 Defined results: null and empty texts pool to the zero vector; without labelled
 rows of both classes every score is the share of label 1 (0 if none); an id with
-several labels takes the least; repeated rows score alike; an empty table gives
+several labels takes the least; repeated rows score alike; words of equal count
+enter the vocabulary by code point, rows of equal hash the sample by doc_id; an empty table gives
 an empty result; extra columns, whatever their names, are never read and
 ``keep_good`` passes them through.
 """

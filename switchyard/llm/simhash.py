@@ -20,7 +20,8 @@ distances above 2 the large buckets are joined in full.)
 Defined results: null and empty texts have no shingle and fingerprint zero,
 linked like any other; fewer than three words form one shingle; repeated rows
 share their component; component_id is the least doc_id reachable (null if no
-row of the component has one); an empty table gives an empty result; other
+row of the component has one); texts are printed whole, however long; an empty
+table gives an empty result; other
 columns, whatever their names, are never read and ``keep_one`` passes them on.
 """
 

@@ -18,7 +18,8 @@ for them; their ids stay known as committed.
 Defined results: null source or lang is a group of its own; a null count is 0;
 groups whose documents and tokens are both zero are left out of the totals; an
 empty batch commits nothing but its id; a rollup without batches has no totals;
-of the changes' columns only op, before and after are read.
+texts are counted whole, however long; of the changes' columns only op, before
+and after are read.
 """
 
 from __future__ import annotations

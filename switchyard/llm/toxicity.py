@@ -11,7 +11,8 @@ among the training rows.  Scoring covers every whole text.
 Defined results: null and empty texts, and texts without letters, score as the
 model's bias (the clean prior); without labelled rows of both classes every
 score is the share of label 1 (0 if there is none); an id with several labels
-counts as toxic if one of them is; repeated rows score alike; an empty table
+counts as toxic if one of them is; repeated rows score alike; rows of equal hash
+enter the sample by doc_id; an empty table
 gives an empty result; extra columns, whatever their names, are never read and
 ``keep_clean`` passes them through.
 """

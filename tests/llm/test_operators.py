@@ -321,7 +321,15 @@ def test_plan(seed):
             load[b] += length
             large[b] += length > 33
     assert (seen == hist).all() and load.max() <= 100 and large.max() <= 2
-    assert bins <= 1.1 * -(-lengths.sum() // 100) + 1 or bins <= np.ceil((lengths > 50).sum() * 1.1) + 1
+    gaps = []  # best-fit decreasing, one piece at a time
+    for length in sorted(lengths.tolist(), reverse=True):
+        best = min((g for g in gaps if g >= length), default=None)
+        if best is None:
+            gaps.append(100 - length)
+        else:
+            gaps.remove(best)
+            gaps.append(best - length)
+    assert bins <= len(gaps)
 
 
 def test_mixing(spark, docs, empty):
