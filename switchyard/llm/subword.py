@@ -108,7 +108,10 @@ class WordRows:
 
 
 class Bags:
-    """Pairs (buckets, counts) of many texts in a few large arrays, which the system gets back when they go."""
+    """Pairs (buckets, counts) of many texts in a few large arrays, which the system gets back when they go.
+
+    Counts are kept in half precision as parts of their text's largest, so a count of any size has a place.
+    """
 
     SIZE = 256
 
@@ -124,15 +127,16 @@ class Bags:
 
     def _add(self, held) -> None:
         ends = np.cumsum([0, *(len(h[0]) for h in held)])
-        self.chunks.append((ends, *(np.concatenate([h[k] for h in held]) for k in (0, 1))))
+        top = np.array([h[1].max(initial=1.0) for h in held], np.float32)
+        self.chunks.append((ends, top, np.concatenate([h[0] for h in held]), np.concatenate([(h[1] / t).astype(np.float16) for h, t in zip(held, top, strict=True)])))
 
     def __len__(self) -> int:
         return sum(len(c[0]) - 1 for c in self.chunks)
 
     def __getitem__(self, d: int) -> tuple[np.ndarray, np.ndarray]:
-        ends, buckets, counts = self.chunks[d // self.SIZE]
+        ends, top, buckets, counts = self.chunks[d // self.SIZE]
         lo, hi = ends[d % self.SIZE], ends[d % self.SIZE + 1]
-        return buckets[lo:hi], counts[lo:hi]
+        return buckets[lo:hi], counts[lo:hi].astype(np.float32) * top[d % self.SIZE]
 
 
 @dataclass
@@ -184,7 +188,8 @@ class SubwordModel:
             buckets, at = np.unique(grams[first + np.arange(len(first))], return_inverse=True)
             return buckets, np.bincount(at, np.repeat(damp, n), len(buckets)).astype(np.float32)
 
-        return Bags(bag(*w) for w in words)
+        words.reverse()
+        return Bags(bag(*words.pop()) for _ in range(len(words)))  # each goes as it is used
 
     def fit(self, texts, y: np.ndarray, weights: np.ndarray | None = None) -> SubwordModel:
         """Train on an iterable of texts; ``weights`` scales each text's loss."""
