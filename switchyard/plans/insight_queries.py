@@ -10,7 +10,7 @@ from datetime import timedelta
 from pyspark.sql import functions as F
 
 from switchyard.functions import instant
-from switchyard.operators import counting, history, regret, shrinkage
+from switchyard.operators import counting, history, regret, shrinkage, uniqueness
 from switchyard.operators import models as M
 from switchyard.plans import scratch
 from switchyard.sources.bridge import AS_OF, FIRST_DAY, call_events
@@ -198,6 +198,25 @@ def typed_props(spark, d):
     return counting.typed_props(spark.read.parquet(f"{d}/events.parquet").select("event_id", bent.alias("props"))).select("event_id", "k", "reason")
 
 
+# ---- uniqueness across days
+_SPLIT = FIRST_DAY + timedelta(days=20)
+_PLANTED = "(case when event_id % 500 = 3 and ts >= timestamp '{split}' then event_id % 4000 else event_id end)::varchar".format(split=_SPLIT)
+
+
+@insight("repeated_across_days", f" select n.key, n.day, o.day as earlier_day, o.n as earlier_rows from (select distinct {_PLANTED} as key, ts::date::varchar as day from events where ts >= timestamp '{_SPLIT}') n join (select {_PLANTED} as key, ts::date::varchar as day, count(*) as n from events where ts < timestamp '{_SPLIT}' group by all) o using (key)")
+def repeated_across_days(spark, d):
+    """Late days, some of whose keys are given again from early ones, held against the ledger of the early days."""
+    events, split = spark.read.parquet(f"{d}/events.parquet"), F.to_timestamp_ntz(F.lit(_SPLIT.isoformat()))
+    again = (F.col("event_id") % 500 == 3) & (F.col("ts") >= split)
+    keyed = events.select("ts", F.when(again, F.col("event_id") % 4000).otherwise(F.col("event_id")).cast("string").alias("key"), F.col("ts").cast("date").cast("string").alias("day"))
+    root = scratch.folder(spark, "by-day")
+    early = keyed.where(F.col("ts") < split).drop("ts")
+    early.write.partitionBy("day").parquet(f"{root}/rows")
+    uniqueness.ledger(early, "key", "day").write.partitionBy("day").parquet(f"{root}/ledger")
+    read = lambda name, schema: spark.read.schema(schema).parquet(f"{root}/{name}")
+    return uniqueness.repeated(keyed.where(F.col("ts") >= split), "key", "day", read("ledger", "h long, day string"), lambda days: read("rows", "key string, day string").where(F.col("day").isin(days)))
+
+
 # ---- the mart by day: thick slots
 @insight("agg_routing_day", " select * from mart")
 def agg_routing_day(spark, d):

@@ -25,7 +25,7 @@ class GeneratorConfig:
     missing_buy_rate_share: float = 0.08
     duplicate_share: float = 0.004
     malformed_share: float = 0.002
-    seed: int = 20260817
+    seed: int = 41
 
 
 # Power-law exponents and the cumulative shares of one, two and three eligible carriers.

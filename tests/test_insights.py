@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from switchyard.functions import interval_bucket
-from switchyard.operators import counting, history, regret, routes, shrinkage
+from switchyard.operators import counting, history, regret, routes, shrinkage, uniqueness
 from switchyard.operators import models as M
 from switchyard.plans.insight_queries import INSIGHTS
 from switchyard.plans.queries import ORACLE_SQL, QUERIES
@@ -202,6 +202,25 @@ def test_buckets_of_any_width_count_from_one_origin(spark):
     assert {clean(k): clean(v) for k, v in got.items()} == {clean(k): clean(v) for k, v in want}
 
 
+# ---- uniqueness
+def test_only_days_hit_are_read(spark, tmp_path):
+    rows = [(f"k{i}", f"2024-01-{1 + i % 9:02d}") for i in range(900)] + [(None, "2024-01-01")] * 3 + [("k4", "2024-01-05")]
+    old = spark.createDataFrame(rows, "key string, day string")
+    known = uniqueness.ledger(old, "key", "day")
+    assert known.count() == 900
+    asked = []
+
+    def days_of(days):
+        asked.extend(days)
+        return old.where(F.col("day").isin(days))
+
+    new = spark.createDataFrame([("k4", "2024-01-20"), ("k4", "2024-01-21"), ("k13", "2024-01-20"), ("new", "2024-01-20"), (None, "2024-01-20"), ("k0", "2024-01-01")], "key string, day string")
+    got = uniqueness.repeated(new, "key", "day", known, days_of)
+    assert {tuple(r) for r in got.select("key", "day", "earlier_day", "earlier_rows").collect()} == {("k4", "2024-01-20", "2024-01-05", 2), ("k4", "2024-01-21", "2024-01-05", 2), ("k13", "2024-01-20", "2024-01-05", 1)}
+    assert asked == ["2024-01-05"]
+    assert uniqueness.repeated(new.where("key = 'new'"), "key", "day", known, days_of).count() == 0 and asked == ["2024-01-05"]
+
+
 # ---- loading
 @here
 def test_append_reads_rows_once_and_ignores_the_future(spark, tmp_path):
