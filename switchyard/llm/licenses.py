@@ -215,3 +215,25 @@ select doc_id, id::int as template_id, name as license, max(n_matched)::int as n
        max(n_matched)::double / n as containment, min(first_word)::bigint as first_word
 from m join tn using (id) where n_matched >= {THRESHOLD} * n group by doc_id, id, name, n
 """
+
+
+def license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return notices(C.table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "template_id", "license", "n_matched", "n_shingles", "containment", F.col("first_word").cast("long").alias("first_word"))
+
+
+def notices_sql(templates=TEMPLATES + SHORT_FORMS) -> str:
+    """The same for templates of any length: one under ``WORDS`` words is a run of its own length."""
+    values = ", ".join("({}, '{}', '{}')".format(i, n, t.replace("'", "''")) for i, (n, t) in enumerate(templates))
+    words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+    runs = "unnest([array_to_string(w[i:i + k - 1], ' ') for i in range(1, len(w) - k + 2)]) as s, unnest(range(1, len(w) - k + 2)) as pos"
+    return f"""
+with tw as (select id, name, w, least({WORDS}, len(w)) as k from (select id, name, {words.format('t')} as w from (values {values}) v(id, name, t))),
+     ts as (select distinct id, name, k, s from (select id, name, k, {runs} from tw)),
+     tn as (select id, count(*) as n from ts group by id),
+     dw as (select doc_id, r, k, w from (select doc_id, row_number() over () as r, {words.format('text')} as w from documents where text is not null) cross join (select distinct k from tw)),
+     ds as (select doc_id, r, k, s, min(pos) as pos from (select doc_id, r, k, {runs} from dw where len(w) >= k) group by all),
+     m as (select doc_id, r, id, name, count(*) as n_matched, min(pos) as first_word from ds join ts using (k, s) group by all)
+select doc_id, id::int as template_id, name as license, max(n_matched)::int as n_matched, n::int as n_shingles,
+       max(n_matched)::double / n as containment, min(first_word)::bigint as first_word
+from m join tn using (id) where n_matched >= {THRESHOLD} * n group by doc_id, id, name, n
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from switchyard.llm.embedding_dedup import PLANTED_SQL, embedding_dedup_planted, links_sql, op7_embedding_dedup
 from switchyard.llm.fingerprints import op13_fingerprints
 from switchyard.llm.language import op2_language_id
-from switchyard.llm.licenses import licenses_sql, op5_licenses
+from switchyard.llm.licenses import license_notices, licenses_sql, notices_sql, op5_licenses
 from switchyard.llm.media import op4_media
 from switchyard.llm.mixing import mixing_sql, op10_mixing
 from switchyard.llm.packing import op8_packing
@@ -30,8 +30,9 @@ QUERIES = {
     "op11_prefix_trie": op11_prefix_trie,
     "op12_conversation_repair": op12_conversation_repair,
     "op13_fingerprints": op13_fingerprints,
+    "license_notices": license_notices,  # op 5 with short forms and further licenses
     "embedding_dedup_planted": embedding_dedup_planted,  # op 7 where there are links to find
 }
 
-#: Learned scores (1, 2, 9), stored files (4), XXH64 prints (6) and greedy plans (8) are tested otherwise.
-ORACLE_SQL = {"op7_embedding_dedup": links_sql(), "embedding_dedup_planted": PLANTED_SQL, "op3_token_counts": OP3_SQL, "op5_licenses": licenses_sql(), "op10_mixing": mixing_sql(), "op11_prefix_trie": PREFIX_TRIE_SQL}
+#: Learned scores (1, 2, 9), stored files (4), XXH64 prints (6, 13), greedy plans (8) and searches (12) are tested otherwise.
+ORACLE_SQL = {"op7_embedding_dedup": links_sql(), "embedding_dedup_planted": PLANTED_SQL, "op3_token_counts": OP3_SQL, "op5_licenses": licenses_sql(), "license_notices": notices_sql(), "op10_mixing": mixing_sql(), "op11_prefix_trie": PREFIX_TRIE_SQL}
