@@ -64,8 +64,10 @@ def share(part: Column, whole: Column) -> Column:
 
 
 def micro(rate: str) -> Column:
-    """A rate in whole millionths (rates have six decimals), so that sums are exact."""
-    return F.round(F.col(rate) * 1_000_000).cast("long")
+    """A rate in whole millionths, so that sums are exact.  Rates have six decimals; a finer one raises, as its money would be wrong."""
+    scaled = F.col(rate) * 1_000_000
+    whole = F.round(scaled)
+    return F.when(scaled.isNull() | (F.abs(scaled - whole) < 0.01), whole).otherwise(F.raise_error(F.concat(F.lit(f"{rate} is finer than a millionth: "), F.col(rate).cast("string")))).cast("long")
 
 
 def rounded(value: Column, digits: int) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -104,24 +105,24 @@ def fct_call_attempt(stg: DataFrame) -> DataFrame:
 SMALL_DIMENSION = 100_000
 
 
-def looked_up(rows: DataFrame, dim: DataFrame, key: str, code: str, most: int = SMALL_DIMENSION) -> DataFrame:
-    """``rows`` that the dimension covers, with its natural code.
+def looked_up(rows: DataFrame, dims: list[tuple[DataFrame, str, str]], most: int = SMALL_DIMENSION) -> DataFrame:
+    """``rows`` that every dimension (table, key, code) covers, with its natural code.
 
-    The dimension's size is measured first; a small one is broadcast, so the
-    rows stay where they are.  A larger one is joined by shuffle, whose key then
-    has many values.
+    The dimensions' sizes are measured first, all in one job; a small one is
+    broadcast, so the rows stay where they are.  A larger one is joined by
+    shuffle, whose key then has many values.
     """
-    narrow = dim.select(key, code)
-    if narrow.limit(most + 1).count() <= most:
-        narrow = F.broadcast(narrow)
-    return rows.join(narrow, key)
+    narrow = [dim.select(key, code) for dim, key, code in dims]
+    sized = [n.limit(most + 1).agg(F.lit(k).alias("k"), F.count("*").alias("n")) for k, n in enumerate(narrow)]
+    sizes = {r.k: r.n for r in reduce(DataFrame.union, sized).collect()}
+    for k, (_, key, _) in enumerate(dims):
+        rows = rows.join(F.broadcast(narrow[k]) if sizes[k] <= most else narrow[k], key)
+    return rows
 
 
 def star(fact: DataFrame, carrier: DataFrame, destination: DataFrame, tier: DataFrame) -> DataFrame:
     """Rows that every dimension covers, with natural codes back."""
-    rows = looked_up(fact, carrier, "carrier_key", "carrier_code")
-    rows = looked_up(rows, destination, "destination_key", "destination_code")
-    return looked_up(rows, tier, "service_tier_key", "service_tier")
+    return looked_up(fact, [(carrier, "carrier_key", "carrier_code"), (destination, "destination_key", "destination_code"), (tier, "service_tier_key", "service_tier")])
 
 
 def agg_routing_interval(fact: DataFrame, carrier: DataFrame, destination: DataFrame, tier: DataFrame) -> DataFrame:

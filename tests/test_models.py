@@ -8,7 +8,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from switchyard.functions import interval_bucket, utc_naive
+from switchyard.functions import interval_bucket, micro, utc_naive
 from switchyard.operators import checks as K
 from switchyard.operators import models as M
 from switchyard.plans import orchestrate, runner
@@ -43,6 +43,13 @@ def test_every_query_has_sql():
     assert set(QUERIES) == set(ORACLE_SQL)
 
 
+def test_rates_finer_than_a_millionth_raise(spark):
+    rates = lambda *v: spark.createDataFrame([(x,) for x in v], "r double").select(micro("r").alias("m"))
+    assert [r.m for r in rates(0.002091, 0.1, 12.000001, None).collect()] == [2091, 100_000, 12_000_001, None]
+    with pytest.raises(Exception, match="finer than a millionth"):
+        rates(0.0020915).collect()
+
+
 def test_there_are_57_checks():
     assert len(K.CHECKS) == len({c.name for c in K.CHECKS}) == 57
 
@@ -101,9 +108,9 @@ def test_a_report_scans_each_node_once(spark):
 
 def test_large_dimensions_are_not_broadcast(spark):
     rows, dim = spark.createDataFrame([("a",), ("b",)], "k string"), spark.createDataFrame([("a", "A"), ("c", "C")], "k string, code string")
-    hint = lambda most: "BROADCAST" in M.looked_up(rows, dim, "k", "code", most)._jdf.queryExecution().analyzed().toString().upper()
+    hint = lambda most: "BROADCAST" in M.looked_up(rows, [(dim, "k", "code")], most)._jdf.queryExecution().analyzed().toString().upper()
     assert hint(2) and not hint(1)
-    assert [tuple(r) for r in M.looked_up(rows, dim, "k", "code").collect()] == [("a", "A")]
+    assert [tuple(r) for r in M.looked_up(rows, [(dim, "k", "code")]).collect()] == [("a", "A")]
 
 
 @here
