@@ -95,10 +95,11 @@ def spread_join(rows: DataFrame, keyed: DataFrame, key: str, spread: str, hot: i
     """
     salt, heavy, n = unused(rows.join(keyed.limit(0), key), "_salt", "_heavy", "_n")
     counts = (rows.groupBy(key).agg(F.count("*").alias(n)) if counts is None else counts.withColumnRenamed("n", n)).where(F.col(n) > hot)
-    big = materialize(counts.orderBy(F.desc(n)).limit(1000).select(key, F.lit(True).alias(heavy)), "hot-keys")
-    if big.isEmpty():
+    found = counts.orderBy(F.desc(n)).limit(1000).select(key).collect()  # 1,000 keys at most
+    if not found:
         return rows.join(keyed, key)
-    big = F.broadcast(big)  # 1,000 keys at most
+    kind = T.StructType([T.StructField(key, keyed.schema[key].dataType), T.StructField(heavy, T.BooleanType())])
+    big = F.broadcast(rows.sparkSession.createDataFrame([(r[0], True) for r in found], kind))
     left = rows.join(big, key, "left").withColumn(salt, F.when(F.col(heavy), F.pmod(F.xxhash64(spread), F.lit(parts))).otherwise(0).cast("int"))
     copies = F.when(F.col(heavy), F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))
     right = keyed.join(big, key, "left").withColumn(salt, F.explode(copies))

@@ -4,7 +4,7 @@ Alternating large-star and small-star rounds (Kiveris et al., "Connected
 Components in MapReduce and Beyond", 2014): each vertex links its larger
 neighbours, then its smaller ones, to the least vertex it knows.  Stars are
 built by grouped minima and joins, so a vertex with a huge neighbourhood costs
-a partial aggregate, never a gathered list.  Every round is written to the
+a partial aggregate, never a gathered list, and its edges are dealt over tasks.  Every round is written to the
 shared folder; a lost executor re-reads, never replays, earlier rounds.
 """
 
@@ -21,8 +21,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    linked = both.join(least, "a")
+    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+    linked = C.spread_join(both, least.select("a", "m"), "a", "b", counts=least.select("a", "n"))
+    least = least.select("a", "m")
     if large:
         out = linked.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:

@@ -12,6 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
+from switchyard.llm import _common as C
 from switchyard.llm import embedding_dedup, fingerprints, mixing, prefix_trie, repair
 from switchyard.llm._graph import connected_components
 from switchyard.llm._running import running
@@ -334,3 +335,28 @@ def test_rows_without_an_id_spread_over_the_bins_of_the_order(spark):
 
 def test_components_without_links_take_no_round(spark):
     assert connected_components(spark.createDataFrame([(1, 1)], "a long, b long")).count() == 0
+
+
+def test_hot_keys_and_hubs_are_dealt_over_tasks(spark, monkeypatch):
+    """The salted join gives what the plain one does; components do not change with it."""
+    rows = spark.createDataFrame([(k % 7 if k % 3 else 0, k) for k in range(600)] + [(None, 1)], "key long, v long")
+    keyed = spark.createDataFrame([(k, f"n{k}") for k in range(5)], "key long, name string")
+    want = sorted(map(tuple, rows.join(keyed, "key").collect()))
+    assert sorted(map(tuple, C.spread_join(rows, keyed, "key", "v", hot=100, parts=4).collect())) == want
+    counts = rows.groupBy("key").agg(F.count("*").alias("n"))
+    assert sorted(map(tuple, C.spread_join(rows, keyed, "key", "v", hot=50, parts=4, counts=counts).collect())) == want
+    binary = rows.select(F.col("key").cast("string").cast("binary").alias("key"), "v")
+    assert C.spread_join(binary, keyed.select(F.col("key").cast("string").cast("binary").alias("key"), "name"), "key", "v", hot=100).count() == len(want)
+    real = C.spread_join
+    monkeypatch.setattr(C, "spread_join", lambda *a, **k: real(*a, **k | {"hot": 20, "parts": 3}))
+    edges = [(0, k) for k in range(1, 200)] + [(k, 1000 + k) for k in range(1, 200)] + [(5000, 5001)]
+    got = {r.vertex: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: 0 for e in edges[:-1] for v in e} | {5000: 5000, 5001: 5000}
+
+
+def test_a_deep_conversation(spark):
+    """As many nodes as turns, in as many rounds as for a flat one."""
+    rows = [(5, t, "user", f"{t}.") for t in range(5000)] + [(10, t, "user", f"{t}.") for t in range(4000)]
+    got = {(r.conv_id, r.depth): r for r in prefix_trie.trie(spark.createDataFrame(rows, CONV)).collect()}
+    assert len(got) == 5001 and got[5, 4000].n_convs == 2 and got[5, 4001].n_convs == 1
+    assert got[5, 3999].saved_tokens == len("3998.") + len("3999.") and got[5, 0].n_leaves == 1
