@@ -181,3 +181,9 @@ def training_set(docs: DataFrame, labelled: DataFrame, per_class: int, total: in
     share = np.array([counts.get(c, 1) for c in classes], float) / np.maximum(have, 1)
     weights = share[y] if len(y) else np.zeros(0)
     return [texts[i] for i, _ in picked], classes, y, weights / max(weights.mean(), 1e-9) if len(y) else weights
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of ASCII text in DuckDB SQL, bit by bit."""
+    per_byte = "list_reduce(list_concat([xor(a, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, (r & 1) * 3988292384))"
+    return f"xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint)), lambda a, b: {per_byte}), 4294967295)"

@@ -185,16 +185,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie(C.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
 
 
-def _crc32_sql(text: str) -> str:
-    """CRC-32 of ASCII text, bit by bit."""
-    per_byte = "list_reduce(list_concat([xor(a, b)], [0::bigint, 0, 0, 0, 0, 0, 0, 0]), lambda r, z: xor(r >> 1, (r & 1) * 3988292384))"
-    return f"xor(list_reduce(list_concat([4294967295::bigint], list_transform(string_split({text}, ''), lambda ch: ascii(ch)::bigint)), lambda a, b: {per_byte}), 4294967295)"
-
-
 PREFIX_TRIE_SQL = f"""
 with placed as (select conv_id, row_number() over (partition by conv_id order by turn nulls first, md5(length(r) || ':' || r || t)) as idx, r, t
        from (select conv_id, turn, coalesce(role, '') as r, coalesce(text, '') as t from conversations where conv_id is not null)),
-     convs as (select conv_id, {_crc32_sql('conv_id::varchar')} % {HEADS} as h from (select distinct conv_id from placed)),
+     convs as (select conv_id, {C.crc32_sql('conv_id::varchar')} % {HEADS} as h from (select distinct conv_id from placed)),
      built as (select c.conv_id, 0 as part, p.idx, p.r, p.t from convs c join placed p on p.conv_id = c.conv_id - c.conv_id % 5 and p.idx <= c.h
        union all select c.conv_id, 1, p.idx, p.r, p.t from convs c join placed p on p.conv_id = c.conv_id and p.idx > c.h),
      seqs as (select c.conv_id, coalesce(list({{'r': b.r, 't': b.t}} order by b.part, b.idx) filter (where b.idx is not null), []) as s from convs c left join built b using (conv_id) group by c.conv_id),

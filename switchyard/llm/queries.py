@@ -11,7 +11,7 @@ from switchyard.llm.mixing import mixing_sql, op10_mixing
 from switchyard.llm.packing import op8_packing
 from switchyard.llm.prefix_trie import PREFIX_TRIE_SQL, op11_prefix_trie
 from switchyard.llm.quality import op1_quality
-from switchyard.llm.repair import op12_conversation_repair
+from switchyard.llm.repair import op12_conversation_repair, repair_sql
 from switchyard.llm.simhash import op6_simhash
 from switchyard.llm.token_counts import OP3_SQL, op3_token_counts
 from switchyard.llm.toxicity import op9_toxicity
@@ -34,5 +34,5 @@ QUERIES = {
     "embedding_dedup_planted": embedding_dedup_planted,  # op 7 where there are links to find
 }
 
-#: Learned scores (1, 2, 9), stored files (4), XXH64 prints (6, 13), greedy plans (8) and searches (12) are tested otherwise.
-ORACLE_SQL = {"op7_embedding_dedup": links_sql(), "embedding_dedup_planted": PLANTED_SQL, "op3_token_counts": OP3_SQL, "op5_licenses": licenses_sql(), "license_notices": notices_sql(), "op10_mixing": mixing_sql(), "op11_prefix_trie": PREFIX_TRIE_SQL}
+#: Learned scores (1, 2, 9), stored files (4), XXH64 prints (6, 13), and greedy plans (8) are tested otherwise.
+ORACLE_SQL = {"op7_embedding_dedup": links_sql(), "embedding_dedup_planted": PLANTED_SQL, "op3_token_counts": OP3_SQL, "op5_licenses": licenses_sql(), "license_notices": notices_sql(), "op10_mixing": mixing_sql(), "op11_prefix_trie": PREFIX_TRIE_SQL, "op12_conversation_repair": repair_sql()}

@@ -282,3 +282,51 @@ def repair(conversations: DataFrame) -> DataFrame:
 
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(C.table(spark, sf_dir, "conversations"))
+
+
+def repair_sql() -> str:
+    """The same in DuckDB SQL: row by row, the cheapest (cost, audit, text) for each end of the output."""
+    never = {"c": "1000000000::bigint", "a": "''", "t": "''"}
+
+    def state(c: str, a: str, t: str) -> str:
+        return f"{{'c': {c}, 'a': {a}, 't': {t}}}"
+
+    def more(s: str, price: str, edit: str, line: str | None = None) -> str:
+        return state(f"{s}.c + {price}", f"{s}.a || {edit}", f"{s}.t" if line is None else f"{s}.t || chr(10) || {line}")
+
+    def best(*options: str) -> str:
+        return f"list_min([{', '.join(options)}])"
+
+    charge = f"case when f.fault = 't' then {TRUNCATED} else 0 end"
+
+    def taken(s: str, initial: str, name: str) -> str:
+        kept = more(s, f"{KEEP} + {charge}", "'K'", "f.role || ':' || f.text")
+        other = more(s, f"{REROLE} + {charge}", "'R'", f"'{name}:' || f.text")
+        return f"case when f.fault not in ('k', 't') then {state(**never)} when f.initial = '{initial}' then {kept} else {other} end"
+
+    system = f"case when f.fault in ('k', 't') and f.initial = 's' then {more('s.s0', f'{KEEP} + {charge}', chr(39) + 'K' + chr(39), 'f.role || ' + chr(39) + ':' + chr(39) + ' || f.text')} else {state(**never)} end"
+    dropped = [more(f"s.s{q}", str(DELETE), "'D'") for q in range(4)]
+    user = best(dropped[2], *(taken(f"s.s{q}", "u", "user") for q in (0, 1, 3)))
+    assistant = best(dropped[3], taken("s.s2", "a", "assistant"))
+    says_user, says_assistant = (lambda s: more(s, str(INSERT), "'I'", "'user:'")), (lambda s: more(s, str(INSERT), "'I'", "'assistant:'"))
+    start = state("0::bigint", "''", "''")
+    first = f"{start} as s0, {state(**never)} as s1, {state('5::bigint', chr(39) + 'I' + chr(39), 'chr(10) || ' + chr(39) + 'user:' + chr(39))} as s2, {state('10::bigint', chr(39) + 'II' + chr(39), 'chr(10) || ' + chr(39) + 'user:' + chr(39) + ' || chr(10) || ' + chr(39) + 'assistant:' + chr(39))} as s3"
+    return f"""
+with recursive raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, {C.crc32_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as kind from conversations),
+dam as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case kind when 1 then '' when 2 then regexp_replace(text, '[.!?]', '', 'g') else text end as text,
+  unnest(case kind when 0 then [] when 3 then [0, 1] else [0] end) as copy from raw),
+placed as (select *, row_number() over (partition by conv_id order by turn nulls first, md5(length(role) || ':' || role || text), copy) as idx from dam),
+flags as materialized (select conv_id, turn, role, text, idx, left(role, 1) as initial, case when not regexp_matches(text, '[^\\x20\\x09-\\x0D]') then 'b'
+  when row_number() over (partition by conv_id, role, text order by idx) > 1 then 'd' when not regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*\\z') then 't' else 'k' end as fault from placed),
+steps as (select conv_id, 0::bigint as i, {first} from (select distinct conv_id from flags)
+  union all select conv_id, i, s0, s1, {best('s2', says_user('s0'), says_user('s1'), says_user('s3'))} as s2, {best('s3', says_assistant('s2'), says_assistant(f"({best('s2', says_user('s0'), says_user('s1'))})"))} as s3 from (
+    select s.conv_id, f.idx as i, {dropped[0]} as s0, {best(dropped[1], system)} as s1, {user} as s2, {assistant} as s3
+    from steps s join flags f on f.conv_id is not distinct from s.conv_id and f.idx = s.i + 1)),
+ends as (select s.conv_id, {best('s.s0', 's.s3')} as e from steps s join (select conv_id, max(idx) as n from flags group by conv_id) l on l.conv_id is not distinct from s.conv_id and l.n = s.i),
+pairs as (select conv_id, initial, lag(initial) over (partition by conv_id order by idx) as before, fault, turn from flags),
+told as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 'b') as blank, count(*) filter (where fault = 'd') as duplicate, count(*) filter (where fault = 't') as truncated,
+  count(*) filter (where before is not null and before || initial not in ('su', 'ua', 'au')) as illegal from pairs group by conv_id)
+select c.conv_id, coalesce(gaps, 0)::bigint as gaps, coalesce(blank, 0)::bigint as blank, coalesce(duplicate, 0)::bigint as duplicate, coalesce(truncated, 0)::bigint as truncated, coalesce(illegal, 0)::bigint as illegal,
+  coalesce(e.c, 0)::bigint as cost, coalesce(e.a, '') as audit, sha256(coalesce(substr(e.t, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join told t on t.conv_id is not distinct from c.conv_id left join ends on ends.conv_id is not distinct from c.conv_id
+"""
