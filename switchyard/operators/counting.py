@@ -76,7 +76,7 @@ def drill_down(fact: DataFrame, dimensions: list[str], part: Column, below: floa
 
 
 def bursts(events: DataFrame, key: str, at: str, gap: str) -> DataFrame:
-    """Runs of a key's events with less than ``gap`` between neighbours: sessions, merged in part before the shuffle."""
+    """Runs of a key's events with at most ``gap`` between neighbours: sessions, merged in part before the shuffle."""
     runs = events.where(F.col(at).isNotNull()).groupBy(key, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("attempts"), F.min(at).alias("first_at"), F.max(at).alias("last_at"))
     return runs.drop("w")
 

@@ -188,6 +188,17 @@ def test_quantiles_by_counting_equal_percentile(spark):
         assert got == want or all(abs(a - b) <= 1e-12 * max(abs(a), abs(b)) for a, b in zip(got, want, strict=True)), name
 
 
+def test_a_gap_of_just_the_width_is_within_a_burst(spark):
+    times = spark.sql("select 1 as u, explode(array(timestamp_ntz'2024-01-01 00:00:00', timestamp_ntz'2024-01-01 06:00:00', timestamp_ntz'2024-01-01 12:00:00.000001', null)) as ts")
+    assert sorted(r.attempts for r in counting.bursts(times, "u", "ts", "6 hours").collect()) == [1, 2]
+
+
+def test_props_are_typed_or_told_why_not(spark):
+    rows = [('{"k": 5}',), ('{"k": "7"}',), ('{"k": 1.5}',), ('{"k": "x"}',), ("{}",), ('{"k": null}',), ("{",), (None,)]
+    got = [(r.k, r.reason) for r in counting.typed_props(spark.createDataFrame(rows, "props string").coalesce(1)).collect()]
+    assert got[0] == (5, None) and got[1] == (7, None) and got[3:] == [(None, "k_is_no_number"), (None, "missing_k"), (None, "missing_k"), (None, "malformed_props"), (None, "missing_props")]
+
+
 def test_sketches_merge(spark):
     ids = spark.range(50_000).select((F.col("id") % 30_000).alias("id"), F.floor(F.col("id") / 5000).alias("day"))
     merged = counting.distinct_counts(counting.distinct_sketches(ids, ["day"], "id"), []).first().estimate
