@@ -12,10 +12,13 @@ found in the document, at least ``THRESHOLD``) then decides.
 
 Before hashing, a document must hold one of the templates' anchors, fragments
 such that every template with none of its anchored shingles is below the
-threshold (checked when templates are built): an exact gate, not a heuristic.
+threshold (checked when templates are built), or the one run of words that a
+template of five words or fewer is: an exact gate, not a heuristic.  Texts are
+lower-cased once for all of it.
 
 A template under five words is one run of its own length, looked up by its hash
-among the document's runs of that length: exact containment, no windows.
+among the runs of that length of documents that pass for it: exact containment,
+no windows.
 
 ``op5_licenses`` reports ``TEMPLATES``, whose rows its SQL fixes; ``notices``
 reports ``SHORT_FORMS`` and the further licenses as well.  A notice that holds a
@@ -99,7 +102,7 @@ SHORT_FORMS = [
     ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
 ]
-SHORT_ANCHORS = ["rights", "spdx", "gpl", "affero", "lesser", "apache", "bsd", "isc", "mpl", "cc", "unencumbered", "domain", "permission", "copyright", "copies", "purpose", "fee"]
+SHORT_ANCHORS = ["copyright"]
 
 
 def _words(text: str) -> list[str]:
@@ -119,6 +122,29 @@ def check_anchors(templates, anchors) -> None:
             raise ValueError(f"{name}: {bare} of {len(shingles)} shingles hold no anchor")
 
 
+def holds(text: Column, anchors, runs) -> Column:
+    """Whether a text, lower-cased, holds an anchor or one of the ``runs`` of words (templates).
+
+    A run is looked for with a pattern only where its longest word is found.  The
+    lower-cased text is bound as a lambda variable: a filter would make it anew
+    for every fragment.
+    """
+    patterns: dict[str, set[str]] = {}
+    for _, run in runs:
+        ws = _words(run)
+        patterns.setdefault(max(ws, key=len), set()).add(r"[^\p{L}\p{N}]+".join(ws))
+
+    def found(low: Column) -> Column:
+        out = F.lit(False)
+        for a in anchors:
+            out = out | F.contains(low, F.lit(a))
+        for word, them in patterns.items():
+            out = out | (F.contains(low, F.lit(word)) & F.rlike(low, F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(sorted(them))})(?![\p{{L}}\p{{N}}])")))
+        return out
+
+    return F.exists(F.array(F.lower(text)), found)
+
+
 def shingle_hashes(text: Column, size: int = WORDS) -> Column:
     """Hashes of all runs of ``size`` words in order, as an array.
 
@@ -165,13 +191,14 @@ def short_matches(docs: DataFrame, templates) -> DataFrame:
 
 def scan(docs: DataFrame, templates=TEMPLATES, anchors=ANCHORS) -> DataFrame:
     """Matches of (doc_id, text): doc_id, template_id, license, n_matched, n_shingles, containment, first_word."""
-    check_anchors(templates, anchors)
+    check_anchors([t for t in templates if len(_words(t[1])) > WORDS], anchors)
     spark = docs.sparkSession
-    low = F.lower("text")
-    gate = F.lit(False)
-    for a in anchors:
-        gate = gate | F.contains(low, F.lit(a))
-    gated = docs.where(gate)
+    whole = [t for t in templates if len(_words(t[1])) == WORDS]
+    short = [t for t in templates if len(_words(t[1])) < WORDS]
+    docs = docs.select("doc_id", "text")
+    if short:  # several passes follow, over what this one leaves
+        docs = C.materialize(docs.where(holds(F.col("text"), anchors, whole + short)), "license-gated")
+    gated = docs.where(holds(F.col("text"), anchors, whole))
     shingled = C.materialize(gated.select("doc_id", shingle_hashes(F.col("text")).alias("h")).where("size(h) > 0").distinct(), "license-docs")
     table = C.materialize(template_table(spark, templates), "license-templates")
     signed = bands(table, ["template_id"]).distinct()  # templates x windows x bands rows
@@ -185,9 +212,9 @@ def scan(docs: DataFrame, templates=TEMPLATES, anchors=ANCHORS) -> DataFrame:
     rows = rows.withColumn("containment", F.col("n_matched") / F.col("n_shingles")).where(F.col("containment") >= THRESHOLD)
     best = F.max_by(F.struct("n_matched", "n_shingles", "containment", "first_word"), F.struct("n_matched", -F.col("first_word")))
     matches = rows.groupBy("doc_id", "template_id", "license").agg(best.alias("b")).select("doc_id", "template_id", "license", "b.*")
-    if all(len(_words(t)) >= WORDS for _, t in templates):
+    if not short:
         return matches
-    return matches.unionByName(short_matches(gated.select("doc_id", "text"), templates))
+    return matches.unionByName(short_matches(C.materialize(docs.where(holds(F.col("text"), [], short)), "license-short"), templates))
 
 
 def notices(docs: DataFrame) -> DataFrame:

@@ -379,6 +379,19 @@ def test_mixing_lands_near_targets(spark):
     assert ((sums.taken - sums.target).abs() <= 20).all()
 
 
+def test_license_gate_passes_runs_of_words_only(spark):
+    """Fragments of other words ('example', 'discover', 'accept') send no text to the hashes; every template passes, whatever parts its words."""
+    texts = ["for example, discover and accept 4 fees", "sample rights of the domain", "miscellany cc 4 by 0", "xgplv3", "all rights, reservedly", None, ""]
+    every = licenses.TEMPLATES + licenses.SHORT_FORMS
+    runs = [t for t in every if len(licenses._words(t[1])) <= licenses.WORDS]
+    gate = licenses.holds(F.col("text"), licenses.ANCHORS + licenses.SHORT_ANCHORS, runs)
+    table = lambda rows: spark.createDataFrame([(t,) for t in rows], "text string")
+    assert table(texts).where(gate).count() == 0
+    whole = [f"\u00e9 {t.upper().replace(' ', ' \u2014\n')}." for _, t in every]
+    assert table(whole).where(gate).count() == len(whole)
+    assert table([f"({t})" for _, t in runs]).where(licenses.holds(F.col("text"), [], runs)).count() == len(runs)
+
+
 def test_licenses_of_rows_without_an_id(spark):
     text = "It is released under the MIT License as ever."
     got = licenses.scan(spark.createDataFrame([(None, text), (None, "nothing here"), (3, text)], "doc_id long, text string"))
