@@ -22,7 +22,9 @@ one exact product a pair, and link counts need no pair table.
 Equal vectors are collapsed first.  Buckets of one are dropped by a counted
 join.  A bucket of more than ``tile`` vectors is dealt into square tiles, each
 compared in its own task as a block: per vector only its number of links and
-one edge to the least vector of its part leave the task, never the pairs.
+one edge to the least vector of its part leave the task, never the pairs.  Most
+buckets hold two or three vectors; those of up to ``SMALL`` are compared many at
+a time, pair by pair in arrays, by the same codes, estimates and products.
 
 Defined results: vectors that are null, zero, or hold null or non-finite
 components, rows with a null label or null vec_id, and vectors of other lengths
@@ -115,6 +117,8 @@ def _encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 #: Pairs recomputed at a time where few of a block are undecided.
 PAIRS = 65_536
+#: Buckets (or tiles) of up to so many vectors are compared together.
+SMALL = 64
 
 
 class _Group:
@@ -141,6 +145,16 @@ class _Group:
         code = np.maximum(1 - f2, 0) / f2 * (1 - self.threshold**2) / max(self.dim - 1, 1)
         return product / scale, np.sqrt(code + (self.step[b] / 2) ** 2 / f2)
 
+    def undecided(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether a[k] and b[k] are not rejected on their estimate."""
+        width = self.signs.shape[1]
+        if width < self.dim:
+            return np.ones(len(a), bool)
+        signs, f2 = self.signs[a], self.factor[a] ** 2
+        product = np.einsum("ij,ij->i", signs, self.ints[b, :width]) * self.step[b] + signs.sum(1) * self.low[b]
+        code = np.maximum(1 - f2, 0) / f2 * (1 - self.threshold**2) / max(self.dim - 1, 1)
+        return product / (np.sqrt(width) * self.factor[a]) >= self.threshold - EPSILON * np.sqrt(code + (self.step[b] / 2) ** 2 / f2)
+
     def adjacent(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Boolean |a| x |b|: linked, and this is the first band in which they agree."""
         estimate, spread = self.estimates(a, b)
@@ -159,6 +173,34 @@ class _Group:
                 out[i, j] = np.einsum("ij,ij->i", self.unit[a[i]], self.unit[b[j]]) >= self.threshold
         return out
 
+    def compare_each(self, bucket: np.ndarray, band: np.ndarray, cross: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``compare`` for many small buckets or tiles at once; ``bucket`` numbers them, those of one stand together."""
+        n = len(bucket)
+        after = np.searchsorted(bucket, bucket, side="right") - np.arange(n) - 1
+        starts = np.cumsum(after) - after
+        rows, found = np.arange(n), []
+        for lo, hi in _slices(after, PAIRS):
+            a = np.repeat(rows[lo:hi], after[lo:hi])
+            b = np.arange(len(a)) - np.repeat(starts[lo:hi] - starts[lo], after[lo:hi]) + a + 1
+            keep = (self.codes[a] == self.codes[b]).argmax(1) == band[a]  # the first band in which they agree
+            keep &= ~cross[a] | (self.slot[a] != self.slot[b])
+            a, b = a[keep], b[keep]
+            keep = self.undecided(a, b)
+            a, b = a[keep], b[keep]
+            keep = np.einsum("ij,ij->i", self.unit[a], self.unit[b]) >= self.threshold
+            found.append((a[keep], b[keep]))
+        a, b = map(np.concatenate, zip(*found, strict=True))
+        some = np.unique(np.concatenate((a, b)))
+        links = np.bincount(a, self.copies[b], n) + np.bincount(b, self.copies[a], n)
+        root = self.rep.copy()
+        while True:  # least label over neighbours until it stands still
+            least = root.copy()
+            np.minimum.at(least, a, root[b])
+            np.minimum.at(least, b, root[a])
+            if (least == root).all():
+                return self.rep[some], root[some], links[some].astype(np.int64)
+            root = least
+
     def compare(self, i: int, j: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per linked vector: rep, least rep of its part of the tile, copies linked."""
         if i == j:
@@ -186,6 +228,26 @@ class _Group:
             root = least
 
 
+def _slices(weights: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of places whose weights sum to about ``most``."""
+    part = (np.cumsum(weights) - weights) // most
+    cuts = np.nonzero(np.diff(part, prepend=-1))[0]
+    yield from zip(cuts.tolist(), [*cuts[1:].tolist(), len(weights)], strict=True)
+
+
+def compared(b: pd.DataFrame, starts: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Links of a frame of whole buckets or tiles, each from one of ``starts``."""
+    sizes = np.diff(starts, append=len(b))
+    for k in np.nonzero(sizes > SMALL)[0]:
+        g = b.iloc[starts[k] : starts[k] + sizes[k]]
+        yield _Group(g, threshold).compare(int(g["i"].iloc[0]), int(g["j"].iloc[0]))
+    bucket = np.repeat(np.arange(len(sizes)), sizes)
+    small = np.nonzero((sizes[bucket] <= SMALL) & (sizes[bucket] > 1))[0]
+    for _, of_dim in b["dim"].iloc[small].groupby(b["dim"].iloc[small].to_numpy()).indices.items():
+        g = b.iloc[small[of_dim]]
+        yield _Group(g, threshold).compare_each(bucket[small[of_dim]], g["band"].to_numpy(), (g["i"] != g["j"]).to_numpy())
+
+
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int = 1024) -> DataFrame:
     """Per row of (vec_id, label, embedding): vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
@@ -208,33 +270,33 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, tile: int
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rest = None
 
-        def groups():
+        def whole():
             nonlocal rest
             for b in batches:
                 b = b if rest is None or not len(rest) else pd.concat([rest, b], ignore_index=True)
                 if not len(b):
                     continue
                 b = b.reset_index(drop=True)
-                new = np.zeros(len(b), bool)
+                new = np.ones(len(b), bool)
+                new[1:] = False
                 for c in group:
                     v = b[c].to_numpy()
                     new[1:] |= v[1:] != v[:-1]
-                cuts = [0, *np.nonzero(new)[0].tolist()]
-                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                    yield b.iloc[lo:hi]
-                rest = b.iloc[cuts[-1] :]
+                starts = np.nonzero(new)[0]
+                if len(starts) > 1:
+                    yield b.iloc[: starts[-1]], starts[:-1]
+                rest = b.iloc[starts[-1] :]
             if rest is not None and len(rest):
-                yield rest
+                yield rest, np.zeros(1, np.int64)
 
         out, held = [], 0
-        for g in groups():
-            if len(g) < 2:
-                continue
-            out.append(_Group(g, threshold).compare(int(g["i"].iloc[0]), int(g["j"].iloc[0])))
-            held += len(out[-1][0])
-            if held > 50_000:
-                yield pd.DataFrame(dict(zip(("a", "b", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-                out, held = [], 0
+        for b, starts in whole():
+            for links in compared(b, starts, threshold):
+                out.append(links)
+                held += len(links[0])
+                if held > 50_000:
+                    yield pd.DataFrame(dict(zip(("a", "b", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
+                    out, held = [], 0
         if held:
             yield pd.DataFrame(dict(zip(("a", "b", "n"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 

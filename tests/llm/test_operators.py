@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -276,6 +277,27 @@ def test_embeddings(spark, tile):
         assert (got.n_links[i], got.component_id[i], got.kept[i]) == (0, i, True)
 
 
+def test_small_buckets_are_compared_together(monkeypatch):
+    """Five hundred buckets cost two groups (one a dimension), not one each, and give what they give one by one."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(500):
+        dim, n, tiled = (16, 24)[k % 2], 2 + k % 6, k % 5 == 0
+        x = rng.normal(size=dim) + rng.normal(scale=0.08, size=(n, dim))
+        code, factor, ints, low, step = embedding_dedup.encode(x / np.linalg.norm(x, axis=1, keepdims=True))
+        band = 2  # behind the bits of the estimates; pairs that agree in an earlier band count there
+        code.view(np.uint16)[:, band] = k  # one bucket
+        rows += [{"dim": dim, "band": band, "rep": 10 * k + i, "copies": 1 + i % 3, "raw": x[i].tobytes(), "code": code[i].tobytes(), "ints": ints[i].tobytes(), "factor": factor[i], "low": low[i], "step": step[i], "slot": i % 2, "i": 0, "j": int(tiled), "k": k} for i in range(n)]
+    b = pd.DataFrame(rows)
+    starts = np.nonzero(np.diff(b["k"], prepend=-1))[0]
+    one_by_one = [embedding_dedup._Group(g, 0.98).compare(0, int(g["j"].iloc[0])) for _, g in b.groupby("k")]
+    made, init = [], embedding_dedup._Group.__init__
+    monkeypatch.setattr(embedding_dedup._Group, "__init__", lambda self, *a: (made.append(1), init(self, *a))[1])
+    together = list(embedding_dedup.compared(b, starts, 0.98))
+    plain = lambda parts: sorted(zip(*(np.concatenate(c).tolist() for c in zip(*parts, strict=True)), strict=True))
+    assert len(made) == 2 and len(plain(together)) > 100 and plain(together) == plain(one_by_one)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
